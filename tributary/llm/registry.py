@@ -5,14 +5,27 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import bpe
+from tributary.llm import bpe, lm, packing
 from tributary.session import table
 
 
+def op6_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op7_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_word_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                              public_tokenizers.PATTERN, keep_ids=False)
 
 
-QUERIES = {"op10_bpe_word_shuffle": op10_bpe_word_shuffle}
+QUERIES = {
+    "op6_bounded_space_packing": op6_bounded_space_packing,
+    "op7_elias_fano_lm": op7_elias_fano_lm,
+    "op10_bpe_word_shuffle": op10_bpe_word_shuffle,
+}
 ORACLES: dict[str, str] = {}
