@@ -4,11 +4,23 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tributary.llm import bpe, lm, packing
+from tributary.llm import bpe, lm, packing, secrets, sharding, topk, warc
 from tributary.session import table
 
 
+def op1_nra_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op3_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("key"))
+    dealt = sharding.shard_by_bytes(rows, F.col("key"), F.col("size"))
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                         public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -18,14 +30,26 @@ def op7_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op8_assignment_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op9_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.by_page(warc.round_trip(table(spark, sf_dir, "pages")))
+
+
 def op10_bpe_word_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                              public_tokenizers.PATTERN, keep_ids=False)
 
 
 QUERIES = {
+    "op1_nra_top_k": op1_nra_top_k,
+    "op3_histogram_sort": op3_histogram_sort,
     "op6_bounded_space_packing": op6_bounded_space_packing,
     "op7_elias_fano_lm": op7_elias_fano_lm,
+    "op8_assignment_secrets": op8_assignment_secrets,
+    "op9_warc_transactions": op9_warc_transactions,
     "op10_bpe_word_shuffle": op10_bpe_word_shuffle,
 }
 ORACLES: dict[str, str] = {}
