@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import bpe, lm, packing, secrets, sharding, topk, warc
+from tributary.llm import bpe, lm, packing, pii, quality, secrets, sharding, topk, warc
 from tributary.session import table
 
 
@@ -14,6 +14,10 @@ def op1_nra_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op3_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("key"))
@@ -21,6 +25,12 @@ def op3_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_importance_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(docs, table(spark, sf_dir, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                         public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -45,7 +55,9 @@ def op10_bpe_word_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_nra_top_k": op1_nra_top_k,
+    "op2_pii_spans": op2_pii_spans,
     "op3_histogram_sort": op3_histogram_sort,
+    "op4_importance_rules": op4_importance_rules,
     "op6_bounded_space_packing": op6_bounded_space_packing,
     "op7_elias_fano_lm": op7_elias_fano_lm,
     "op8_assignment_secrets": op8_assignment_secrets,
