@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import bpe, lm, packing, pii, quality, secrets, sharding, topk, warc
+from tributary.llm import bpe, lm, neardup, packing, pii, quality, secrets, sharding, topk, warc
 from tributary.session import table
 
 
@@ -31,6 +31,10 @@ def op4_importance_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.find(table(spark, sf_dir, "documents"), size=2)
+
+
 def op6_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                         public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -58,6 +62,7 @@ QUERIES = {
     "op2_pii_spans": op2_pii_spans,
     "op3_histogram_sort": op3_histogram_sort,
     "op4_importance_rules": op4_importance_rules,
+    "op5_lsh_forest": op5_lsh_forest,
     "op6_bounded_space_packing": op6_bounded_space_packing,
     "op7_elias_fano_lm": op7_elias_fano_lm,
     "op8_assignment_secrets": op8_assignment_secrets,
