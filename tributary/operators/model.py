@@ -33,18 +33,8 @@ class Model:
 
     @classmethod
     def build(cls, transactions: DataFrame, always: tuple[str, ...] = ()) -> Model:
-        """From (subject, items array<string>), one row a transaction."""
-        spark = transactions.sparkSession
-        exploded = transactions.select("subject", F.explode("items").alias("iri"))
-        counts = exploded.groupBy("iri").agg(F.count("*").alias("total_count"))
-        if always:
-            extra = spark.createDataFrame([(a, 0) for a in always], "iri string, total_count long")
-            counts = counts.unionByName(extra).groupBy("iri").agg(F.sum("total_count").alias("total_count"))
-        items = ranked(counts)
-        sets = exploded.join(items.select("iri", "item"), "iri").groupBy("subject").agg(F.sort_array(F.collect_list("item")).alias("items"))
-        patterns = sets.groupBy("items").agg(F.count("*").alias("support"))
-        empty = transactions.where(F.size("items") == 0).agg(F.count("*").alias("support")).where("support > 0")
-        return cls(items, patterns.unionByName(empty.select(F.array().cast("array<int>").alias("items"), "support")))
+        """From (items array<string>), one row a transaction; always: entries that are there even if unseen."""
+        return cls.of_patterns(transactions.select(F.array_sort("items").alias("items"), F.lit(1).cast("long").alias("support")), always)
 
     def n_transactions(self) -> DataFrame:
         """One row: n, the number of transactions, which is the root's support."""
@@ -65,10 +55,13 @@ class Model:
         return Model.of_patterns(named.select(F.array_sort("items").alias("items"), "support").unionByName(new))
 
     @classmethod
-    def of_patterns(cls, named: DataFrame) -> Model:
-        """From (items array<string>, support), where sets may repeat."""
+    def of_patterns(cls, named: DataFrame, always: tuple[str, ...] = ()) -> Model:
+        """From (items array<string>, support), items sorted; sets may repeat. Equal sets meet before anything else."""
         merged = named.groupBy("items").agg(F.sum("support").alias("support"))
-        items = ranked(merged.select(F.explode("items").alias("iri"), "support").groupBy("iri").agg(F.sum("support").alias("total_count")))
+        entries = merged.select(F.explode("items").alias("iri"), "support")
+        if always:
+            entries = entries.unionByName(merged.sparkSession.createDataFrame([(a, 0) for a in always], "iri string, support long"))
+        items = ranked(entries.groupBy("iri").agg(F.sum("support").alias("total_count")))
         pairs = merged.select(F.col("items").alias("named"), "support", F.explode_outer("items").alias("iri")).join(items.select("iri", "item"), "iri", "left")
         return cls(items, pairs.groupBy("named", "support").agg(F.sort_array(F.collect_list("item")).alias("items")).select("items", "support"))
 
