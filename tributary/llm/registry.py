@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import bpe, lm, neardup, packing, pii, quality, secrets, sharding, topk, warc
+from tributary.llm import bpe, lm, neardup, oracles, packing, pii, quality, secrets, sharding, topk, warc
 from tributary.session import table
 
 
@@ -69,4 +69,8 @@ QUERIES = {
     "op9_warc_transactions": op9_warc_transactions,
     "op10_bpe_word_shuffle": op10_bpe_word_shuffle,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_nra_top_k": oracles.TOP_K,
+    "op5_lsh_forest": oracles.NEAR_DUPLICATES,
+    "op9_warc_transactions": oracles.WARC,
+}
