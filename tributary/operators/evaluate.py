@@ -76,7 +76,7 @@ HANDLERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 
 def direct(model: Model, asked: DataFrame) -> DataFrame:
-    return rank(candidates(model, asked), LIMIT)
+    return rank(candidates(model, asked, many=True), LIMIT)
 
 
 def evaluate(model: Model, requests: DataFrame, answer: Callable[[Model, DataFrame], DataFrame] = direct, missed: int = MISSED) -> DataFrame:

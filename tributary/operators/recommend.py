@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tributary.operators.model import Model
 
 LIMIT = 500
+#: Items of a pattern whose subsets are listed.
+SMALL = 8
 
 
 def requests(model: Model, named: DataFrame, unknown: str = "drop") -> DataFrame:
@@ -30,12 +32,24 @@ def requests(model: Model, named: DataFrame, unknown: str = "drop") -> DataFrame
     return out.select("qid", "s")
 
 
-def matches(model: Model, queries: DataFrame) -> DataFrame:
-    """(qid, s, items, support) for each request with items and each pattern that contains them."""
-    asked = queries.where(F.size("s") > 0).select("qid", "s", F.element_at("s", -1).alias("pivot"))
-    postings = model.patterns.select("items", "support", F.explode("items").alias("pivot"))
-    met = postings.join(asked, "pivot").where((F.size("items") >= F.size("s")) & (F.size(F.array_except("s", "items")) == 0))
-    return met.select("qid", "s", "items", "support")
+def matches(model: Model, queries: DataFrame, many: bool = False) -> DataFrame:
+    """(qid, s, items, support) for each request with items and each pattern that contains them.
+
+    many: for batches with about as many sets as patterns. Patterns of up to SMALL items then list their subsets, which
+    meet the requests by an equi-join on the whole set; a join on one item would compare each request with all of an
+    item's patterns.
+    """
+    asked = queries.where(F.size("s") > 0).select("qid", "s")
+    patterns = model.patterns
+    if many:
+        small = patterns.where(F.size("items").between(1, SMALL))
+        chosen = F.expr("transform(sequence(1, shiftleft(1, size(items)) - 1), bits -> filter(items, (x, i) -> shiftright(bits, i) % 2 = 1))")
+        whole = small.select("items", "support", F.explode(chosen).alias("s")).join(asked, "s").select("qid", "s", "items", "support")
+        patterns = patterns.where(F.size("items") > SMALL)
+    asked = asked.withColumn("pivot", F.element_at("s", -1))
+    postings = patterns.select("items", "support", F.explode("items").alias("pivot"))
+    met = postings.join(asked, "pivot").where((F.size("items") >= F.size("s")) & (F.size(F.array_except("s", "items")) == 0)).select("qid", "s", "items", "support")
+    return whole.unionByName(met) if many else met
 
 
 def support(model: Model, queries: DataFrame) -> DataFrame:
@@ -55,9 +69,9 @@ def popularity(model: Model, queries: DataFrame) -> DataFrame:
     return asked.join(shares, "one").select("qid", "item", "probability")
 
 
-def candidates(model: Model, queries: DataFrame, include_types: bool = False) -> DataFrame:
+def candidates(model: Model, queries: DataFrame, include_types: bool = False, many: bool = False) -> DataFrame:
     """(qid, item, probability) of all candidates, without ranks; one pass over the matches gives totals and counts."""
-    rows = matches(model, queries).select("qid", F.explode(F.concat(F.array(F.lit(-1)), F.array_except("items", "s"))).alias("item"), "support")
+    rows = matches(model, queries, many).select("qid", F.explode(F.concat(F.array(F.lit(-1)), F.array_except("items", "s"))).alias("item"), "support")
     counts = rows.groupBy("qid", "item").agg(F.sum("support").alias("n"))
     total = F.max(F.when(F.col("item") == -1, F.col("n"))).over(Window.partitionBy("qid"))
     found = counts.select("qid", "item", (F.col("n") / total).alias("probability")).where("item >= 0")
