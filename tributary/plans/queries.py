@@ -341,7 +341,7 @@ def transactions_of_triples(spark, sf_dir):
     return tx.select("subject", "num_predicates", F.size("items").cast("long").alias("items"))
 
 
-@query(f"with {EVENTS}, n as (select s, count(*) filter (kind <> 7) as num_non_types from triples group by s) select num_non_types, count(*) as count from n group by 1")
+@query(f"with {EVENTS}, n as (select s, count(*) filter (kind <> 7 and not (u = 31 and (kind < 4 or kind = 9))) as num_non_types from triples group by s) select num_non_types, count(*) as count from n group by 1")
 def set_size_histogram(spark, sf_dir):
     return evaluate.set_sizes(to_transactions(_triples(spark, sf_dir), contiguous=False))
 
