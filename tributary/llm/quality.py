@@ -105,3 +105,14 @@ def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     total = F.aggregate("__grams", F.lit(0.0), lambda a, g: a + F.get(table, g))
     scored = measured.withColumn("score", F.when(F.size("__grams") > 0, total / F.size("__grams")).otherwise(0.0)).drop("__grams", "__codes")
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= THRESHOLD))
+
+
+def keep(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input's rows that judge() keeps.
+
+    The choice is a generator of one or no row, not a filter: the optimizer would push a filter below the measures and
+    put every measure's expression, many times over, into its condition.
+    """
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    one = F.explode(F.when(F.col("kept"), F.array(F.monotonically_increasing_id())))
+    return judge(df, labels, id_col, text_col).select(*columns, one.alias("__one")).drop("__one")
