@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import mmap
+from functools import cached_property
 
 import numpy as np
 
@@ -27,6 +28,11 @@ class EliasFano:
         self.high = words[self.HEAD + n_low : self.HEAD + n_low + n_high]
         self.size = self.HEAD + n_low + n_high
 
+    @cached_property
+    def ones(self) -> np.ndarray:
+        """Set bits up to each word of the high part."""
+        return np.cumsum(_POPCOUNT[self.high.view(np.uint8)].reshape(-1, 8).sum(1, dtype=np.int64))
+
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
         values = np.asarray(values, np.uint64)
@@ -54,7 +60,7 @@ class EliasFano:
         stop = self.n if stop is None else stop
         if stop <= start:
             return np.zeros(0, np.uint64)
-        ones = np.cumsum(_POPCOUNT[self.high.view(np.uint8)].reshape(-1, 8).sum(1, dtype=np.int64))
+        ones = self.ones
         first, last = int(np.searchsorted(ones, start, "right")), int(np.searchsorted(ones, stop - 1, "right"))
         before = int(ones[first - 1]) if first else 0
         place = np.flatnonzero(np.unpackbits(self.high[first : last + 1].view(np.uint8), bitorder="little"))[start - before : stop - before]

@@ -34,7 +34,7 @@ from tributary.llm.units import chunks, crc32_text, words
 from tributary.session import materialize, parts_for
 
 CHUNK_BYTES = 8 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 DISCOUNT = 0.75
 #: Added to each unigram count.
 ADDED = 0.1
@@ -132,11 +132,12 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_ou
         with np.errstate(divide="ignore", invalid="ignore"):
             backoff = quantised(np.where(types > 0, DISCOUNT * types / count, 0))
         trie = Trie.build(contexts, types, pairs & np.uint64((1 << KEY_BITS) - 1), backoff, quantised((n_pair - DISCOUNT) / count[of]))
-        out = []
-        for a, key, rank, x, y in zip(asked, keys, ranks, cuts, cuts[1:]):
-            own = trie.find_contexts(a[0])
-            place = trie.find_children(np.repeat(own, a[2]), key)
-            out.append(packed(count[at[x:y]].astype(np.int64), trie.backoff[own], np.where(place >= 0, trie.probability[place] if trie.children.n else 0, 0).astype(np.uint8)))
+        own = trie.find_contexts(contexts)
+        every = np.concatenate(ranks)
+        place = trie.find_children(own[every], np.concatenate(keys))  # all chunks' lists at once: a level is decoded once
+        said = np.where(place >= 0, trie.probability[place] if trie.children.n else 0, 0).astype(np.uint8)
+        ends = np.cumsum([0, *map(len, ranks)])
+        out = [packed(count[at[x:y]].astype(np.int64), trie.backoff[own[at[x:y]]], said[u:v]) for x, y, u, v in zip(cuts, cuts[1:], ends, ends[1:])]
         first = np.arange(len(out)) == 0
         return pa.table([table.column("shard"), table.column("chunk"), pa.array(out, pa.binary()), pa.array(np.where(first, int(count.sum()), 0)), pa.array(np.where(first, int((count > 0).sum()), 0))],
                         names=["shard", "chunk", "answer", "trained", "known"])
