@@ -235,7 +235,7 @@ def test_warc(spark, tmp_path):
     got = sorted(map(tuple, warc.by_page(warc.round_trip(df, f"file://{tmp_path}/w")).collect()))
     assert got == brute.warc([(p[0], p[2]) for p in pages])
     capture = warc.assemble(warc.read_records(spark, f"file://{tmp_path}/w")).where("metadata.page_id = 1").first()
-    assert bytes(capture.response.payload) == "yé\r\n\r\n".encode() and bytes(capture.request).startswith(b"GET http://a/1 ")
+    assert bytes(capture.payload) == "yé\r\n\r\n".encode() and bytes(capture.request).startswith(b"GET http://a/1 ")
     assert warc.by_page(warc.round_trip(df.limit(0))).collect() == []
     odd = spark.createDataFrame([(None, None, "x"), (None, None, "x"), (4, "a\r\nb", "x")], "page_id long, url string, html string")
     assert sorted(((r.page_id, r.record_type) for r in warc.by_page(warc.round_trip(odd)).collect()), key=repr) == [(4, "response"), (None, "response"), (None, "response")]

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.session import shared_dir
@@ -35,9 +35,11 @@ SALTS = 32
 LEVEL = 1
 DATE = "2020-01-01T00:00:00Z"
 
-RECORDS = "capture string, record_type string, record_id string, target string, refers_to string, digest string, page_id long, block binary"
-CAPTURES = ("capture string, target string, request binary, response struct<record_type: string, refers_to: string, digest: string, head: string, payload: binary>, "
-            "metadata struct<page_id: bigint>")
+#: Bytes given to the decompressor at a time: a member's rest is copied when the member ends.
+FED = 1 << 14
+
+RECORDS = ("capture string, record_type string, record_id string, target string, refers_to string, digest string, page_id long, "
+           "head string, payload_bytes long, payload binary")
 
 
 def _record(kind: str, record_id: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -115,62 +117,98 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, id_col: str = "pa
     return rows.mapInArrow(run, "archive string, bytes long")
 
 
+def members(data: bytes) -> Iterator[bytes]:
+    """The unpacked gzip members of an archive, one after another."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            fed = view[at : at + FED]
+            if not len(fed):
+                raise ValueError("the archive ends inside a record")
+            parts.append(z.decompress(fed))
+            at += len(fed) - len(z.unused_data)
+        yield b"".join(parts)
+
+
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers by lower-case name, block) of each record of an archive of gzip members."""
-    while data:
-        z = zlib.decompressobj(31)
-        member = z.decompress(data)
-        data = z.unused_data
-        while member.strip(b"\r\n"):
-            head, _, rest = member.partition(b"\r\n\r\n")
-            fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:] if ": " in line)
-            fields = {k.lower(): v for k, v in fields.items()}
-            size = int(fields["content-length"])
-            yield fields, rest[:size]
-            member = rest[size + 4 :]
+    for member in members(data):
+        at = 0
+        while at < len(member):
+            end = member.index(b"\r\n\r\n", at)
+            lines = member[at:end].decode().split("\r\n")[1:]
+            fields = {k.lower(): v for k, _, v in (line.partition(": ") for line in lines)}
+            start = end + 4
+            at = start + int(fields["content-length"])
+            yield fields, member[start:at]
+            at += 4
 
 
 def _bare(value: str | None) -> str | None:
     return value.strip("<>") if value else None
 
 
+def _row(h: dict[str, str], block: bytes) -> tuple:
+    """A record as a row of RECORDS; a response's payload must have the digest that its header names."""
+    own, kind, digest = _bare(h.get("warc-record-id")), h["warc-type"], h.get("warc-payload-digest")
+    page = head = size = payload = None
+    if kind == "metadata":
+        value = block.partition(b"page-id: ")[2].split(b"\r\n")[0]
+        page = int(value) if value else None
+    elif kind == "request":
+        payload = block
+    else:
+        raw, _, body = block.partition(b"\r\n\r\n")
+        head = raw.decode()
+        if kind == "response":
+            payload, size = body, len(body)
+            if digest != f"sha1:{digest_of(body)}":
+                raise ValueError(f"the payload of {own} has another digest than its record")
+        else:
+            size = int(head.rpartition("Content-Length: ")[2])
+    return _bare(h.get("warc-concurrent-to")) or own, kind, own, h.get("warc-target-uri"), _bare(h.get("warc-refers-to")), digest and digest.removeprefix("sha1:"), page, head, size, payload
+
+
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
     """One row a record: RECORDS. capture is the record that it belongs to: its own, or the one it is concurrent to."""
+    names = [f.split()[0] for f in RECORDS.split(", ")]
+    kinds = [{"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}[f.split()[1]] for f in RECORDS.split(", ")]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in RECORDS.split(", ")]
-        kinds = [pa.int64() if n == "page_id" else pa.binary() if n == "block" else pa.string() for n in names]
-        for batch in batches:
-            for content in batch.column(0):
-                rows, size = [], 0
-                for h, block in records(content.as_py()):
-                    own = _bare(h.get("warc-record-id"))
-                    page = block.partition(b"page-id: ")[2].split(b"\r\n")[0] if h["warc-type"] == "metadata" else b""
-                    rows.append((_bare(h.get("warc-concurrent-to")) or own, h["warc-type"], own, h.get("warc-target-uri"), _bare(h.get("warc-refers-to")), h.get("warc-payload-digest"), int(page) if page else None, block))
-                    size += len(block)
-                    if size >= 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-                        rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+        for content in (c for b in batches for c in b.column(0)):
+            rows, size = [], 0
+            for h, block in records(content.as_py()):
+                rows.append(_row(h, block))
+                size += len(block)
+                if size >= 8 << 20:
+                    yield batch(rows)
+                    rows, size = [], 0
+            if rows:
+                yield batch(rows)
 
     archives = spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content")
     return archives.mapInArrow(run, RECORDS)
 
 
 def assemble(rows: DataFrame) -> DataFrame:
-    """One nested row a capture, from all records that name it."""
-    answer = F.col("record_type").isin("response", "revisit")
-    head = F.expr("decode(substring(block, 1, 4096), 'ISO-8859-1')")
-    body = F.locate("\r\n\r\n", head)
-    part = F.struct("record_type", "refers_to", F.regexp_replace("digest", "^sha1:", "").alias("digest"), F.substring(head, F.lit(1), body - 1).alias("head"),
-                    F.when(F.col("record_type") == "response", F.expr("substring(block, __body + 4)")).alias("payload"))
-    rows = rows.withColumn("__body", body)
+    """One nested row a capture, from all records that name it: capture, target, request, response, metadata, payload.
+
+    Each field is an aggregate of its own; the payload stands beside the response, so that a query without it does not
+    shuffle it.
+    """
+    def of(name: str, *kinds: str) -> Column:
+        return F.first(F.when(F.col("record_type").isin(*kinds), F.col(name)), ignorenulls=True)
+
+    answers = ("response", "revisit")
+    fields = {"record_type": answers, "refers_to": answers, "digest": answers, "head": answers, "payload_bytes": answers}
     grouped = rows.groupBy("capture").agg(
-        F.max(F.when(answer, F.col("target"))).alias("target"),
-        F.collect_list(F.when(F.col("record_type") == "request", F.col("block"))).alias("requests"),
-        F.collect_list(F.when(answer, part)).alias("responses"),
-        F.collect_list(F.when(F.col("record_type") == "metadata", F.struct("page_id"))).alias("metadatas"))
-    return grouped.select("capture", "target", F.get("requests", F.lit(0)).alias("request"), F.get("responses", F.lit(0)).alias("response"), F.get("metadatas", F.lit(0)).alias("metadata"))
+        of("target", *answers).alias("target"), of("payload", "request").alias("request"), of("page_id", "metadata").alias("page_id"), of("payload", "response").alias("payload"),
+        *(of(name, *kinds).alias(f"response_{name}") for name, kinds in fields.items()))
+    return grouped.select("capture", "target", "request", F.struct(*(F.col(f"response_{n}").alias(n) for n in fields)).alias("response"), F.struct("page_id").alias("metadata"), "payload")
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -> DataFrame:
@@ -183,7 +221,6 @@ def round_trip(pages: DataFrame, folder: str | None = None, least_bytes: int = 0
 
 
 def by_page(captures: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to; a revisit's length is in its HTTP header."""
-    length = F.regexp_extract("response.head", r"Content-Length: (\d+)", 1).cast("long")
-    return captures.select("metadata.page_id", F.coalesce(F.octet_length("response.payload").cast("long"), length).alias("payload_bytes"), F.col("response.digest").alias("payload_digest"),
-                           F.col("response.record_type").alias("record_type"), F.regexp_extract("response.refers_to", r"(-?\d+)$", 1).try_cast("long").alias("refers_to"))
+    """page_id, payload_bytes, payload_digest, record_type, refers_to; a revisit's length is that in its HTTP header."""
+    return captures.select("metadata.page_id", "response.payload_bytes", F.col("response.digest").alias("payload_digest"), "response.record_type",
+                           F.regexp_extract("response.refers_to", r"(-?\d+)$", 1).try_cast("long").alias("refers_to"))
