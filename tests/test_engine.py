@@ -257,6 +257,32 @@ def test_dumps(spark, tmp_path):
     assert [tuple(r) for r in entities.to_rows(entities.read_xml(spark, f"{tmp_path}/d.xml")).collect()] == rows
 
 
+def test_pages_of_listed_claims(spark, tmp_path):
+    item = {"entity-type": "item", "numeric-id": 328}
+    texts = {
+        "Q1": {"label": {"en": "universe"}, "claims": [
+            {"m": ["value", 373, "string", "Say \"Uni & <verse>\""], "q": [], "refs": [[["value", 143, "wikibase-entityid", item], ["value", 813, "time", {"time": "+2013"}]], [["novalue", 5]]], "g": "Q1$1"},
+            {"m": ["value", 361, "wikibase-entityid", item], "q": [["value", 31, "quantity", {"amount": "+25"}], ["value", 6, "bad", "x"]], "refs": []},
+            {"m": ["somevalue", 40], "q": [], "refs": []},
+            {"m": ["value", 625, "globecoordinate", {"latitude": 1.5, "longitude": 2}], "q": [], "refs": []}]},
+        "Q2": {}, "Q3": {"claims": []}, "Q4": {"claims": [{"m": ["value", "", "bad"], "refs": [], "q": []}]}, "Q5": {"claims": [{"m": ["value", "", "unknown"], "refs": [], "q": []}]},
+        "Q6": {"entity": "Q6", "redirect": "Q1"}}
+
+    def page(title, text, model="wikibase-item"):
+        text = text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
+        return f'<page><title>{title}</title><ns>0</ns><id>1</id><revision><id>2</id><contributor><username>x</username><id>3</id></contributor><model>{model}</model><format>application/json</format><text xml:space="preserve">{text}</text></revision></page>'
+
+    pages = [*(page(title, json.dumps(text)) for title, text in texts.items()), page("Talk:Q1", "{}", "wikitext"), page("Q7", "no JSON")]
+    newer = json.dumps({"type": "item", "id": "Q8", "claims": {"P9": [_claim("P9", "string", "x")]}})
+    (tmp_path / "d.xml").write_text('<mediawiki xmlns="http://www.mediawiki.org/xml/export-0.8/" version="0.8">\n' + "\n".join([*pages, page("Q8", newer)]) + "\n</mediawiki>")
+    got = entities.read_xml(spark, f"{tmp_path}/d.xml")
+    assert {r.title: len(r.claims) for r in got.collect()} == {"Q1": 4, "Q2": 0, "Q3": 0, "Q4": 0, "Q5": 0, "Q6": 0, "Q8": 1}
+    assert [tuple(r) for r in entities.to_rows(got).collect()] == [
+        ("Q1", "claim", 373, "string", 'Say "Uni & <verse>"'), ("Q1", "reference", 143, "wikibase-item", "Q328"), ("Q1", "reference", 813, "time", "+2013"), ("Q1", "reference", 5, "unknown", "novalue"),
+        ("Q1", "claim", 361, "wikibase-item", "Q328"), ("Q1", "qualifier", 31, "quantity", "+25"), ("Q1", "claim", 40, "unknown", "somevalue"),
+        ("Q1", "claim", 625, "globecoordinate", "N1.5, E2"), ("Q8", "claim", 9, "string", "x")]
+
+
 def test_evaluation(spark, model, nt_file):
     subjects = evaluate.subjects(model, to_transactions(read_ntriples(spark, nt_file), typed=True))
     counts = {name: handler(subjects).count() for name, handler in evaluate.HANDLERS.items()}

@@ -17,7 +17,10 @@ ENTITY = ("wikibase-item", "wikibase-property", "wikibase-lexeme", "wikibase-sen
 
 _RAW = "struct<snaktype: string, property: string, datatype: string, datavalue: struct<value: string, type: string>>"
 _STATEMENT = f"struct<mainsnak: {_RAW}, qualifiers: map<string, array<{_RAW}>>, `references`: array<struct<snaks: map<string, array<{_RAW}>>>>>"
-_ENTITY = f"struct<type: string, id: string, claims: map<string, array<{_STATEMENT}>>>"
+_CLAIMS = f"map<string, array<{_STATEMENT}>>"
+_ENTITY = f"struct<type: string, id: string, claims: {_CLAIMS}>"
+#: The older form in MediaWiki pages; a snak is [snaktype, property, datatype, value].
+_LISTED = "array<struct<m: array<string>, q: array<array<string>>, refs: array<array<array<string>>>>>"
 
 
 def from_rows(rows: DataFrame) -> DataFrame:
@@ -86,19 +89,60 @@ def _all(by_property: Column) -> Column:
     return F.filter(F.transform(F.flatten(lists), _snak), lambda s: s.isNotNull())
 
 
-def from_json(lines: DataFrame) -> DataFrame:
-    """Entities from a column `value` of JSON texts; only those of type item."""
-    parsed = lines.select(F.from_json("value", _ENTITY).alias("e")).where("e.type = 'item'").select("e.id", "e.claims")
+def _claims(by_property: Column) -> Column:
+    """Claims of a map of statements by property."""
     empty = F.array().cast(f"array<{SNAK}>")
-    keys = F.array_sort(F.map_keys("claims"))
-    statements = F.flatten(F.transform(keys, lambda k: F.element_at("claims", k)))
+    keys = F.array_sort(F.map_keys(by_property))
+    statements = F.flatten(F.transform(keys, lambda k: F.element_at(by_property, k)))
 
     def claim(s: Column) -> Column:
         references = F.flatten(F.transform(s["references"], lambda r: _all(r["snaks"])))
         return F.struct(_snak(s["mainsnak"]).alias("mainsnak"), F.coalesce(_all(s["qualifiers"]), empty).alias("qualifiers"), F.coalesce(references, empty).alias("references"))
 
     claims = F.filter(F.transform(statements, claim), lambda c: c["mainsnak"].isNotNull())
-    return parsed.select(F.col("id").alias("title"), F.coalesce(claims, F.array().cast(f"array<{CLAIM}>")).alias("claims"))
+    return F.coalesce(claims, F.array().cast(f"array<{CLAIM}>"))
+
+
+def _listed_snak(raw: Column) -> Column:
+    """The decoded snak of a list; null for one that cannot be read, such as of datatype `bad`."""
+    kind, value = F.get(raw, F.lit(2)), F.get(raw, F.lit(3))
+
+    def at(path: str) -> Column:
+        return F.get_json_object(value, f"$.{path}")
+
+    text = (F.when(kind == "string", value).when((kind == "wikibase-entityid") & (at("entity-type") == "item"), F.concat(F.lit("Q"), at("numeric-id")))
+            .when(kind == "time", at("time")).when(kind == "quantity", at("amount"))
+            .when(kind == "globecoordinate", F.concat(F.lit("N"), at("latitude"), F.lit(", E"), at("longitude"))))
+    snaktype = F.get(raw, F.lit(0))
+    known, named = snaktype == "value", F.when(kind == "wikibase-entityid", "wikibase-item").otherwise(kind)
+    out = F.struct(F.get(raw, F.lit(1)).try_cast("int").alias("property_id"), F.when(known, named).otherwise("unknown").alias("datatype"), F.when(known, text).otherwise(snaktype).alias("value"))
+    return F.when(out["property_id"].isNotNull() & out["value"].isNotNull(), out)
+
+
+def _listed_claims(statements: Column) -> Column:
+    """Claims of a list of {m, q, refs}."""
+    def snaks(raw: Column) -> Column:
+        return F.coalesce(F.filter(F.transform(raw, _listed_snak), lambda s: s.isNotNull()), F.array().cast(f"array<{SNAK}>"))
+
+    claims = F.transform(statements, lambda s: F.struct(_listed_snak(s["m"]).alias("mainsnak"), snaks(s["q"]).alias("qualifiers"), snaks(F.flatten(s["refs"])).alias("references")))
+    return F.filter(claims, lambda c: c["mainsnak"].isNotNull())
+
+
+def from_json(lines: DataFrame) -> DataFrame:
+    """Entities from a column `value` of JSON texts; only those of type item."""
+    parsed = lines.select(F.from_json("value", _ENTITY).alias("e")).where("e.type = 'item'").select("e.id", "e.claims")
+    return parsed.select(F.col("id").alias("title"), _claims(F.col("claims")).alias("claims"))
+
+
+def from_pages(pages: DataFrame) -> DataFrame:
+    """Entities from (title, value) pages, value a JSON object with claims as a map by property or as a list.
+
+    A page without claims gives an entity without claims; one whose text is no JSON object is left out.
+    """
+    parsed = pages.where(F.json_object_keys("value").isNotNull()).select("title", F.from_json("value", "struct<id: string, claims: string>").alias("e"))
+    listed = F.from_json("e.claims", _LISTED)
+    claims = F.when(F.ltrim("e.claims").startswith("["), _listed_claims(listed)).otherwise(_claims(F.from_json("e.claims", _CLAIMS)))
+    return parsed.select(F.coalesce("title", "e.id").alias("title"), F.coalesce(claims, F.array().cast(f"array<{CLAIM}>")).alias("claims"))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -108,11 +152,11 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_xml(spark: SparkSession, path: str) -> DataFrame:
-    """A MediaWiki export: pages of the item model hold an entity's JSON."""
+    """A MediaWiki export: pages of the item model hold an entity's JSON, and their title is the entity's."""
     schema = "title string, revision struct<model: string, text: string>"
     text = "struct<_VALUE: string>"
     pages = spark.read.format("xml").option("rowTag", "page").schema(schema.replace("text: string", f"text: {text}")).load(path)
-    return from_json(pages.where("revision.model = 'wikibase-item'").select(F.col("revision.text._VALUE").alias("value")))
+    return from_pages(pages.where("revision.model = 'wikibase-item'").select("title", F.col("revision.text._VALUE").alias("value")))
 
 
 def read_pairs(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
