@@ -119,6 +119,27 @@ def language_model(rows):
     return {i: (zlib.crc32(str(i).encode()) % 10 == 0, len(t), sum(count[w] > 0 for w in t), n, sum(math.log10(base(w)) for w in t), sum(math.log10(model(a, w)) for a, w in zip([b" ", *t], t))) for i, t in tokens.items()}
 
 
+def trigram_scores(rows):
+    """Score by id, with an unquantised trigram model; a document's first word has one context, the end."""
+    tokens = {i: [b" ", *lower_words(t), b" "] for i, t in rows}
+    trained = [i for i in tokens if zlib.crc32(str(i).encode()) % 10]
+    count = Counter(w for i in trained for w in tokens[i][1:])
+    n, v = sum(count.values()), len(count)
+    grams = Counter(tuple(tokens[i][k : k + size]) for i in trained for size in (2, 3) for k in range(len(tokens[i]) - size + 1))
+    total, types = Counter(), Counter()
+    for g, c in grams.items():
+        total[g[:-1]] += c
+        types[g[:-1]] += 1
+
+    def p(context, w):
+        if not context:
+            return (count[w] + 0.1) / (n + 0.1 * (v + 1))
+        shorter, own = p(context[1:], w), total[context]
+        return max(grams[(*context, w)] - 0.75, 0) / own + 0.75 * types[context] / own * shorter if own else shorter
+
+    return {i: sum(math.log10(p(tuple(t[max(0, k - 2) : k]), t[k])) for k in range(1, len(t))) for i, t in tokens.items()}
+
+
 def warc(pages):
     """Sorted result rows from (page_id, html), ids not null."""
     first = {}

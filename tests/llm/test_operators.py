@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tempfile
 import zlib
 from collections import defaultdict
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tributary.llm import bpe, lm, neardup, packing, pii, quality, secrets, sharding, topk, warc
+from tributary.llm import bpe, lm, neardup, packing, pii, quality, registry, secrets, sharding, topk, warc
 from tributary.llm.eliasfano import EliasFano, Trie
 
 SF = "/root/testdata/sf0.001"
@@ -132,6 +133,26 @@ def test_language_model(spark, docs, rows, sample):
     assert [(r.held_out, r.n_tokens, r.train_tokens, r.score) for r in lm.score(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).collect()] == [(True, 3, 0, 0.0)]
 
 
+def test_language_model_of_trigrams(spark, docs, rows, sample):
+    for df, own in ((docs, rows), (sample, [(r.doc_id, r.text) for r in sample.collect()])):
+        want, got = brute.trigram_scores(own), lm.score(df, order=3).collect()
+        assert len(got) == len(want)
+        for r in got:
+            assert abs(r.score - want[r.doc_id]) < 1.0 / lm.STEPS * r.n_tokens + 1e-9  # two quantised weights
+    assert lm.score(docs.limit(0), order=3).collect() == []
+    told = [(i, "to be or not to be told" if i % 2 else "had it or not had it sold") for i in range(1, 30)] + [(30, "or not to be told"), (31, "")]
+    df = spark.createDataFrame(told, "doc_id long, text string")
+    want, got = brute.trigram_scores(told), {r.doc_id: r.score for r in registry_lm(spark, df)}
+    pairs = {r.doc_id: r.score for r in lm.score(df).collect()}
+    assert all(abs(got[i] - want[i]) < abs(pairs[i] - want[i]) for i in range(1, 30))  # contexts of two words tell
+
+
+def registry_lm(spark, df):
+    folder = tempfile.mkdtemp()
+    df.write.parquet(f"{folder}/documents.parquet")
+    return registry.QUERIES["op7_elias_fano_lm"](spark, folder).collect()
+
+
 @pytest.mark.parametrize("values", [[], [0], [5, 5, 5], [0, 1, 2, 1 << 60], list(range(0, 5000, 7)), sorted(random.Random(3).choices(range(1 << 50), k=3000))])
 def test_elias_fano(values):
     sequence = EliasFano.build(np.array(values, np.uint64))

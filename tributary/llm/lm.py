@@ -1,17 +1,20 @@
-"""Bigram language-model scores from a sharded Elias-Fano trie with quantised smoothed probabilities.
+"""N-gram language-model scores from a sharded Elias-Fano trie with quantised smoothed probabilities.
 
-Method. Each chunk of documents sends its distinct words and bigrams, with their counts in training documents, to the
-shard of their first word. A shard adds up what all chunks send, smooths by absolute discounting, quantises
-probabilities to one byte and builds a trie: contexts, monotone pointers, and children's keys in Elias-Fano form in a
-mapped buffer. It answers each chunk's own list by successor search from the context, and the chunk scores its
-documents. No task holds the whole model; shards follow the input's size, so what is gathered grows with it.
+Method. Each chunk of documents sends its distinct contexts and n-grams of each order from two on, with the n-grams'
+counts in training documents, to the shard of their context. A shard adds up what all chunks send, smooths by absolute
+discounting, quantises probabilities to one byte and builds a trie level for each order: contexts, monotone pointers,
+and children's keys in Elias-Fano form in a mapped buffer. It answers each chunk's own list by successor search from
+the context, and the chunk scores its documents. No task holds the whole model; shards follow the input's size, so
+what is gathered grows with it. Longer contexts are dealt by all their words, so a frequent word's are spread.
 
-Words are known by 60-bit hashes, and a word's continuations by 40 bits of theirs. A document's context before its
-first word is the end of text.
+Words are known by 60-bit hashes and their continuations by 40 bits of theirs; longer contexts by 52 bits and theirs by
+32, as they are most of what is sent (a chance of about 1e-6 that one meets another's counts at 30 GB). A document's context
+before its first word is the end of text; a longer context begins there at the earliest.
 
 P(w | v) = max(c(v, w) - D, 0) / c(v) + D * T(v) / c(v) * P(w), with T(v) the distinct continuations of v, D = 0.75,
-and P(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)); after a context without counts, P(w). The first term and the weight of
-P(w) are quantised: log10 in steps of 1/30.
+and P(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)); after a context without counts, P(w). P(w | u v) is the
+same with the counts of u v and P(w | v) in place of P(w), and so on for higher orders. The first term and the weight
+of the lower order are quantised: log10 in steps of 1/30.
 
 Cases. A null text counts as empty: one token, the end. A null doc_id counts as held out (the CRC of no text is 0).
 Repeated rows count each. An empty table gives an empty result; without training documents N = V = 0 and every token
@@ -40,7 +43,10 @@ DISCOUNT = 0.75
 ADDED = 0.1
 #: Steps of the quantised log10 a unit; code 0 means none, code c a probability of 10 ** -((c - 1) / STEPS).
 STEPS = 30
-HASH_MASK = (1 << 60) - 1
+HASH_BITS, LONGER_BITS = 60, 52
+HASH_MASK = (1 << HASH_BITS) - 1
+#: Bits of a word's key as a longer context's continuation.
+LONGER_KEY_BITS = 32
 #: No word, as a word has no blank.
 END = b" "
 
@@ -58,10 +64,31 @@ def _child_keys(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(20)) & np.uint64((1 << KEY_BITS) - 1)
 
 
+def _context_hashes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of contexts that are a word longer than those before."""
+    x = before * np.uint64(0x9E3779B97F4A7C15) + word
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(32))) >> np.uint64(64 - LONGER_BITS)
+
+
+class Level:
+    """The distinct n-grams of one order, in the order of their contexts' hashes, which is that of the shards too."""
+
+    def __init__(self, hashes: np.ndarray, rank: np.ndarray, places: np.ndarray, before: np.ndarray, words: np.ndarray, by_key: tuple[np.ndarray, np.ndarray], shards: int, bits: int):
+        """hashes: of the contexts, sorted; before: the context's rank at each of the places; words: the last word there."""
+        key_order, key_rank = by_key
+        self.contexts, self.places = hashes, places.astype(np.int32)
+        self.shard = (((hashes >> np.uint64(bits - 48)) * np.uint64(shards)) >> np.uint64(48)).astype(np.int32)
+        grams, gram_of = np.unique(rank[before] * len(key_rank) + key_rank[words], return_inverse=True)
+        self.gram_of = gram_of.astype(np.int32)
+        self.first, self.last = (grams // len(key_rank)).astype(np.int32), key_order[grams % len(key_rank)].astype(np.int32)
+
+
 class Chunk:
-    """A chunk's tokens as codes, its distinct words by shard and its distinct bigrams in the shards' order."""
+    """A chunk's tokens as codes, and its levels of n-grams from bigrams to the highest order."""
 
-    def __init__(self, offsets: np.ndarray, codes: np.ndarray, hashes: np.ndarray, shards: int):
+    def __init__(self, offsets: np.ndarray, codes: np.ndarray, hashes: np.ndarray, shards: int, highest: int):
         """hashes: of the distinct words, the end last; codes: a document's words without the end."""
         self.hashes, end = hashes, len(hashes) - 1
         n_docs = len(offsets) - 1
@@ -72,22 +99,78 @@ class Chunk:
         before = np.empty_like(self.tokens)
         before[1:] = self.tokens[:-1]
         before[self.offsets[:-1]] = end
-        # words in the shards' order: by shard, then hash
-        self.shard = (hashes % np.uint64(shards)).astype(np.int64)
-        self.order = np.lexsort((hashes, self.shard))
-        rank = np.empty(len(hashes), np.int64)
-        rank[self.order] = np.arange(len(hashes))
         key_order = np.argsort(_child_keys(hashes), kind="stable")
-        key_rank = np.empty(len(hashes), np.int64)
-        key_rank[key_order] = np.arange(len(hashes))
-        pair = rank[before] * len(hashes) + key_rank[self.tokens]
-        self.pairs, self.pair_of = np.unique(pair, return_inverse=True)
-        self.first = self.pairs // len(hashes)  # the first word's place in the shards' order
-        self.second = key_order[self.pairs % len(hashes)]
-
-
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_of: int = 10) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+        by_key = key_order, _inverse(key_order)
+        self.order = np.argsort(hashes, kind="stable")
+        level = Level(hashes[self.order], _inverse(self.order), np.arange(len(self.tokens)), before, self.tokens, by_key, shards, HASH_BITS)
+        self.levels = [level]
+        for _ in range(highest - 2):
+            # the n-grams that a word follows are the next order's contexts
+            goes_on = self.tokens[level.places] != end
+            longer = np.flatnonzero(level.last != end)
+            own = _context_hashes(level.contexts[level.first[longer]], hashes[level.last[longer]])
+            order = np.argsort(own, kind="stable")
+            rank = np.zeros(len(level.last), np.int64)
+            rank[longer[order]] = np.arange(len(order))
+            places = level.places[goes_on] + 1
+            level = Level(own[order], rank, places, level.gram_of[goes_on], self.tokens[places], by_key, shards, LONGER_BITS)
+            self.levels.append(level)
+
+
+def _inverse(order: np.ndarray) -> np.ndarray:
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank
+
+
+def _cells(level: Level, shards: np.ndarray, hashes: np.ndarray, counts: np.ndarray, longer: bool) -> list[list[np.ndarray]]:
+    """What each of the shards is sent of a level: the contexts' hashes as steps, their numbers of n-grams, keys, counts.
+
+    High and low parts go apart, as most of the high ones are alike.
+    """
+    keys, sizes = _child_keys(hashes)[level.last], np.bincount(level.first, minlength=len(level.contexts))
+    out = []
+    for start, stop in zip(np.searchsorted(level.shard, shards), np.searchsorted(level.shard, shards, "right")):
+        step, size = np.diff(level.contexts[start:stop], prepend=np.uint64(0)), sizes[start:stop]
+        own = slice(*np.searchsorted(level.first, (start, stop)))
+        key, count = keys[own], counts[own]
+        if longer:
+            key = key & np.uint64((1 << LONGER_KEY_BITS) - 1)
+        out.append([(step >> np.uint64(32)).astype(np.uint32), step.astype(np.uint32), (size >> 8).astype(np.uint32), size.astype(np.uint8),
+                    (key >> np.uint64(32)).astype(np.uint8), key.astype(np.uint32), (count >> 8).astype(np.uint32), count.astype(np.uint8)])
+    return out
+
+
+#: Arrays of a level in a cell.
+CELL = 8
+
+
+def _answers(asked: list[list[np.ndarray]]) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+    """Counts and codes of the contexts and codes of the n-grams for each chunk's list of one level, and all counts."""
+    u64 = np.uint64
+    hashes = [np.cumsum((a[0].astype(u64) << u64(32)) | a[1], dtype=u64) for a in asked]
+    contexts, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    cuts = np.cumsum([0, *map(len, hashes)])
+    every = np.repeat(at, np.concatenate([(a[2].astype(np.int64) << 8) | a[3] for a in asked]))
+    keys = (np.concatenate([a[4] for a in asked]).astype(u64) << u64(32)) | np.concatenate([a[5] for a in asked])
+    grams, which = np.unique((every.astype(u64) << u64(KEY_BITS)) | keys, return_inverse=True)
+    n_gram = np.bincount(which, np.concatenate([(a[6].astype(np.int64) << 8) | a[7] for a in asked]), len(grams))
+    del which
+    grams, n_gram = grams[n_gram > 0], n_gram[n_gram > 0]
+    of = (grams >> u64(KEY_BITS)).astype(np.int64)
+    count, types = np.bincount(of, n_gram, len(contexts)), np.bincount(of, minlength=len(contexts))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        backoff = quantised(np.where(types > 0, DISCOUNT * types / count, 0))
+    trie = Trie.build(contexts, types, grams & u64((1 << KEY_BITS) - 1), backoff, quantised((n_gram - DISCOUNT) / count[of]))
+    own = trie.find_contexts(contexts)
+    place = trie.find_children(own[every], keys)  # all chunks' lists at once: a level is decoded once
+    said = np.where(place >= 0, trie.probability[place] if trie.children.n else 0, 0).astype(np.uint8)
+    ends = np.cumsum([0, *(len(a[5]) for a in asked)])
+    return [(count[at[x:y]].astype(np.int64), trie.backoff[own[at[x:y]]], said[u:v]) for x, y, u, v in zip(cuts, cuts[1:], ends, ends[1:])], count
+
+
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_of: int = 10, order: int = 2) -> DataFrame:
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score by n-grams of the order."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shards = parts_for(docs, SHARD_BYTES, 24)
 
@@ -99,45 +182,22 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_ou
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, ids, offsets, codes, hashes in cut(batches):
-            c = Chunk(offsets, codes, hashes, shards)
+            c = Chunk(offsets, codes, hashes, shards, order)
             trains = np.array([crc32_text(i) % held_out_of != 0 for i in ids])
             weight = np.repeat(trains, np.diff(c.offsets)).astype(np.int64)
-            n_word = np.bincount(c.tokens, weight, len(hashes)).astype(np.uint32)[c.order]
-            n_pair = np.bincount(c.pair_of, weight, len(c.pairs)).astype(np.uint32)
-            shard_of = c.shard[c.order]
-            present = np.unique(shard_of)
-            word_cuts = np.append(np.searchsorted(shard_of, present), len(shard_of))
-            pair_cuts = np.searchsorted(c.first, word_cuts)
-            keys, sizes = _child_keys(c.hashes)[c.second], np.bincount(c.first, minlength=len(hashes))
-            blobs = []
-            for i in range(len(present)):
-                w, p = slice(word_cuts[i], word_cuts[i + 1]), slice(pair_cuts[i], pair_cuts[i + 1])
-                key = keys[p]
-                blobs.append(packed(hashes[c.order[w]], n_word[w], sizes[w].astype(np.uint32), (key >> np.uint64(32)).astype(np.uint8), key.astype(np.uint32), n_pair[p]))
+            present = np.unique(np.concatenate([level.shard for level in c.levels]))
+            cells = []
+            for n, level in enumerate(c.levels):
+                cells.append(_cells(level, present, hashes, np.bincount(level.gram_of, weight[level.places], len(level.last)).astype(np.int64), n > 0))
+            blobs = [packed(*sum(cell, [])) for cell in zip(*cells)]
             yield pa.RecordBatch.from_arrays([pa.array(present, pa.int32()), pa.array([number] * len(present), pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "chunk", "asked"])
 
     def answer(table: pa.Table) -> pa.Table:
         asked = [unpacked(b.as_py()) for b in table.column("asked")]
-        keys = [(a[3].astype(np.uint64) << np.uint64(32)) | a[4] for a in asked]
-        contexts, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-        count = np.bincount(at, np.concatenate([a[1] for a in asked]), len(contexts))
-        cuts = np.cumsum([0, *(len(a[0]) for a in asked)])
-        ranks = [np.repeat(at[x:y], a[2]) for x, y, a in zip(cuts, cuts[1:], asked)]
-        pairs, which = np.unique((np.concatenate(ranks).astype(np.uint64) << np.uint64(KEY_BITS)) | np.concatenate(keys), return_inverse=True)
-        n_pair = np.bincount(which, np.concatenate([a[5] for a in asked]), len(pairs))
-        del which
-        pairs, n_pair = pairs[n_pair > 0], n_pair[n_pair > 0]
-        of = (pairs >> np.uint64(KEY_BITS)).astype(np.int64)
-        types = np.bincount(of, minlength=len(contexts))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            backoff = quantised(np.where(types > 0, DISCOUNT * types / count, 0))
-        trie = Trie.build(contexts, types, pairs & np.uint64((1 << KEY_BITS) - 1), backoff, quantised((n_pair - DISCOUNT) / count[of]))
-        own = trie.find_contexts(contexts)
-        every = np.concatenate(ranks)
-        place = trie.find_children(own[every], np.concatenate(keys))  # all chunks' lists at once: a level is decoded once
-        said = np.where(place >= 0, trie.probability[place] if trie.children.n else 0, 0).astype(np.uint8)
-        ends = np.cumsum([0, *map(len, ranks)])
-        out = [packed(count[at[x:y]].astype(np.int64), trie.backoff[own[at[x:y]]], said[u:v]) for x, y, u, v in zip(cuts, cuts[1:], ends, ends[1:])]
+        levels = [_answers([a[n : n + CELL] for a in asked]) for n in range(0, CELL * (order - 1), CELL)]
+        count = levels[0][1]
+        # counts go back for words only
+        out = [packed(*own[0], *(x for level in own[1:] for x in level[1:])) for own in zip(*(said for said, _ in levels))]
         first = np.arange(len(out)) == 0
         return pa.table([table.column("shard"), table.column("chunk"), pa.array(out, pa.binary()), pa.array(np.where(first, int(count.sum()), 0)), pa.array(np.where(first, int((count > 0).sum()), 0))],
                         names=["shard", "chunk", "answer", "trained", "known"])
@@ -159,16 +219,21 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_ou
         by_shard = dict(zip(said.column("shard").to_pylist(), said.column("answer")))
         for blob in held.column("held"):
             ids, there, lengths, codes, hashes = unpacked(blob.as_py())
-            c = Chunk(np.concatenate(([0], np.cumsum(lengths, dtype=np.int64))), codes.astype(np.int64), hashes, shards)
-            parts = [unpacked(by_shard[s].as_py()) for s in np.unique(c.shard).tolist()]
-            count, backoff, probability = (np.concatenate(x) for x in zip(*parts))
-            if len(count) != len(hashes) or len(probability) != len(c.pairs):
+            c = Chunk(np.concatenate(([0], np.cumsum(lengths, dtype=np.int64))), codes.astype(np.int64), hashes, shards, order)
+            parts = [unpacked(by_shard[s].as_py()) for s in np.unique(np.concatenate([level.shard for level in c.levels])).tolist()]
+            count, *codes_of = (np.concatenate(x) for x in zip(*parts))
+            if len(count) != len(hashes) or any(len(b) != len(v.contexts) or len(p) != len(v.last) for v, b, p in zip(c.levels, codes_of[::2], codes_of[1::2])):
                 raise ValueError("a chunk was cut differently when it was read again")
             by_word = np.empty(len(hashes), np.int64)
             by_word[c.order] = count
             base = (by_word + ADDED) / floor
-            weight = np.where(backoff > 0, LEVELS[backoff], 1.0)[c.first]
-            smooth = np.log10(np.minimum(1.0, LEVELS[probability] + weight * base[c.second]))[c.pair_of]
+            likely = base[c.tokens]
+            for level, backoff, probability in zip(c.levels, codes_of[::2], codes_of[1::2]):
+                now = likely[level.places]
+                now *= np.where(backoff > 0, LEVELS[backoff], 1.0)[level.first][level.gram_of]
+                now += LEVELS[probability][level.gram_of]
+                likely[level.places] = np.minimum(1.0, now)
+            smooth = np.log10(likely)
             n = np.diff(c.offsets)
             plain, starts = np.log10(base)[c.tokens], c.offsets[:-1]
             out.append(pa.table([

@@ -41,7 +41,7 @@ def op6_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(table(spark, sf_dir, "documents"))
+    return lm.score(table(spark, sf_dir, "documents"), order=3)
 
 
 def op8_assignment_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
