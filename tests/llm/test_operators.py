@@ -75,6 +75,19 @@ def test_assignments(text, literal):
     assert [text[a:b] for a, b in secrets.literals(text)] == ([literal] if literal else [])
 
 
+@pytest.mark.parametrize("text, literals", [
+    ('password: str = "Zx9Qw8Er7Ty6Ui5O"', ["Zx9Qw8Er7Ty6Ui5O"]), ('clientSecret: string = "Zx9Qw8Er7Ty6Ui5O"', ["Zx9Qw8Er7Ty6Ui5O"]), ("api_key: Optional[str] | None = 'Zx9Qw8Er7Ty6Ui5O'", ["Zx9Qw8Er7Ty6Ui5O"]),
+    ("password: Hunter2Zx9Qw8 = Er7Ty6Ui5O+x", ["Hunter2Zx9Qw8", "Er7Ty6Ui5O+x"]), ("note: token = Zx9Qw8Er7Ty6Ui5O", ["Zx9Qw8Er7Ty6Ui5O"]),
+    ("Authorization: Bearer Zx9Qw8Er7Ty6Ui5O", ["Zx9Qw8Er7Ty6Ui5O"]), ("Authorization: Bearer authentication", []), ('token = "Zx9Qw8Er7Ty6Ui5O"\nsecret = token something_else', ["Zx9Qw8Er7Ty6Ui5O"]),
+    ('password = """Zx9Qw8\nEr7Ty6Ui5O"""', ["Zx9Qw8\nEr7Ty6Ui5O"]), ("text = \'\'\'\ndb_password = 'Zx9Qw8Er7Ty6'\n\'\'\'", ["Zx9Qw8Er7Ty6"]), ('password = """Zx9Qw8Er7Ty6Ui5O', []),
+    ('client_secret = key1\nkey1 = "Zx9Qw8Er7Ty6Ui5O"', ["Zx9Qw8Er7Ty6Ui5O"]), ('client_auth = a\na = b\nb = a\nb = "Zx9Qw8Er7Ty6Ui5O"', ["Zx9Qw8Er7Ty6Ui5O"]), ("client_secret = abcdefghij1", ["abcdefghij1"]),
+    ('client_secret = abcdefghij1\nabcdefghij1 = "Zx9Qw8Er7Ty6Ui5O"', ["Zx9Qw8Er7Ty6Ui5O"]), ("a = b\nb = a\nsecret_key = a", []),
+    ("client_secret = abcdefghij1\nmy_password = client_secret", ["abcdefghij1"]), ("a_long_name1 = b\nsecret = a_long_name1", ["a_long_name1"]),
+])
+def test_annotations_schemes_and_later_constants(text, literals):
+    assert [text[a:b] for a, b in secrets.literals(text)] == literals
+
+
 def test_quality(spark, docs, rows, sample):
     labels = spark.createDataFrame([(18, 1, 0), (6, 0, 0), (None, 1, 0), (18, 1, None)], "doc_id long, quality int, toxic int")
     got = quality.judge(docs, labels).collect()

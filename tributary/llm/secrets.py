@@ -1,11 +1,12 @@
 """Secrets in source and configuration text: fixed patterns, and an assignment-aware lexer.
 
-Method. The text is lexed into name-literal pairs: a name, an assignment sign, and a quoted or bare literal or another
-name. Constants propagate: a name that is given another name's value stands for that value's literal. A literal is
-scored by how sensitive its target names are and by its own variety of characters; those that score enough become
+Method. The text is lexed into name-literal pairs: a name, an optional type annotation, an assignment sign, and a quoted,
+triple-quoted or bare literal, one after a scheme word such as Bearer, or another name. The text of a triple-quoted
+literal is lexed too. Constants propagate: a name that is given another name's value stands for that value's literal,
+as last set before, or where it is only set later, as set there. A literal is scored by how sensitive its target names are and by its own variety of characters; those that score enough become
 spans of kind `literal`. Spans of the fixed patterns always stay.
 
-Each text is lexed by itself in one pass, so memory is that of one text.
+Each text is lexed by itself, so memory is that of one text.
 
 Cases. A null text counts as empty: no spans. Repeated rows give repeated results; an empty table gives none. Columns
 other than the id and the text are ignored.
@@ -42,10 +43,16 @@ PLACEHOLDER = re.compile(r"(?i)\A(?:changeme|change_me|example|placeholder|dummy
 THRESHOLD = 0.5
 LEAST_LITERAL = 8
 
-#: A name, an assignment sign, then a quoted literal or a bare word.
+#: A name, a type, an assignment sign, then a quoted literal, a scheme word with what follows it, or a bare word.
 PAIR = re.compile(
-    r"""(?<![\w.$-])(?P<name>[A-Za-z_$][\w.$-]*)["']?\]?[ \t]*(?::=|=>|[:=](?![:=]))[ \t]*(?:[a-zA-Z]{0,2}(?P<quote>["'`])(?P<quoted>(?:\\.|(?!(?P=quote))[^\\\n])*)(?P=quote)|(?P<bare>[^\s"'`,;(){}<>]+))""",
-    re.ASCII)
+    r"""(?<![\w.$-])(?P<name>[A-Za-z_$][\w.$-]*)["']?\]?[ \t]*
+    (?::[ \t]*(?P<type>[A-Za-z_][\w.]*+(?:\[[\w.,|\[\] \t]{0,80}\]|<[\w.,|<> \t]{0,80}>)?\??(?:[ \t]*\|[ \t]*[A-Za-z_][\w.]*+){0,8})[ \t]*=(?![=>])|(?P<sign>:=|=>|[:=](?![:=])))[ \t]*
+    (?:[a-zA-Z]{0,2}(?:(?P<triple>"{3}|'{3})(?P<long>(?:\\[\s\S]|(?!(?P=triple))[^\\])*+)(?P=triple)|(?P<quote>["'`])(?P<quoted>(?:\\.|(?!(?P=quote))[^\\\n])*)(?P=quote))
+    |(?P<scheme>(?i:bearer|basic|token|digest|negotiate|api_?key))[ \t]+(?P<following>[^\s"'`,;(){}<>]{8,})|(?P<bare>[^\s"'`,;(){}<>]+))""",
+    re.ASCII | re.VERBOSE)
+#: Annotations that name nothing, and what after a scheme word is no token.
+TYPES = frozenset("str string String bytes bytearray char Any any object Object None unknown Text AnyStr Final Optional Union".split())
+WORD = re.compile(r"[A-Za-z_.]+", re.ASCII)
 NAME = re.compile(r"[A-Za-z_$][\w.$]*", re.ASCII)
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
@@ -68,26 +75,71 @@ def literals(text: str) -> list[tuple[int, int]]:
     """Spans of literals whose target names, own or propagated, make them secrets."""
     if "=" not in text and ":" not in text:
         return []
-    values: dict[str, tuple[int, int]] = {}  # the literal that a name stands for
+    # what each name was set to, in order: a literal's span, (a name that is set later, the span if it never is), or None
+    states: dict[str, list] = {}
+    given: list[tuple[str, tuple]] = []
+    for name, span, sign, sure in _pairs(text):
+        value, state = text[span[0] : span[1]], span
+        if not sure and ((known := states.get(value)) or NAME.fullmatch(value)):
+            # a secret's name may be given a literal that looks like a name; after `:` may stand a type
+            own = span if sure is False and sensitivity(name) >= 0.9 else None
+            state = known[-1] if known else (value, own)
+            if state is None or state[1] is None:
+                state = (state[0], own) if state else own
+            if known or own or sign != ":" and sure is False:
+                states.setdefault(name, []).append(state)
+        else:
+            states.setdefault(name, []).append(state)
+        if state:
+            given.append((name, state))
+
+    def resolved(name: str) -> tuple[int, int] | None:
+        """The literal that a name which is set later stands for."""
+        asked, met = [name], set()
+        while asked:
+            name = asked.pop()
+            if name not in met:
+                met.add(name)
+                for state in states.get(name, ()):
+                    if state and not isinstance(state[0], str):
+                        return state
+                    if state:
+                        asked.append(state[0])
+        return None
+
     score: dict[tuple[int, int], float] = {}
-    for m in PAIR.finditer(text):
-        name, kind = m["name"], "bare" if m["quote"] is None else "quoted"
-        span, value = m.span(kind), m[kind]
-        if kind == "bare":
-            known = values.get(value)
-            if known is None and NAME.fullmatch(value) and sensitivity(name) < 0.9:
-                values.pop(name, None)  # a name whose value isn't known
-                continue
-            span = known or span
+    for name, span in given:
+        weight = sensitivity(name)
+        if weight and isinstance(span[0], str):
+            span = resolved(span[0]) or span[1]
+        if weight and span:
             value = text[span[0] : span[1]]
-        values[name] = span
-        if len(value) >= LEAST_LITERAL and not PLACEHOLDER.match(value):
-            weight = sensitivity(name)
-            if weight:
+            if len(value) >= LEAST_LITERAL and not PLACEHOLDER.match(value):
                 score[span] = max(score.get(span, 0.0), weight * variety(value))
     return [s for s, x in score.items() if x >= THRESHOLD]
 
 
+def _pairs(text: str) -> Iterator[tuple[str, tuple[int, int], str, bool | None]]:
+    """(name, the value's span, sign, sure) in the text's order.
+
+    sure says whether the value is a literal; False where it may be a name, None where it is a name or nothing.
+    """
+    at = 0
+    while m := PAIR.search(text, at):
+        kind = next(k for k in ("long", "quoted", "following", "bare") if m[k] is not None)
+        span, kept, sign = m.span(kind), m["type"], "=" if m["type"] else m["sign"]
+        sure = kind in ("long", "quoted")
+        if kind == "following":
+            yield m["name"], m.span("scheme"), sign, False
+            sure = None if WORD.fullmatch(m[kind]) else True
+        if kept and kept not in TYPES and not m["quote"] and not m["triple"]:
+            yield m["name"], m.span("type"), ":", sensitivity(m["name"]) >= 0.9  # it may be the value
+        yield m["name"], span, sign, sure
+        if kept and kept not in TYPES and NAME.fullmatch(kept):
+            yield kept, span, sign, sure  # it may be the name, as in `if x: y = ...`
+        at = m.start("long") if kind == "long" else m.end()
+
+
 def spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all spans, sorted; the kind by its place in KINDS."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= LEAST_ASSIGNED] if "=" in text or ":" in text else []
