@@ -40,6 +40,27 @@ def pii(text):
     return *(counts[k] for k, _, _ in PII), hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in found).encode()).hexdigest()
 
 
+def redacted(text):
+    """The text with the base kinds' spans replaced; overlapping ones become one."""
+    if text is None:
+        return None
+    out, at = [], 0
+    for start, _, kind, end in sorted((m.start(), n, k, m.end()) for n, (k, p, ok) in enumerate(PII) for m in re.finditer(p, text) if ok(m[0])):
+        if end > at:
+            out.append(text[at:start] + f"[{kind.upper()}]" if start >= at else "")
+            at = end
+    return "".join(out) + text[at:]
+
+
+def pipeline(rows, trusted, buckets, least):
+    """(id, redacted text) of the rows that the first three stages keep, from (id, text)."""
+    ids = {n: i for n, (i, _) in enumerate(rows)}
+    score = importance([(n, t) for n, (_, t) in enumerate(rows)], {n for n, i in ids.items() if i in trusted}, buckets)
+    good = [(i, t) for n, (i, t) in enumerate(rows) if not rules(t)[5] and score[n] >= least]
+    group = components([r for r in good if r[0] is not None], 5)
+    return [(i, redacted(t)) for i, t in good if i is None or group[i][1] == i]
+
+
 def secrets(text):
     text = text or ""
     assign = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
