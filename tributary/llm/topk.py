@@ -3,9 +3,9 @@
 Method. In each block of candidates every dimension is a sorted list. A query reads the lists in step: those of its
 positive weights from the top, those of its negative weights from the bottom. What it has read gives each candidate a
 lower bound (unread entries at their list's worst end) and an upper bound (unread entries at the frontier). It stops
-when no candidate outside the running set can reach the k-th lower bound; the set's final scores are then resolved by
-reading on. Where a step excludes almost nothing, as in many dimensions of like weight, the lists are read to the end.
-The bounds of a block of queries are two matrix products a step.
+when no candidate outside the running set can reach the k-th lower bound; the set's final scores are then a matrix
+product. Where a step excludes almost nothing, as in many dimensions of like weight, the stepping ends and the product
+is that of all candidates left. The bounds of a block of queries are two matrix products a step.
 
 The queries are a stated set, met with all rows in blocks: a task holds one block of queries and one of candidates,
 and sends on k rows a query. The blocks' results merge by a window over each query.
