@@ -235,6 +235,21 @@ def test_suggest(spark, tmp_path):
     assert [r.pid2 for r in rules.search(ranked, names, "name", "en", 5).orderBy("place").collect()] == [8, 14, 20, 7, 13]
 
 
+def test_search_by_alias_in_pages(spark):
+    ranked = spark.createDataFrame([(0, p, 1.0, n + 1) for n, p in enumerate([8, 14, 20, 30])], "qid long, pid2 int, probability double, rank int")
+    terms = [(8, "en", "Name 8", "eight", ["name again"]), (14, "en", "other", None, ["x", "Named", "names"]), (20, "en", "none", None, []), (7, "en", "thing", "seven", ["NAME it"]), (9, "en", None, None, ["name 9"]), (9, "de", "Name", None, None), (5, "en", "Name 5", None, None)]
+    names = spark.createDataFrame(terms, "pid int, lang string, label string, description string, aliases array<string>")
+
+    def page(prefix, size, offset=0):
+        return [tuple(r)[1:] for r in rules.search(ranked, names, prefix, "en", size, offset).orderBy("place").collect()]
+
+    first = [(8, "Name 8", "eight", None, 1, 3), (14, "other", None, "Named", 2, 3), (5, "Name 5", None, None, 3, 3)]
+    assert page("name", 3) == first
+    assert page("name", 3, 3) == [(7, "thing", "seven", "NAME it", 4, None), (9, "P9", None, "name 9", 5, None)]
+    assert page("name", 3, 5) == [] and page("zzz", 3) == []
+    assert [r[0] for r in page("", 9)] == [8, 14, 20, 30]
+
+
 def _claim(pid, kind, value, snaktype="value", **more):
     snak = {"snaktype": snaktype, "property": pid, "datatype": kind}
     return {"mainsnak": snak | ({"datavalue": {"value": value, "type": "x"}} if value is not None else {}), **more}

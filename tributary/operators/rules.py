@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.operators.recommend import rank
@@ -88,16 +88,30 @@ def of_entities(entities: DataFrame, classifying: tuple[int, ...] = CLASSIFYING)
     return entities.select(F.col("title").alias("qid"), F.transform(main, lambda s: s["property_id"]).alias("properties"), tuples.alias("tuples"))
 
 
-def search(suggested: DataFrame, glossary: DataFrame, prefix: str, language: str, size: int) -> DataFrame:
-    """The suggestions whose label begins with the prefix in any case, best first, then other hits up to the size.
+def search(suggested: DataFrame, glossary: DataFrame, prefix: str, language: str, size: int, offset: int = 0) -> DataFrame:
+    """A page of the suggestions whose label or an alias begins with the prefix in any case, best first, then of other hits.
 
-    glossary: (pid int, lang, label). Adds label (else the id) and place, from 1.
+    glossary: (pid int, lang, label), and description string and aliases array<string> where there are any. Adds label
+    (else the id), description, the first alias that matches where the label doesn't, place (from 1, of all pages), and
+    next, the offset of the next page where this one is full. An empty prefix leaves every suggestion in.
     """
-    terms = glossary.where(F.col("lang") == language).select(F.col("pid").alias("pid2"), "label")
-    hits = terms.where(F.lower("label").startswith(prefix.lower()))
-    found = suggested.join(hits, "pid2").select("qid", "pid2", "label", F.lit(0).alias("part"), "rank")
+    def matches(text: Column) -> Column:
+        return F.lower(text).startswith(prefix.lower())
+
+    own = {"description": F.lit(None).cast("string"), "aliases": F.array().cast("array<string>")}
+    extra = [F.col(c) if c in glossary.columns else x.alias(c) for c, x in own.items()]
+    by_label = F.coalesce(matches(F.col("label")), F.lit(False))
+    terms = glossary.where(F.col("lang") == language).select(F.col("pid").alias("pid2"), "label", *extra)
+    terms = terms.select("pid2", "label", "description", F.when(~by_label, F.get(F.filter("aliases", matches), F.lit(0))).alias("alias"), by_label.alias("by_label"))
+    shown = ("label", "description", "alias")
+    hits = terms.where(F.col("by_label") | F.col("alias").isNotNull())
+    found = suggested.join(hits, "pid2") if prefix else suggested.join(terms, "pid2", "left")
+    found = found.select("qid", "pid2", *shown, F.lit(0).alias("part"), "rank")
     if prefix:
-        every = suggested.select("qid").distinct().withColumn("one", F.lit(1)).join(hits.withColumn("one", F.lit(1)), "one").select("qid", "pid2", "label", F.lit(1).alias("part"), F.col("pid2").alias("rank"))
+        every = suggested.select("qid").distinct().crossJoin(hits).select("qid", "pid2", *shown, F.lit(1).alias("part"), F.col("pid2").alias("rank"))
         found = found.unionByName(every.join(found.select("qid", "pid2"), ["qid", "pid2"], "left_anti").select(*found.columns))
-    w = Window.partitionBy("qid").orderBy("part", "rank")
-    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= size).select("qid", "pid2", F.coalesce("label", F.concat(F.lit("P"), "pid2")).alias("label"), "place")
+    w = Window.partitionBy("qid")
+    end = offset + size
+    placed = found.withColumn("place", F.row_number().over(w.orderBy("part", "rank"))).where(F.col("place") <= end)
+    placed = placed.withColumn("next", F.when(F.max("place").over(w) == end, end)).where(F.col("place") > offset)
+    return placed.select("qid", "pid2", F.coalesce("label", F.concat(F.lit("P"), "pid2")).alias("label"), "description", "alias", "place", "next")
