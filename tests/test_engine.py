@@ -314,6 +314,43 @@ def test_evaluation(spark, model, nt_file):
     assert evaluate.batch(model, evaluate.take_but_type(subjects), {0: evaluate.direct, 1: evaluate.direct}).count() == 2
 
 
+def test_rules_in_workflows_and_batches(spark, tmp_path, capsys):
+    direct = "http://www.wikidata.org/prop/direct/"
+    lines = [f"<l:{i}> <{direct}P{p}> <http://www.wikidata.org/entity/Q5> ." for i, own in enumerate([(31, 1, 2, 3), (31, 1, 2), (1, 3), (1, 2)]) for p in own]
+    (tmp_path / "w.nt").write_text("\n".join([*lines, "<l:0> <l:x> <l:y> ."]) + "\n")
+    path, rows = f"{tmp_path}/w.nt", [(1, None, 2, 3, 0.75, "item"), (1, None, 3, 2, 0.5, "item"), (31, 5, 3, 1, 0.5, "item"), (1, None, 99, 1, 0.25, "item")]
+    entities.write_pairs(spark.createDataFrame(rows, "pid1 int, qid1 int, pid2 int, count long, probability double, context string"), f"{tmp_path}/pairs")
+    cli.main(["build-tree-typed", path], spark)
+    model = Model.load(spark, f"{path}.schemaTree.typed")
+
+    def said(request, *more):
+        (tmp_path / "r.jsonl").write_text(json.dumps(request) + "\n")
+        cli.main(["serve", f"{path}.schemaTree.typed", str(tmp_path / "r.jsonl"), *more], spark)
+        return [(r["property"].removeprefix(direct), round(r["probability"], 9)) for r in json.loads(capsys.readouterr().out.strip().split("\n")[-1])]
+
+    mined = ["--rules", f"{tmp_path}/pairs", "--preset"]
+    assert said({"properties": [f"{direct}P1"]}, *mined, "wikidata-property") == [("P2", 0.75), ("P3", 0.5)]
+    asked = {"properties": [f"{direct}P1"], "types": ["http://www.wikidata.org/entity/Q5"]}
+    assert said(asked, *mined, "wikidata-type") == [("P3", 0.5)]
+    assert said(asked, *mined, "wikidata-type-property") == [("P3", 0.5), ("P2", 0.375)]
+    short = said({"properties": ["P3", "P777"]}, "--endpoint", "wikiRecommender")
+    assert short[0] == ("P1", 1.0) and {p for p, _ in short} == {"P1", "P2", "P31"}
+    common = ["evaluation", f"{path}.schemaTree.typed", path, "--typed"]
+    cli.main([*common, "--wikiEvaluation", "--rules", f"{tmp_path}/pairs"], spark)
+    base = f"{tmp_path}/w-takeOneButType"
+    before = sorted(map(str, spark.read.csv(f"{base}-setSize-stats").collect()))
+    cli.main([*common, "--loadResults"], spark)
+    assert sorted(map(str, spark.read.csv(f"{base}-setSize-stats").collect())) == before and len(before) > 2
+    results = evaluate.evaluate(model, evaluate.take_one_but_type(evaluate.subjects(model, to_transactions(read_ntriples(spark, path), typed=True))))
+    assert [f.name for f in spark.read.schema(evaluate.RESULTS).json(f"{base}-results").schema] == results.columns
+    evaluate.write_results(results, f"{tmp_path}/again")
+    assert sorted(map(str, evaluate.read_results(spark, f"{tmp_path}/again").collect())) == sorted(map(str, results.collect()))
+    for n in range(2):
+        (tmp_path / f"c{n}.json").write_text(json.dumps({"testset": "", "layers": [{"condition": "always", "backoff": "standard"}]}))
+    cli.main([*common, "--batchTest", f"{tmp_path}/c0.json", f"{tmp_path}/c1.json"], spark)
+    assert sorted(r.config for r in spark.read.option("header", True).csv(f"{base}-batch-stats").collect()) == ["0", "1"]
+
+
 def test_command_line(spark, nt_file, tmp_path, capsys):
     cli.main(["build-tree-typed", nt_file], spark)
     (tmp_path / "r.jsonl").write_text(json.dumps({"properties": ["l:color"]}) + "\n")

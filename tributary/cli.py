@@ -15,8 +15,11 @@ from tributary.sources import entities
 from tributary.sources.triples import read_ntriples, write_lines
 
 
-def _layers(args: argparse.Namespace) -> list[workflow.Layer]:
-    return workflow.Configuration.read(args.workflow).workflow() if args.workflow else workflow.preset(args.preset)
+def _layers(spark: SparkSession, args: argparse.Namespace) -> list[workflow.Layer]:
+    if args.workflow:
+        return workflow.Configuration.read(args.workflow).workflow()
+    mined = rules.suggester(entities.read_pairs(spark, args.rules), "type" in args.preset, "property" in args.preset) if args.rules else None
+    return workflow.preset(args.preset, mined)
 
 
 def build_tree(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -55,18 +58,30 @@ def filter_dataset(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def ask(spark: SparkSession, args: argparse.Namespace) -> None:
     names = spark.read.parquet(args.glossary) if args.glossary else None
-    engine = serve.Engine(Model.load(spark, args.model), _layers(args), names)
+    engine = serve.Engine(Model.load(spark, args.model), _layers(spark, args), names)
     with open(args.requests) as lines:
         for line in lines:
             print(json.dumps(engine.one(args.endpoint, json.loads(line))))
 
 
 def evaluation(spark: SparkSession, args: argparse.Namespace) -> None:
-    model, layers = Model.load(spark, args.model).persist(), _layers(args)
+    if args.wikiEvaluation:
+        args.preset = "wikidata-type-property" if args.typed else "wikidata-property"
+    base = f"{trim_extensions(args.testSet)}-{args.name or args.handler}"
+    if args.loadResults:
+        results = evaluate.read_results(spark, f"{base}-results")
+        evaluate.write_statistics(evaluate.statistics(results, args.groupBy), f"{base}-{args.groupBy}-stats", args.groupBy)
+        return
+    model = Model.load(spark, args.model).persist()
     tx = to_transactions(read_ntriples(spark, args.testSet), args.typed)
     requests = evaluate.HANDLERS[args.handler](evaluate.subjects(model, tx, "rare"))
+    if args.batchTest:
+        made = [workflow.Configuration.read(path).workflow() for path in args.batchTest]
+        batch = evaluate.batch(model, requests, {n: lambda m, q, own=own: workflow.run(m, q, own) for n, own in enumerate(made)})
+        batch.drop("group").orderBy("config").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{base}-batch-stats")
+        return
+    layers = _layers(spark, args)
     results = evaluate.evaluate(model, requests, lambda m, q: workflow.run(m, q, layers))
-    base = f"{trim_extensions(args.testSet)}-{args.name or args.handler}"
     evaluate.write_results(results, f"{base}-results")
     evaluate.write_statistics(evaluate.statistics(results, args.groupBy), f"{base}-{args.groupBy}-stats", args.groupBy)
 
@@ -119,9 +134,13 @@ def parser() -> argparse.ArgumentParser:
     other.add_argument("--handler", choices=list(evaluate.HANDLERS), default="takeOneButType")
     other.add_argument("--groupBy", choices=list(evaluate.GROUPS), default="setSize")
     other.add_argument("--name")
+    other.add_argument("--batchTest", nargs="+", metavar="WORKFLOW", help="compare these workflow files instead")
+    other.add_argument("--loadResults", action="store_true", help="take the results that an earlier run wrote")
+    other.add_argument("--wikiEvaluation", action="store_true", help="evaluate the suggester of --rules")
     for p in (own, other):
         p.add_argument("--workflow")
         p.add_argument("--preset", default="best")
+        p.add_argument("--rules", help="the CSV of mine-rules, for the wikidata presets")
     add("create-configs", create_configs, "creater")
     own = add("mine-rules", mine_rules, "file", "out")
     own.add_argument("--format", choices=["csv", "json", "xml"], default="csv")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.operators.model import Model
@@ -79,6 +79,11 @@ def direct(model: Model, asked: DataFrame) -> DataFrame:
     return rank(candidates(model, asked, many=True), LIMIT)
 
 
+#: Columns of evaluate().
+RESULTS = ("subject string, number long, set_size int, num_left_out int, num_types int, rank int, tp long, tp_at_l long, num_found long, "
+           "fn long, fp long, tn long, num_non_types int")
+
+
 def evaluate(model: Model, requests: DataFrame, answer: Callable[[Model, DataFrame], DataFrame] = direct, missed: int = MISSED) -> DataFrame:
     """One row a request: rank of the first hit and counts. Equal sets are answered once, in one batch.
 
@@ -151,3 +156,8 @@ def write_results(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").option("compression", "gzip").json(path)
 
 
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """What write_results wrote."""
+    return spark.read.schema(RESULTS).json(path)
+
+

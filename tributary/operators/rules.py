@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tributary.operators.model import Model
 from tributary.operators.recommend import rank
 
 #: Properties whose value classifies an entity, and the least probability of a rule.
 CLASSIFYING = (31, 279)
 LEAST_PROBABILITY = 0.01
+DIRECT = "http://www.wikidata.org/prop/direct/"
 COLUMNS = ("pid1", "qid1", "pid2", "count", "probability", "context")
 
 
@@ -88,6 +92,24 @@ def of_entities(entities: DataFrame, classifying: tuple[int, ...] = CLASSIFYING)
     return entities.select(F.col("title").alias("qid"), F.transform(main, lambda s: s["property_id"]).alias("properties"), tuples.alias("tuples"))
 
 
+def suggester(rules: DataFrame, use_types: bool = False, use_properties: bool = True) -> Callable[[Model, DataFrame], DataFrame]:
+    """The rules as a procedure of a workflow: (qid, item, probability, rank) by the numbers of direct properties and type items."""
+    def answer(model: Model, queries: DataFrame) -> DataFrame:
+        number = lambda pattern: F.regexp_extract("iri", pattern, 1).try_cast("int")
+        own = queries.select("qid", F.explode("s").alias("item")).join(model.items.select("item", "iri", "is_type"), "item")
+        own = own.select("qid", F.when(~F.col("is_type"), number(f"^{DIRECT}P([0-9]+)$")).alias("pid"), F.when(F.col("is_type"), number("/Q([0-9]+)$")).alias("type"))
+        asked = own.groupBy("qid").agg(F.collect_list("pid").alias("pids"), F.collect_list("type").alias("types"))
+        none, no_tuple = F.array().cast("array<int>"), F.array().cast("array<struct<pid: int, qid: int>>")
+        pids, types = F.col("pids") if use_properties else none, F.col("types") if use_types else none
+        classes = F.transform(types, lambda _: F.lit(CLASSIFYING[0]))
+        tuples = F.concat(F.transform(types, lambda t: F.struct(F.lit(CLASSIFYING[0]).alias("pid"), t.alias("qid"))), F.transform(pids, lambda p: F.struct(p.alias("pid"), F.lit(0).alias("qid"))))
+        found = suggest(rules, asked.select("qid", F.concat(pids, classes).alias("properties"), (tuples if use_types else no_tuple).alias("tuples")))
+        items = model.items.where("not is_type").select("item", "iri")
+        return rank(found.withColumn("iri", F.concat(F.lit(f"{DIRECT}P"), "pid2")).join(items, "iri").select("qid", "item", "probability"))
+
+    return answer
+
+
 def search(suggested: DataFrame, glossary: DataFrame, prefix: str, language: str, size: int, offset: int = 0) -> DataFrame:
     """A page of the suggestions whose label or an alias begins with the prefix in any case, best first, then of other hits.
 

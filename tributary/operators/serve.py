@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tributary.operators import glossary as glossaries
 from tributary.operators import recommend, workflow
 from tributary.operators.model import Model
+from tributary.operators.rules import DIRECT
 from tributary.operators.transactions import TYPE_MARK
 
 #: What a request without a language gets.
@@ -57,6 +58,12 @@ class Engine:
         found = recommend.recommend(self.model, self._asked(requests), include_types=True, limit=None)
         return recommend.named(self.model, found).select("qid", "property", "probability", "rank")
 
+    def short_ids(self, requests: DataFrame) -> DataFrame:
+        """(qid, property, probability, rank) for requests of Wikidata ids such as P31, without types or a limit."""
+        asked = requests.select("qid", F.transform("properties", lambda p: F.concat(F.lit(DIRECT), p)).alias("properties"), F.array().cast("array<string>").alias("types"))
+        found = recommend.named(self.model, recommend.recommend(self.model, self._asked(asked), limit=None))
+        return found.where(F.startswith("property", F.lit(DIRECT))).select("qid", F.substring("property", len(DIRECT) + 1, 1 << 30).alias("property"), "probability", "rank")
+
     def one(self, endpoint: str, request: dict) -> list[dict]:
         """A single request's rows, best first; the driver holds no more than one answer."""
         spark = self.model.items.sparkSession
@@ -68,4 +75,5 @@ class Engine:
 
 ENDPOINTS: dict[str, Callable[[Engine, DataFrame], DataFrame]] = {
     "recommender": Engine.recommend, "lean-recommender": Engine.lean, "support": Engine.support, "propType": Engine.properties_and_types,
+    "wikiRecommender": Engine.short_ids,
 }
