@@ -6,7 +6,7 @@ fullest window is emitted, topped up with a cut of the remainder if its room is
 open windows are merged into full ones and at most one leftover; leftovers of different partitions are merged by
 best fit decreasing, in groups of partitions, so that no task sees more than a group's leftovers.
 
-A task holds one chunk of documents and its open windows only.
+A task holds one document, HELD finished pieces and its open windows only.
 
 Cases. A null text counts as empty and still has its end id. Repeated rows are packed as documents of their own. An
 empty table gives no pieces. Columns other than the id and the text are ignored.
@@ -25,18 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm.bpe import encoding
-from tributary.llm.units import chunks, gathered, pretoken_units
 from tributary.session import materialize
 
 WINDOW = 1024
 OPEN_WINDOWS = 32
 #: Room below which the fullest window is emitted as it is, with padding.
 WORTH_A_CUT = 8
-CHUNK_BYTES = 8 << 20
 #: Partitions whose leftovers are merged together.
 MERGED = 64
-#: Units whose ids a worker remembers between chunks.
-REMEMBERED = 400_000
+#: Pieces that a task holds before it hands them on.
+HELD = 4096
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 KINDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
@@ -49,36 +47,26 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def special_strings(path: str) -> tuple[str, ...]:
+    """The strings that the tokenizer file keeps whole."""
+    return tuple(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
+
+
 class Tokens:
     """Ids of whole texts as the tokenizer file gives them.
 
-    Units between blanks are encoded once a chunk, by the same vocabulary's rank file where there is one; a text with
-    a special token's string goes through the tokenizer itself.
+    A text is encoded by the same vocabulary's rank file where there is one; the tokenizer itself is loaded only for a
+    text with a special token's string.
     """
 
-    def __init__(self, json_path: str, ranks_path: str | None, pattern: str):
-        self.tokenizer, self.known = tokenizer(json_path), {}
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+    def __init__(self, json_path: str, ranks_path: str | None, pattern: str, specials: tuple[str, ...]):
+        self.path, self.specials = json_path, specials
         self.fast = encoding(ranks_path, pattern).encode_ordinary if ranks_path else None
 
-    def unit(self, text: str) -> list[int]:
-        got = self.known.get(text)
-        if got is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            plain = self.fast and not any(s in text for s in self.specials)
-            got = self.fast(text) if plain else self.tokenizer.encode(text, add_special_tokens=False).ids
-            if len(text) < 64:
-                self.known[text] = got
-        return got
-
-    def documents(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the chunk and where each document's begin."""
-        offsets, codes, units = pretoken_units(text, self.specials[0] if self.specials else "")
-        ids = [self.unit(u) for u in units]
-        starts = np.cumsum([0, *map(len, ids)], dtype=np.int64)
-        flat, ends = gathered(np.fromiter((i for x in ids for i in x), np.uint32), starts, codes)
-        return flat, ends[offsets]
+    def ids(self, text: str) -> list[int]:
+        if self.fast and not any(s in text for s in self.specials):
+            return self.fast(text)
+        return tokenizer(self.path).encode(text, add_special_tokens=False).ids
 
 
 class Packer:
@@ -148,6 +136,7 @@ def pack(df: DataFrame, json_path: str, ranks_path: str | None, pattern: str, en
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: PIECES. Each id of each document lies in exactly one piece."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    specials = special_strings(json_path)
 
     def batch(rows: list[tuple], part: int, left: bool) -> pa.RecordBatch:
         columns = list(zip(*rows)) or [()] * len(KINDS)
@@ -156,14 +145,16 @@ def pack(df: DataFrame, json_path: str, ranks_path: str | None, pattern: str, en
                                           names=[n for n, _ in KINDS] + ["part", "is_left"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part = Tokens(json_path, ranks_path, pattern), TaskContext.get().partitionId()
+        tokens, part = Tokens(json_path, ranks_path, pattern, specials), TaskContext.get().partitionId()
         packer = Packer(part << 36)
-        for _, ids, text in chunks(batches, CHUNK_BYTES):
-            flat, ends = tokens.documents(text)
-            for i, doc in enumerate(ids.to_pylist()):
-                packer.add(doc, np.append(flat[ends[i] : ends[i + 1]], np.uint32(end_id)).astype("<u4"))
-            yield batch(packer.out, part, False)
-            packer.out = []
+        for rows in batches:
+            for doc, text in zip(rows.column(0).to_pylist(), rows.column(1)):
+                ids = tokens.ids(text.as_py() or "")
+                ids.append(end_id)
+                packer.add(doc, np.array(ids, "<u4"))
+                if len(packer.out) >= HELD:
+                    yield batch(packer.out, part, False)
+                    packer.out = []
         left = packer.merge()
         yield batch(packer.out, part, False)
         yield batch([(d, s, len(x), zlib.crc32(x.tobytes()), t, 0, 0) for d, s, x, t in left], part, True)

@@ -30,15 +30,16 @@ def chunks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[tuple
     """
     number = TaskContext.get().partitionId() << 24
     for batch in batches:
-        text = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
-        ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
         start = 0
-        while start < len(text):
+        while start < batch.num_rows:
             below = int(ends[start - 1]) if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, below + most_bytes, "right")))
-            yield number, batch.column(0).slice(start, stop - start), text.slice(start, stop - start)
+            text = batch.column(1).slice(start, stop - start).cast(pa.large_string())
+            yield number, batch.column(0).slice(start, stop - start), pc.fill_null(text, "")
             number += 1
             start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def mapped(text: pa.LargeStringArray, table: np.ndarray) -> pa.LargeStringArray:
@@ -75,15 +76,13 @@ def words(text: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, list[bytes
 _BEFORE_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] "
 
 
-def pretoken_units(text: pa.LargeStringArray, plain: str = "") -> tuple[np.ndarray, np.ndarray, list[str]]:
+def pretoken_units(text: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Cuts before single blanks, which every match of the byte-level BPE pattern respects.
 
     Returns document offsets, codes and the distinct units; a unit other than a document's first begins with its
-    blank. A text with white space before a blank is one unit, and so is one that contains `plain`.
+    blank. A text with white space before a blank is one unit.
     """
     whole = pc.match_substring_regex(text, _BEFORE_BLANK)
-    if plain:
-        whole = pc.or_(whole, pc.match_substring(text, plain))
     lists = pc.split_pattern(pc.if_else(whole, "", text), " ")
     offsets, codes, distinct = coded(lists)
     units = distinct.to_pylist()
