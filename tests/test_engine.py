@@ -17,18 +17,21 @@ from tributary.sources.triples import parse, read_ntriples
 from tributary.streaming import insert
 
 P31, TYPE = "http://www.wikidata.org/prop/direct/P31", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
-NT = f"""# bicycles and water
-<l:bike> <{P31}> <l:Vehicle> .
-<l:bike> <l:has> <l:wheel> .
-<l:bike> <l:alloy> "steel" .
-<l:bike> <l:color> "dark \\"red\\" > blue"@en .
-<l:wheel> <l:alloy> "tin"
-
-<l:wheel> <l:color> "black"^^<xsd:string> .
-<l:water> <{P31}> <l:Compound> .
-<l:water> <{P31}> <l:Element> .
-<l:water> <l:acidity> "7" .
-<l:water> <http://www.wikidata.org/prop/P9> <l:x> .
+NT = f"""# an orchestra
+<m:cello> <{P31}> <m:Strings> .
+<m:cello> <m:maker> <m:anna> .
+<m:cello> <m:strings> "4" .
+<m:viola> <m:maker> "shop \\"two\\" > left"@en .
+<m:viola> <m:strings> "4"^^<xsd:integer>
+
+<m:viola> <{P31}> <m:Strings> .
+<m:viola> <m:length> "41" .
+<m:flute> <{P31}> <m:Winds> .
+<m:flute> <{P31}> <m:Solo> .
+<m:flute> <m:length> "67" .
+<m:flute> <m:maker> <m:otto> .
+<m:drum> <m:length> "90" .
+<m:drum> <http://www.wikidata.org/prop/P9> <m:x> .
 """
 
 
@@ -52,9 +55,9 @@ def answers(model, *items, types=False, unknown="drop"):
 
 def test_parse(spark, nt_file):
     rows = read_ntriples(spark, nt_file).collect()
-    assert len(rows) == 10 and rows[3].o == '"dark \\"red\\" > blue"@en' and rows[0].s == "<l:bike>"
+    assert len(rows) == 13 and rows[3].o == '"shop \\"two\\" > left"@en' and rows[0].s == "<m:cello>"
     literal = spark.createDataFrame([(rows[3].o,), ('"x"',), ("<i>",)], "o string").select(nt.lang_literal(F.col("o")).alias("l"), nt.iri(F.col("o")).alias("i")).collect()
-    assert [tuple(r.l) for r in literal] == [('dark \\"red\\" > blue', "en"), ("x", ""), ("", "")] and literal[2].i == "i"
+    assert [tuple(r.l) for r in literal] == [('shop \\"two\\" > left', "en"), ("x", ""), ("", "")] and literal[2].i == "i"
     assert parse(spark.createDataFrame([(1, "#c"), (2, " "), (3, None)], "line_no long, line string")).count() == 0
 
 
@@ -68,8 +71,8 @@ def test_compressed(spark, tmp_path, ending, pack):
 
 def test_transactions(spark, nt_file):
     rows = {r.subject: r for r in to_transactions(read_ntriples(spark, nt_file), typed=True).collect()}
-    assert sorted(rows["l:water"]["items"]) == sorted([P31, "l:acidity", "t#l:Compound", "t#l:Element"])
-    assert (rows["l:water"].num_predicates, rows["l:water"].num_type_predicates) == (3, 2)
+    assert sorted(rows["m:flute"]["items"]) == sorted([P31, "m:length", "m:maker", "t#m:Solo", "t#m:Winds"])
+    assert (rows["m:flute"].num_predicates, rows["m:flute"].num_type_predicates) == (4, 2) and rows["m:drum"].num_predicates == 1
     assert to_transactions(read_ntriples(spark, nt_file), first_n=2).count() == 2
     again = spark.createDataFrame([(1, "<a>", "<p>", "x"), (2, "<b>", "<http://www.wikidata.org/prop/P1>", "x"), (3, "<a>", "<q>", "x")], "line_no long, s string, p string, o string")
     assert sorted((r.subject, len(r["items"])) for r in to_transactions(again).collect()) == [("a", 1), ("a", 1), ("b", 0)]
@@ -78,23 +81,23 @@ def test_transactions(spark, nt_file):
 
 def test_model(model):
     rank = [(r.iri, r.total_count) for r in model.items.orderBy("item").collect()]
-    assert rank == [(P31, 2), ("l:alloy", 2), ("l:color", 2), ("l:acidity", 1), ("l:has", 1), ("t#l:Compound", 1), ("t#l:Element", 1), ("t#l:Vehicle", 1), ("http://dbpedia.org/ontology/type", 0), (TYPE, 0), ("root", 0)]
-    assert model.nodes().where("depth > 0").count() == 10
-    assert {(r.URI, r.Frequency) for r in model.frequencies(True).collect()} == {("l:Vehicle", 1), ("l:Compound", 1), ("l:Element", 1)}
+    assert rank == [(P31, 3), ("m:length", 3), ("m:maker", 3), ("m:strings", 2), ("t#m:Strings", 2), ("t#m:Solo", 1), ("t#m:Winds", 1), ("http://dbpedia.org/ontology/type", 0), (TYPE, 0), ("root", 0)]
+    assert model.nodes().where("depth > 0").count() == 11
+    assert {(r.URI, r.Frequency) for r in model.frequencies(True).collect()} == {("m:Strings", 2), ("m:Winds", 1), ("m:Solo", 1)}
     assert [r.value for r in model.dot(2).collect()][0] == "digraph schema {"
 
 
 def test_recommend(model, spark):
-    assert answers(model, "l:color") == [("l:alloy", 1.0), (P31, 0.5), ("l:has", 0.5)]
-    assert answers(model, P31) == [("l:alloy", 0.5), ("l:color", 0.5), ("l:acidity", 0.5), ("l:has", 0.5)]
-    assert len(answers(model, P31, types=True)) == 7
-    assert answers(model, "t#l:Vehicle") == [(P31, 1.0), ("l:alloy", 1.0), ("l:color", 1.0), ("l:has", 1.0)]
-    assert answers(model, "l:color", "l:color", "none") == answers(model, "l:color")
-    assert answers(model, "l:color", "none", unknown="empty") == []
+    assert answers(model, "m:strings") == [(P31, 1.0), ("m:maker", 1.0), ("m:length", 0.5)]
+    assert answers(model, P31) == [("m:maker", 1.0), ("m:length", pytest.approx(2 / 3)), ("m:strings", pytest.approx(2 / 3))]
+    assert len(answers(model, P31, types=True)) == 6
+    assert answers(model, "t#m:Winds") == [(P31, 1.0), ("m:length", 1.0), ("m:maker", 1.0)]
+    assert answers(model, "m:strings", "m:strings", "none") == answers(model, "m:strings")
+    assert answers(model, "m:strings", "none", unknown="empty") == []
     popular = answers(model)
-    assert popular[0] == (P31, pytest.approx(2 / 3)) and popular[-1] == ("root", 0.0) and len(popular) == 11
-    assert answers(model, "l:acidity", "l:has") == []
-    assert [r.support for r in recommend.support(model, ask(spark, model, ("l:color",), (), ("l:acidity", "l:has"))).orderBy("qid").collect()] == [2, 3, 0]
+    assert popular[0] == (P31, 0.75) and popular[-1] == ("root", 0.0) and len(popular) == 10
+    assert answers(model, "m:strings", "t#m:Winds") == []
+    assert [r.support for r in recommend.support(model, ask(spark, model, ("m:strings",), (), ("m:strings", "t#m:Winds"))).orderBy("qid").collect()] == [2, 4, 0]
 
 
 def test_containment_by_nodes(spark):
@@ -144,14 +147,14 @@ def test_steps(spark):
 
 
 def test_mergers(spark):
-    found = spark.createDataFrame([(0, 0, 1, 0.2), (0, 0, 2, 0.5), (0, 1, 1, 0.8), (0, 1, 3, 0.4), (0, 2, 2, 0.2), (0, 3, 2, 0.3), (0, 3, 4, 0.0)], "qid long, part int, item int, probability double")
-    assert {r.item: round(r.probability, 9) for r in backoff.merge_average(found, 4).collect()} == {1: 0.25, 2: 0.25, 3: 0.1, 4: 0.0}
-    assert {r.item: r.probability for r in backoff.merge_max(found, 4).collect()} == {1: 0.8, 2: 0.5, 3: 0.4}
-    assert {r.item for r in backoff.merge_first(found, 4).collect()} == {1, 2}
+    found = spark.createDataFrame([(0, 0, 5, 0.6), (0, 0, 9, 0.3), (0, 1, 5, 0.1), (0, 1, 2, 0.72), (0, 1, 7, 0.0), (0, 2, 9, 0.9)], "qid long, part int, item int, probability double")
+    assert {r.item: round(r.probability, 9) for r in backoff.merge_average(found, 4).collect()} == {5: 0.175, 9: 0.3, 2: 0.18, 7: 0.0}
+    assert {r.item: r.probability for r in backoff.merge_max(found, 4).collect()} == {5: 0.6, 9: 0.9, 2: 0.72}
+    assert {r.item for r in backoff.merge_first(found, 4).collect()} == {5, 9}
 
 
 def test_workflow(model, spark):
-    asked = ask(spark, model, ("l:acidity", "l:has"), ("l:color",))
+    asked = ask(spark, model, ("m:strings", "t#m:Winds"), ("m:strings",))
     rows = workflow.run(model, asked, workflow.preset("best")).collect()
     layers = {r.qid: r.layer for r in rows}
     assert layers == {0: 0, 1: 1}
@@ -177,17 +180,17 @@ def test_configuration():
 
 
 def test_glossary_and_engine(spark, model):
-    lines = [f'<l:alloy> {prepare.NAME} "alloy"@en .', f'<l:alloy> {prepare.NAME} "liga"@pt .', f'<l:has> {prepare.DESCRIPTION} "has it"@en .', f'<l:alloy> {prepare.NAME} "Alloy"@en .', f'<l:x> {prepare.NAME} "no language" .']
+    lines = [f'<m:maker> {prepare.NAME} "maker"@en .', f'<m:maker> {prepare.NAME} "luthier"@fr .', f'<m:length> {prepare.DESCRIPTION} "in centimetres"@en .', f'<m:maker> {prepare.NAME} "Maker"@en .', f'<m:x> {prepare.NAME} "no language" .']
     triples = parse(spark.createDataFrame(list(enumerate(lines)), "line_no long, line string"))
     names = glossary.build(triples)
-    assert {tuple(r) for r in names.collect()} == {("l:alloy", "en", "Alloy", ""), ("l:alloy", "pt", "liga", ""), ("l:has", "en", "", "has it")}
+    assert {tuple(r) for r in names.collect()} == {("m:maker", "en", "Maker", ""), ("m:maker", "fr", "luthier", ""), ("m:length", "en", "", "in centimetres")}
     assert tuple(glossary.stats(triples).first()) == (3, 3, 1)
     engine = serve.Engine(model, workflow.preset("direct"), names)
-    got = engine.one("recommender", {"lang": "pt", "properties": ["l:color"]})
-    assert [(r["property"], r["label"], r["description"]) for r in got] == [("l:alloy", "liga", ""), (P31, P31, ""), ("l:has", "l:has", "has it")]
-    assert engine.one("support", {"types": ["l:Vehicle"]})[0]["support"] == 1
-    assert len(engine.one("propType", {"properties": [P31]})) == 7
-    assert engine.one("lean-recommender", {"properties": ["l:color"]})[0]["total_count"] == 2
+    got = engine.one("recommender", {"lang": "fr", "properties": ["m:strings"]})
+    assert [(r["property"], r["label"], r["description"]) for r in got] == [(P31, P31, ""), ("m:maker", "luthier", ""), ("m:length", "m:length", "in centimetres")]
+    assert engine.one("support", {"types": ["m:Strings"]})[0]["support"] == 2
+    assert len(engine.one("propType", {"properties": [P31]})) == 6
+    assert engine.one("lean-recommender", {"properties": ["m:strings"]})[0]["total_count"] == 3
 
 
 def test_prepare(spark):
@@ -202,7 +205,10 @@ def test_prepare(spark):
     assert tuple(prepare.filter_stats(t, prepare.FOR_GLOSSARY).first()) == (2, 3)
 
 
-RULE_ROWS = [(1, "Q15", "claim", 31, "Q5107"), (2, "Q15", "claim", 373, "a"), (3, "Q16", "claim", 31, "Q5107"), (4, "Q17", "claim", 31, "Q1337")]
+RULE_ROWS = [
+    (1, "Q80", "claim", 31, "Q7"), (2, "Q80", "claim", 17, "x"), (3, "Q80", "claim", 36, "y"), (4, "Q81", "claim", 31, "Q7"), (5, "Q81", "claim", 17, "x"),
+    (6, "Q82", "claim", 31, "Q9"), (7, "Q82", "claim", 17, "z"), (8, "Q83", "claim", 17, "x"), (9, "Q83", "claim", 36, "w"),
+]
 
 
 def test_rules(spark):
@@ -210,14 +216,17 @@ def test_rules(spark):
         frame = spark.createDataFrame([(n, t, typ, str(p), "string", v) for n, t, typ, p, v in rows], "line_no long, title string, typ string, property_id string, datatype string, value string")
         return {tuple(r) for r in rules.compute(entities.from_rows(frame)).collect()}
 
-    assert mined(RULE_ROWS) == {(31, 5107, 373, 1, 0.5, "item"), (373, None, 31, 1, 1.0, "item")}
-    assert mined([*RULE_ROWS[:2], (3, "Q15", "claim", 373, "b")]) == {(31, 5107, 373, 1, 1.0, "item"), (373, None, 31, 1, 1.0, "item")}
-    attached = [(1, "Q1", "claim", 31, "x"), (2, "Q1", "qualifier", 12, "a"), (3, "Q1", "qualifier", 13, "a"), (4, "Q1", "reference", 22, "a"), (5, "Q1", "reference", 23, "a"), (6, "Q1", "odd", 1, "a")]
-    assert mined(attached) == {(31, None, p, 1, 1.0, c) for p, c in ((12, "qualifier"), (13, "qualifier"), (22, "reference"), (23, "reference"))}
+    item = [(17, None, 31, 3, 0.75), (17, None, 36, 2, 0.5), (36, None, 17, 2, 1.0), (36, None, 31, 1, 0.5), (31, 7, 17, 2, 1.0), (31, 7, 36, 1, 0.5), (31, 9, 17, 1, 1.0)]
+    assert mined(RULE_ROWS) == {(*r, "item") for r in item}
+    twice = mined([*RULE_ROWS[:3], (4, "Q80", "claim", 36, "v")])
+    assert twice == {(a, q, b, 1, 1.0, "item") for a, q in ((17, None), (36, None), (31, 7)) for b in (17, 31, 36) if a != b}
+    attached = [(1, "Q90", "claim", 17, "x"), (2, "Q90", "qualifier", 580, "a"), (3, "Q90", "qualifier", 582, "b"), (4, "Q90", "qualifier", 580, "c"), (5, "Q90", "reference", 248, "d"), (6, "Q90", "odd", 1, "e"),
+                (7, "Q90", "claim", 17, "y"), (8, "Q90", "qualifier", 580, "f"), (9, "Q90", "claim", 17, "z")]
+    assert mined(attached) == {(17, None, 580, 2, 1.0, "qualifier"), (17, None, 582, 1, 0.5, "qualifier"), (17, None, 248, 1, 1.0, "reference")}
 
 
 def test_suggest(spark, tmp_path):
-    pairs = [(1, 0, 2, 100, 0.1), (1, 0, 3, 50, 0.05), (2, 0, 3, 100, 0.3), (2, 0, 4, 200, 0.2), (3, 0, 1, 100, 0.5)]
+    pairs = [(7, 0, 11, 40, 0.4), (7, 0, 12, 20, 0.2), (8, 0, 12, 6, 0.6), (8, 0, 13, 1, 0.1), (11, 0, 7, 9, 0.25), (8, 0, 7, 2, 0.05)]
     table = spark.createDataFrame([(*p, "item") for p in pairs], "pid1 int, qid1 int, pid2 int, count long, probability double, context string")
     entities.write_pairs(table.withColumn("qid1", F.lit(None).cast("int")), f"{tmp_path}/pairs")
     assert {tuple(r) for r in entities.read_pairs(spark, f"{tmp_path}/pairs").collect()} == {tuple(r) for r in table.collect()}
@@ -226,13 +235,14 @@ def test_suggest(spark, tmp_path):
         asked = spark.createDataFrame([(0, properties, [])], "qid long, properties array<int>, tuples array<struct<pid: int, qid: int>>")
         return [(r.pid2, round(r.probability, 9)) for r in rules.suggest(table, asked, **options).orderBy("rank").collect()]
 
-    assert suggested([1]) == [(2, 0.1), (3, 0.05)]
-    assert suggested([1, 3], include="all") == [(1, 0.25), (2, 0.05), (3, 0.025)]
-    assert suggested([1], deprecated=(2,)) == [(3, 0.05)]
-    assert suggested([]) == [] and suggested([], initial=(42,)) == [(42, 1.0)]
-    ranked = spark.createDataFrame([(0, p, 1.0, n + 1) for n, p in enumerate([8, 14, 20])], "qid long, pid2 int, probability double, rank int")
-    names = spark.createDataFrame([(p, "en", f"Name {p}") for p in (7, 8, 13, 14, 15, 16, 20)], "pid int, lang string, label string")
-    assert [r.pid2 for r in rules.search(ranked, names, "name", "en", 5).orderBy("place").collect()] == [8, 14, 20, 7, 13]
+    assert suggested([7]) == [(11, 0.4), (12, 0.2)]
+    assert suggested([7, 8]) == [(12, 0.4), (11, 0.2), (13, 0.05)]
+    assert suggested([7, 8], include="all") == [(12, 0.4), (11, 0.2), (13, 0.05), (7, 0.025)]
+    assert suggested([7], deprecated=(11,)) == [(12, 0.2)] and suggested([7], least=0.3) == [(11, 0.4)]
+    assert suggested([]) == [] and suggested([], initial=(99,)) == [(99, 1.0)]
+    ranked = spark.createDataFrame([(0, p, 1.0, n + 1) for n, p in enumerate([31, 5, 22])], "qid long, pid2 int, probability double, rank int")
+    names = spark.createDataFrame([(p, "en", f"Name {p}") for p in (5, 9, 22, 31, 40, 41)], "pid int, lang string, label string")
+    assert [r.pid2 for r in rules.search(ranked, names, "name", "en", 5).orderBy("place").collect()] == [31, 5, 22, 9, 40]
 
 
 def test_search_by_alias_in_pages(spark):
@@ -273,11 +283,11 @@ def test_dumps(spark, tmp_path):
 
 
 def test_pages_of_listed_claims(spark, tmp_path):
-    item = {"entity-type": "item", "numeric-id": 328}
+    item = {"entity-type": "item", "numeric-id": 64}
     texts = {
-        "Q1": {"label": {"en": "universe"}, "claims": [
-            {"m": ["value", 373, "string", "Say \"Uni & <verse>\""], "q": [], "refs": [[["value", 143, "wikibase-entityid", item], ["value", 813, "time", {"time": "+2013"}]], [["novalue", 5]]], "g": "Q1$1"},
-            {"m": ["value", 361, "wikibase-entityid", item], "q": [["value", 31, "quantity", {"amount": "+25"}], ["value", 6, "bad", "x"]], "refs": []},
+        "Q1": {"label": {"en": "harbour"}, "claims": [
+            {"m": ["value", 47, "string", "Pier \"A & <B>\""], "q": [], "refs": [[["value", 52, "wikibase-entityid", item], ["value", 58, "time", {"time": "+2013"}]], [["novalue", 5]]], "g": "Q1$1"},
+            {"m": ["value", 88, "wikibase-entityid", item], "q": [["value", 31, "quantity", {"amount": "+25"}], ["value", 6, "bad", "x"]], "refs": []},
             {"m": ["somevalue", 40], "q": [], "refs": []},
             {"m": ["value", 625, "globecoordinate", {"latitude": 1.5, "longitude": 2}], "q": [], "refs": []}]},
         "Q2": {}, "Q3": {"claims": []}, "Q4": {"claims": [{"m": ["value", "", "bad"], "refs": [], "q": []}]}, "Q5": {"claims": [{"m": ["value", "", "unknown"], "refs": [], "q": []}]},
@@ -293,22 +303,22 @@ def test_pages_of_listed_claims(spark, tmp_path):
     got = entities.read_xml(spark, f"{tmp_path}/d.xml")
     assert {r.title: len(r.claims) for r in got.collect()} == {"Q1": 4, "Q2": 0, "Q3": 0, "Q4": 0, "Q5": 0, "Q6": 0, "Q8": 1}
     assert [tuple(r) for r in entities.to_rows(got).collect()] == [
-        ("Q1", "claim", 373, "string", 'Say "Uni & <verse>"'), ("Q1", "reference", 143, "wikibase-item", "Q328"), ("Q1", "reference", 813, "time", "+2013"), ("Q1", "reference", 5, "unknown", "novalue"),
-        ("Q1", "claim", 361, "wikibase-item", "Q328"), ("Q1", "qualifier", 31, "quantity", "+25"), ("Q1", "claim", 40, "unknown", "somevalue"),
+        ("Q1", "claim", 47, "string", 'Pier "A & <B>"'), ("Q1", "reference", 52, "wikibase-item", "Q64"), ("Q1", "reference", 58, "time", "+2013"), ("Q1", "reference", 5, "unknown", "novalue"),
+        ("Q1", "claim", 88, "wikibase-item", "Q64"), ("Q1", "qualifier", 31, "quantity", "+25"), ("Q1", "claim", 40, "unknown", "somevalue"),
         ("Q1", "claim", 625, "globecoordinate", "N1.5, E2"), ("Q8", "claim", 9, "string", "x")]
 
 
 def test_evaluation(spark, model, nt_file):
     subjects = evaluate.subjects(model, to_transactions(read_ntriples(spark, nt_file), typed=True))
     counts = {name: handler(subjects).count() for name, handler in evaluate.HANDLERS.items()}
-    assert counts == {"takeOneButType": 8, "takeAllButBest": 2, "takeMoreButCommon": 5, "handlerTakeButType": 2, "historicTakeButType": 6}
+    assert counts == {"takeOneButType": 10, "takeAllButBest": 3, "takeMoreButCommon": 7, "handlerTakeButType": 3, "historicTakeButType": 10}
     results = evaluate.evaluate(model, evaluate.take_one_but_type(subjects))
     rows = results.collect()
-    assert all(r.tp + r.fp + r.fn + r.tn == 11 for r in rows)
-    assert sum(r["rank"] == 1 for r in rows) == sum(r.tp for r in rows) == 8
+    assert all(r.tp + r.fp + r.fn + r.tn == 10 for r in rows)
+    assert sum(r["rank"] == 1 for r in rows) == sum(r.tp for r in rows) == 10
     stats = {r["group"]: r for r in evaluate.derived(evaluate.statistics(results)).collect()}
-    assert stats[-1].subjects == 8 and stats[-1].recall == 1.0 and stats[-1].f1 == 1.0 and stats[-1]["mean"] == 1.0
-    unseen = spark.createDataFrame([("x", ["l:color", "never seen"])], "subject string, items array<string>")
+    assert stats[-1].subjects == 10 and stats[-1].recall == 1.0 and stats[-1].f1 == 1.0 and stats[-1]["mean"] == 1.0
+    unseen = spark.createDataFrame([("x", ["m:strings", "never seen"])], "subject string, items array<string>")
     both = [evaluate.evaluate(model, evaluate.take_one_but_type(evaluate.subjects(model, unseen, mode))).collect() for mode in ("drop", "rare")]
     assert len(both[0]) == 0 and len(both[1]) == 2 and {r.num_found for r in both[1]} == {0, 3}
     assert evaluate.batch(model, evaluate.take_but_type(subjects), {0: evaluate.direct, 1: evaluate.direct}).count() == 2
@@ -321,11 +331,11 @@ def test_rules_in_workflows_and_batches(spark, tmp_path, capsys):
     path, rows = f"{tmp_path}/w.nt", [(1, None, 2, 3, 0.75, "item"), (1, None, 3, 2, 0.5, "item"), (31, 5, 3, 1, 0.5, "item"), (1, None, 99, 1, 0.25, "item")]
     entities.write_pairs(spark.createDataFrame(rows, "pid1 int, qid1 int, pid2 int, count long, probability double, context string"), f"{tmp_path}/pairs")
     cli.main(["build-tree-typed", path], spark)
-    model = Model.load(spark, f"{path}.schemaTree.typed")
+    model = Model.load(spark, f"{path}.model.typed")
 
     def said(request, *more):
         (tmp_path / "r.jsonl").write_text(json.dumps(request) + "\n")
-        cli.main(["serve", f"{path}.schemaTree.typed", str(tmp_path / "r.jsonl"), *more], spark)
+        cli.main(["serve", f"{path}.model.typed", str(tmp_path / "r.jsonl"), *more], spark)
         return [(r["property"].removeprefix(direct), round(r["probability"], 9)) for r in json.loads(capsys.readouterr().out.strip().split("\n")[-1])]
 
     mined = ["--rules", f"{tmp_path}/pairs", "--preset"]
@@ -335,7 +345,7 @@ def test_rules_in_workflows_and_batches(spark, tmp_path, capsys):
     assert said(asked, *mined, "wikidata-type-property") == [("P3", 0.5), ("P2", 0.375)]
     short = said({"properties": ["P3", "P777"]}, "--endpoint", "wikiRecommender")
     assert short[0] == ("P1", 1.0) and {p for p, _ in short} == {"P1", "P2", "P31"}
-    common = ["evaluation", f"{path}.schemaTree.typed", path, "--typed"]
+    common = ["evaluation", f"{path}.model.typed", path, "--typed"]
     cli.main([*common, "--wikiEvaluation", "--rules", f"{tmp_path}/pairs"], spark)
     base = f"{tmp_path}/w-takeOneButType"
     before = sorted(map(str, spark.read.csv(f"{base}-setSize-stats").collect()))
@@ -353,11 +363,11 @@ def test_rules_in_workflows_and_batches(spark, tmp_path, capsys):
 
 def test_command_line(spark, nt_file, tmp_path, capsys):
     cli.main(["build-tree-typed", nt_file], spark)
-    (tmp_path / "r.jsonl").write_text(json.dumps({"properties": ["l:color"]}) + "\n")
-    cli.main(["serve", f"{nt_file}.schemaTree.typed", str(tmp_path / "r.jsonl"), "--preset", "direct"], spark)
-    assert json.loads(capsys.readouterr().out.strip().split("\n")[-1])[0]["property"] == "l:alloy"
+    (tmp_path / "r.jsonl").write_text(json.dumps({"properties": ["m:strings"]}) + "\n")
+    cli.main(["serve", f"{nt_file}.model.typed", str(tmp_path / "r.jsonl"), "--preset", "direct"], spark)
+    assert json.loads(capsys.readouterr().out.strip().split("\n")[-1])[0]["property"] == P31
     cli.main(["split-dataset", "1-in-n", nt_file, "--nth", "2"], spark)
-    assert spark.read.text(nt_file.removesuffix(".nt") + "-1in2-test").count() == 2
-    cli.main(["filter-dataset", "for-schematree", nt_file], spark)
-    cli.main(["evaluation", f"{nt_file}.schemaTree.typed", nt_file, "--typed", "--preset", "direct"], spark)
+    assert spark.read.text(nt_file.removesuffix(".nt") + "-1in2-test").count() == 5
+    cli.main(["filter-dataset", "for-model", nt_file], spark)
+    cli.main(["evaluation", f"{nt_file}.model.typed", nt_file, "--typed", "--preset", "direct"], spark)
     assert spark.read.option("header", True).csv(nt_file.removesuffix(".nt") + "-takeOneButType-setSize-stats").count() > 1

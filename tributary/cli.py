@@ -25,7 +25,7 @@ def _layers(spark: SparkSession, args: argparse.Namespace) -> list[workflow.Laye
 def build_tree(spark: SparkSession, args: argparse.Namespace) -> None:
     typed = args.command == "build-tree-typed"
     tx = to_transactions(read_ntriples(spark, args.file), typed, args.first)
-    Model.build(tx, ALWAYS).save(f"{args.file}.schemaTree{'.typed' if typed else ''}")
+    Model.build(tx, ALWAYS).save(f"{args.file}.model{'.typed' if typed else ''}")
 
 
 def build_glossary(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -50,7 +50,7 @@ def split_dataset(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def filter_dataset(spark: SparkSession, args: argparse.Namespace) -> None:
-    removed = {"for-schematree": prepare.FOR_SCHEMATREE, "for-glossary": prepare.FOR_GLOSSARY, "for-evaluation": prepare.FOR_EVALUATION}[args.purpose]
+    removed = {"for-model": prepare.FOR_MODEL, "for-glossary": prepare.FOR_GLOSSARY, "for-evaluation": prepare.FOR_EVALUATION}[args.purpose]
     triples = read_ntriples(spark, args.file)
     write_lines(prepare.filter_predicates(triples, removed), f"{trim_extensions(args.file)}-filtered")
     prepare.filter_stats(triples, removed).show()
@@ -74,14 +74,14 @@ def evaluation(spark: SparkSession, args: argparse.Namespace) -> None:
         return
     model = Model.load(spark, args.model).persist()
     tx = to_transactions(read_ntriples(spark, args.testSet), args.typed)
-    requests = evaluate.HANDLERS[args.handler](evaluate.subjects(model, tx, "rare"))
+    requests, missed = evaluate.HANDLERS[args.handler](evaluate.subjects(model, tx, "rare")), evaluate.MISSED_BY_HANDLER.get(args.handler, evaluate.MISSED)
     if args.batchTest:
         made = [workflow.Configuration.read(path).workflow() for path in args.batchTest]
-        batch = evaluate.batch(model, requests, {n: lambda m, q, own=own: workflow.run(m, q, own) for n, own in enumerate(made)})
+        batch = evaluate.batch(model, requests, {n: lambda m, q, own=own: workflow.run(m, q, own) for n, own in enumerate(made)}, missed)
         batch.drop("group").orderBy("config").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{base}-batch-stats")
         return
     layers = _layers(spark, args)
-    results = evaluate.evaluate(model, requests, lambda m, q: workflow.run(m, q, layers))
+    results = evaluate.evaluate(model, requests, lambda m, q: workflow.run(m, q, layers), missed)
     evaluate.write_results(results, f"{base}-results")
     evaluate.write_statistics(evaluate.statistics(results, args.groupBy), f"{base}-{args.groupBy}-stats", args.groupBy)
 
@@ -124,7 +124,7 @@ def parser() -> argparse.ArgumentParser:
     own.add_argument("file")
     own.add_argument("--nth", type=int, default=1000)
     own = add("filter-dataset", filter_dataset)
-    own.add_argument("purpose", choices=["for-schematree", "for-glossary", "for-evaluation"])
+    own.add_argument("purpose", choices=["for-model", "for-glossary", "for-evaluation"])
     own.add_argument("file")
     own = add("serve", ask, "model", "requests")
     own.add_argument("--glossary")

@@ -15,9 +15,9 @@ PREF_LABEL = "<http://www.w3.org/2004/02/skos/core#prefLabel>"
 ALT_LABEL = "<http://www.w3.org/2004/02/skos/core#altLabel>"
 NAME = "<http://schema.org/name>"
 DESCRIPTION = "<http://schema.org/description>"
-FOR_SCHEMATREE = (RDF_TYPE, RDFS_LABEL, PREF_LABEL, ALT_LABEL, NAME, DESCRIPTION)
+FOR_MODEL = (RDF_TYPE, RDFS_LABEL, PREF_LABEL, ALT_LABEL, NAME, DESCRIPTION)
 FOR_GLOSSARY = (RDF_TYPE, RDFS_LABEL, PREF_LABEL)
-FOR_EVALUATION = FOR_SCHEMATREE
+FOR_EVALUATION = FOR_MODEL
 ITEM_CLASSES = ("<http://wikiba.se/ontology#Item>", "<http://wikiba.se/ontology-beta#Item>")
 PROPERTY_CLASSES = ("<http://wikiba.se/ontology#Property>", "<http://www.wikidata.org/ontology#Property>")
 ITEM_PREFIX, PROPERTY_PREFIX = "<http://www.wikidata.org/entity/Q", "<http://www.wikidata.org/entity/P"
