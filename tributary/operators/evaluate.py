@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tributary.operators.model import Model
 from tributary.operators.recommend import LIMIT, candidates, rank
 
-#: Rank of a hit that never came, and of a historic miss.
-MISSED, HISTORIC_MISSED = 500, 10_000
+#: Rank of a hit that never came, by handler where it differs.
+MISSED = 500
+MISSED_BY_HANDLER = {"historicTakeButType": 10_000}
 
 
 def subjects(model: Model, transactions: DataFrame, unknown: str = "drop") -> DataFrame:
@@ -92,13 +93,13 @@ def evaluate(model: Model, requests: DataFrame, answer: Callable[[Model, DataFra
     requests = requests.where(F.size("s") > 0)
     sets = requests.select("s").distinct()
     found = answer(model, sets.select(F.col("s").alias("qid"), "s")).select(F.col("qid").alias("s"), "item", "rank")
-    counts = found.groupBy("s").agg(F.count("*").alias("n_found"))
-    left = requests.select("subject", "number", "s", F.size("left_out").alias("n_left"), F.explode("left_out").alias("item"))
-    hits = left.join(found, ["s", "item"]).groupBy("subject", "number").agg(F.min("rank").alias("first"), F.count("*").alias("tp"), F.count_if(F.col("rank") <= F.col("n_left")).alias("tp_at_l"))
+    ranks = found.groupBy("s").agg(F.map_from_entries(F.collect_list(F.struct("item", "rank"))).alias("ranks"))  # LIMIT entries at most
     size = model.items.agg(F.count("*").alias("dictionary")).withColumn("one", F.lit(1))
-    rows = requests.join(counts, "s", "left").join(hits, ["subject", "number"], "left").withColumn("one", F.lit(1)).join(F.broadcast(size), "one")
-    rows = rows.select("subject", "number", F.size("s").alias("set_size"), F.size("left_out").alias("num_left_out"), "num_types", F.coalesce("first", F.lit(missed)).alias("rank"), F.coalesce("tp", F.lit(0)).alias("tp"),
-                       F.coalesce("tp_at_l", F.lit(0)).alias("tp_at_l"), F.coalesce("n_found", F.lit(0)).alias("num_found"), "dictionary")
+    rows = requests.join(ranks, "s", "left").withColumn("one", F.lit(1)).join(F.broadcast(size), "one")
+    rows = rows.withColumn("hits", F.coalesce(F.filter(F.transform("left_out", lambda x: F.try_element_at("ranks", x)), lambda r: r.isNotNull()), F.array().cast("array<int>")))
+    at_l = F.filter("hits", lambda r: r <= F.size("left_out"))
+    rows = rows.select("subject", "number", F.size("s").alias("set_size"), F.size("left_out").alias("num_left_out"), "num_types", F.coalesce(F.array_min("hits"), F.lit(missed)).alias("rank"), F.size("hits").cast("long").alias("tp"),
+                       F.size(at_l).cast("long").alias("tp_at_l"), F.coalesce(F.size("ranks"), F.lit(0)).cast("long").alias("num_found"), "dictionary")
     rows = rows.withColumns({"fn": F.col("num_left_out") - F.col("tp"), "fp": F.col("num_found") - F.col("tp")})
     return rows.withColumn("tn", F.col("dictionary") - F.col("tp") - F.col("fp") - F.col("fn")).withColumn("num_non_types", F.col("set_size") + F.col("num_left_out") - F.col("num_types")).drop("dictionary")
 
@@ -137,11 +138,11 @@ def set_sizes(transactions: DataFrame) -> DataFrame:
     return transactions.groupBy(own.alias("num_non_types")).agg(F.count("*").alias("count"))
 
 
-def batch(model: Model, requests: DataFrame, workflows: dict[int, Callable[[Model, DataFrame], DataFrame]]) -> DataFrame:
+def batch(model: Model, requests: DataFrame, workflows: dict[int, Callable[[Model, DataFrame], DataFrame]], missed: int = MISSED) -> DataFrame:
     """The overall statistics of several workflows over the same requests, with config."""
     out = None
     for number, answer in workflows.items():
-        one = statistics(evaluate(model, requests, answer)).where(F.col("group") == -1).withColumn("config", F.lit(number))
+        one = statistics(evaluate(model, requests, answer, missed)).where(F.col("group") == -1).withColumn("config", F.lit(number))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -159,5 +160,3 @@ def write_results(results: DataFrame, path: str) -> None:
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """What write_results wrote."""
     return spark.read.schema(RESULTS).json(path)
-
-

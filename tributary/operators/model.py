@@ -52,15 +52,20 @@ class Model:
         old = self.patterns.withColumn("id", F.monotonically_increasing_id())
         named = old.select("id", "support", F.explode_outer("items").alias("item")).join(known, "item", "left").groupBy("id", "support").agg(F.collect_list("iri").alias("items"))
         new = transactions.select(F.array_sort("items").alias("items"), F.lit(1).cast("long").alias("support"))
-        return Model.of_patterns(named.select(F.array_sort("items").alias("items"), "support").unionByName(new))
+        return Model.of_patterns(named.select(F.array_sort("items").alias("items"), "support").unionByName(new), known=self.items.select("iri"))
 
     @classmethod
-    def of_patterns(cls, named: DataFrame, always: tuple[str, ...] = ()) -> Model:
-        """From (items array<string>, support), items sorted; sets may repeat. Equal sets meet before anything else."""
+    def of_patterns(cls, named: DataFrame, always: tuple[str, ...] = (), known: DataFrame | None = None) -> Model:
+        """From (items array<string>, support), items sorted; sets may repeat. Equal sets meet before anything else.
+
+        always, and known (iri): entries that are there even if no pattern has them.
+        """
         merged = named.groupBy("items").agg(F.sum("support").alias("support"))
         entries = merged.select(F.explode("items").alias("iri"), "support")
         if always:
             entries = entries.unionByName(merged.sparkSession.createDataFrame([(a, 0) for a in always], "iri string, support long"))
+        if known is not None:
+            entries = entries.unionByName(known.select("iri", F.lit(0).cast("long").alias("support")))
         items = ranked(entries.groupBy("iri").agg(F.sum("support").alias("total_count")))
         pairs = merged.select(F.col("items").alias("named"), "support", F.explode_outer("items").alias("iri")).join(items.select("iri", "item"), "iri", "left")
         return cls(items, pairs.groupBy("named", "support").agg(F.sort_array(F.collect_list("item")).alias("items")).select("items", "support"))

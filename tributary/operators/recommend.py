@@ -7,12 +7,14 @@ nothing rarer.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.operators.model import Model
 
 LIMIT = 500
+#: Tasks over which the requests without items are spread.
+SPREAD = 64
 #: Items of a pattern whose subsets are listed.
 SMALL = 8
 
@@ -64,9 +66,10 @@ def support(model: Model, queries: DataFrame) -> DataFrame:
 def popularity(model: Model, queries: DataFrame) -> DataFrame:
     """(qid, item, probability) of every dictionary entry, types and unseen ones too, for requests without items."""
     total = model.n_transactions().withColumn("one", F.lit(1))
-    asked = queries.where(F.size("s") == 0).select("qid", F.lit(1).alias("one"))
-    shares = model.items.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").select("one", "item", F.when(F.col("n") > 0, F.col("total_count") / F.col("n")).alias("probability"))
-    return asked.join(shares, "one").select("qid", "item", "probability")
+    asked = queries.where(F.size("s") == 0).select("qid", F.pmod(F.xxhash64("qid"), F.lit(SPREAD)).alias("part"))
+    shares = model.items.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").select("item", F.when(F.col("n") > 0, F.col("total_count") / F.col("n")).alias("probability"))
+    parts = shares.select("item", "probability", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("part"))
+    return asked.join(parts, "part").select("qid", "item", "probability")
 
 
 def candidates(model: Model, queries: DataFrame, include_types: bool = False, many: bool = False) -> DataFrame:
@@ -76,7 +79,7 @@ def candidates(model: Model, queries: DataFrame, include_types: bool = False, ma
     total = F.max(F.when(F.col("item") == -1, F.col("n"))).over(Window.partitionBy("qid"))
     found = counts.select("qid", "item", (F.col("n") / total).alias("probability")).where("item >= 0")
     if not include_types:
-        found = found.join(F.broadcast(model.items.where("is_type").select("item")), "item", "left_anti").select("qid", "item", "probability")
+        found = found.join(model.items.where("is_type").select("item"), "item", "left_anti").select("qid", "item", "probability")
     return found.unionByName(popularity(model, queries))
 
 
@@ -101,3 +104,23 @@ def top10_average(queries: DataFrame, ranked: DataFrame) -> DataFrame:
     """(qid, top10): the first ten probabilities' sum over ten, as float; missing ones count as 0."""
     sums = ranked.where("rank <= 10").groupBy("qid").agg(F.sum("probability").alias("total"))
     return queries.select("qid").join(sums, "qid", "left").select("qid", (F.coalesce("total", F.lit(0.0)) / 10).cast("float").alias("top10"))
+
+
+def rendered_items(items: DataFrame) -> DataFrame:
+    """text: each item's count, iri and rank."""
+    return items.select(F.format_string("%dx\t%s (%d)", "total_count", "iri", "item").alias("text"))
+
+
+def _in_order(named_rows: DataFrame, text: Column) -> DataFrame:
+    rows = named_rows.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", text.alias("text")))).alias("rows"))
+    return rows.select("qid", F.array_join(F.transform("rows", lambda r: r["text"]), "").alias("text"))
+
+
+def rendered_list(named_rows: DataFrame) -> DataFrame:
+    """(qid, text): a request's properties between square brackets."""
+    return _in_order(named_rows, F.concat("property", F.lit(" "))).select("qid", F.concat(F.lit("[ "), "text", F.lit("]")).alias("text"))
+
+
+def rendered(named_rows: DataFrame) -> DataFrame:
+    """(qid, text): a line a property with its probability, of answers cut at a limit."""
+    return _in_order(named_rows, F.concat("property", F.lit(": "), F.col("probability").cast("string"), F.lit("\n")))

@@ -16,15 +16,32 @@ TYPE_PREDICATES = (
 TYPE_MARK = "t#"
 
 
-def blocks(triples: DataFrame, subject: str = "s", order: str = "line_no") -> DataFrame:
-    """The rows with block: the number, from 1, of the run of lines with one subject.
+#: Consecutive line numbers that are numbered together.
+STRETCH = 1 << 20
 
-    Running numbers need one order over the whole file. Where the input is already one subject a group, use
-    from_pairs, which needs none.
+
+def blocks(triples: DataFrame, subject: str = "s", order: str = "line_no", first_n: int | None = None, stretch: int = STRETCH) -> DataFrame:
+    """The rows with block: the number, from 1, of the run of lines with one subject; those up to first_n.
+
+    Runs are numbered within stretches of line numbers, in parallel. The driver gets one row a stretch (first and last
+    subject, and how many runs begin inside) and sums them up, so this runs a job; the sums go back by a broadcast of
+    16 bytes a stretch. Line numbers must be unique.
     """
-    w = Window.orderBy(order)
-    fresh = F.coalesce(F.col(subject) != F.lag(subject).over(w), F.lit(True))
-    return triples.withColumn("__fresh", fresh.cast("long")).withColumn("block", F.sum("__fresh").over(w)).drop("__fresh")
+    rows = triples.withColumn("__stretch", F.floor(F.col(order) / stretch).cast("long") if stretch > 1 else F.col(order))
+    w = Window.partitionBy("__stretch").orderBy(order)
+    fresh = F.coalesce(F.col(subject) != F.lag(subject).over(w), F.lit(True)) & (F.row_number().over(w) > 1)
+    rows = rows.withColumn("__fresh", fresh.cast("long")).withColumn("__run", F.sum("__fresh").over(w)).drop("__fresh")
+    ends = rows.groupBy("__stretch").agg(F.min_by(subject, order).alias("first"), F.max_by(subject, order).alias("last"), F.max("__run").alias("more"))
+    starts, number, last = [], 0, None
+    for r in sorted(ends.collect(), key=lambda r: r["__stretch"]):
+        number += 1 if last is None or r["first"] is None or r["first"] != last else 0
+        if first_n is not None and number > first_n:
+            break
+        starts.append((r["__stretch"], number))
+        number, last = number + r["more"], r["last"]
+    begins = triples.sparkSession.createDataFrame(starts, "__stretch long, __start long")
+    rows = rows.join(F.broadcast(begins), "__stretch").withColumn("block", F.col("__start") + F.col("__run"))
+    return (rows if first_n is None else rows.where(F.col("block") <= first_n)).drop("__stretch", "__run", "__start")
 
 
 def to_transactions(triples: DataFrame, typed: bool = False, first_n: int | None = None, contiguous: bool = True) -> DataFrame:
@@ -34,9 +51,7 @@ def to_transactions(triples: DataFrame, typed: bool = False, first_n: int | None
     """
     rows = triples.select("line_no", F.regexp_replace("s", "^<|>$", "").alias("s"), nt.iri(F.col("p")).alias("p"), nt.nth(nt.words(F.col("o")), 0).alias("o"))
     if contiguous:
-        rows = blocks(rows)
-        if first_n is not None:
-            rows = rows.where(F.col("block") <= first_n)
+        rows = blocks(rows, first_n=first_n)
         keys = ["block", "s"]
     else:
         keys = ["s"]

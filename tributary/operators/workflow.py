@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tributary.operators import backoff
 from tributary.operators.model import Model
 from tributary.operators.recommend import LIMIT, candidates, rank, top10_average
+from tributary.session import materialize
 
 
 @dataclass(frozen=True)
@@ -57,8 +58,11 @@ def facts(queries: DataFrame, direct: DataFrame) -> DataFrame:
 
 
 def run(model: Model, queries: DataFrame, layers: list[Layer], limit: int | None = LIMIT) -> DataFrame:
-    """(qid, item, probability, rank, layer); a request for which no condition holds has no rows."""
-    direct = candidates(model, queries)
+    """(qid, item, probability, rank, layer); a request for which no condition holds has no rows.
+
+    The direct answers are written once to the shared folder: conditions and layers read them there.
+    """
+    direct = materialize(candidates(model, queries), "direct")
     choice = F.lit(None).cast("int")
     for n, layer in reversed(list(enumerate(layers))):
         choice = F.when(layer.condition(), n).otherwise(choice)

@@ -40,7 +40,13 @@ def materialize(df: DataFrame, hint: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def parts_for(df: DataFrame, bytes_each: int, least: int, most: int = 1 << 16) -> int:
+def parts_for(df: DataFrame, bytes_each: int, least: int) -> int:
     """Parts of about bytes_each for the plan's estimated size, which grows with the input."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(least, min(most, -(-size // bytes_each)))
+    return max(least, -(-size // bytes_each))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there, in any file system that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place))

@@ -27,8 +27,9 @@ def start(stream: DataFrame, path: str, checkpoint: str, **trigger) -> Streaming
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def read(spark: SparkSession, path: str) -> Model:
-    return Model.of_patterns(spark.read.schema(SCHEMA).parquet(path).select("items", "support"))
+def read(spark: SparkSession, path: str, always: tuple[str, ...] = ()) -> Model:
+    """The model of all batches; always: entries that are there even if unseen."""
+    return Model.of_patterns(spark.read.schema(SCHEMA).parquet(path).select("items", "support"), always)
 
 
 def compact(spark: SparkSession, path: str, to: str) -> None:
