@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.operators import prepare
 from tributary.operators.model import Model
 from tributary.operators.transactions import TYPE_MARK, from_pairs
-from tributary.session import table
+from tributary.session import exists, shared_dir, table
 
 
 def order_pairs(spark: SparkSession, sf_dir: str, typed: bool = False) -> DataFrame:
@@ -25,10 +27,24 @@ def transactions(spark: SparkSession, sf_dir: str, typed: bool = False) -> DataF
     return from_pairs(order_pairs(spark, sf_dir, typed))
 
 
-def model(spark: SparkSession, sf_dir: str, typed: bool = False) -> Model:
+def built_model(spark: SparkSession, sf_dir: str, typed: bool = False) -> Model:
     return Model.build(transactions(spark, sf_dir, typed))
 
 
+#: Where models are written: by application, tables and kind.
+_written: dict[tuple, str] = {}
+
+
+def model(spark: SparkSession, sf_dir: str, typed: bool = False) -> Model:
+    """A model that is built once an application, written to the shared folder, and read from there by all queries."""
+    key = (spark.sparkContext.applicationId, sf_dir, typed)
+    if key not in _written or not exists(spark, _written[key]):
+        path = f"{shared_dir(spark)}/models/{uuid.uuid4().hex}"
+        built_model(spark, sf_dir, typed).save(path)
+        _written[key] = path
+    return Model.load(spark, _written[key])
+
+
 def event_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of N-Triples text from events, in the order of event_id: literals with blanks and escapes, comments."""
     e = table(spark, sf_dir, "events")
@@ -79,3 +95,24 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         snak(F.lit(31), F.concat(F.lit("Q"), F.substring("o_orderpriority", 1, 1))).alias("mainsnak"), nothing.alias("qualifiers"), nothing.alias("references")).alias("claim"))
     grouped = claims.unionByName(first).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "claim"))).alias("claims"))
     return grouped.select(F.col("key").cast("string").alias("title"), F.transform("claims", lambda c: c["claim"]).alias("claims"))
+
+
+def dump_texts(spark: SparkSession, sf_dir: str, listed: bool) -> DataFrame:
+    """(title, value): orders as JSON of entities, claims as a map by property or, in the older form, as a list.
+
+    A claim a line with the part's brand, its size as a quantity qualifier, its return flag as an item of the reference.
+    """
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), (F.regexp_extract("p_brand", r"(\d+)", 1).cast("int") + 100).alias("pid"), (F.col("p_size") % 7 + 200).alias("qual"))
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.when(F.col("l_returnflag") == "R", 300).otherwise(301).alias("ref")).join(part, "l_partkey")
+    if listed:
+        text = F.format_string('{"m":["value",%d,"string","v\\"%d"],"q":[["value",%d,"quantity",{"amount":"+%d"}]],"refs":[[["value",%d,"wikibase-entityid",{"entity-type":"item","numeric-id":%d}]]]}', "pid", "pid", "qual", "pid", "ref", "ref")
+    else:
+        snak = '{"snaktype":"value","property":"P%d","datatype":"'
+        text = F.format_string(
+            '{"mainsnak":' + snak + 'string","datavalue":{"value":"v\\"%d","type":"string"}},"qualifiers":{"P%d":[' + snak + 'quantity","datavalue":{"value":{"amount":"+%d","unit":"1"},"type":"quantity"}}]},"references":[{"snaks":{"P%d":[' + snak + 'wikibase-item","datavalue":{"value":{"id":"Q%d"},"type":"wikibase-entityid"}}]}}]}',
+            "pid", "pid", "qual", "qual", "pid", "ref", "ref", "ref")
+    by_property = line.groupBy("l_orderkey", "pid").agg(F.array_join(F.collect_list(text), ",").alias("texts"))
+    claims = F.array_join(F.collect_list(F.col("texts") if listed else F.format_string('"P%d":[%s]', "pid", "texts")), ",")
+    whole = by_property.groupBy("l_orderkey").agg(claims.alias("claims")).withColumn("title", F.format_string("Q%d", "l_orderkey"))
+    form = '{"claims":[%s]}' if listed else '{"type":"item","id":"%s","claims":{%s}}'
+    return whole.select("title", F.format_string(form, *(["claims"] if listed else ["title", "claims"])).alias("value"))
