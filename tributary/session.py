@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,9 +41,16 @@ def materialize(df: DataFrame, hint: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Estimates from here on say that Spark doesn't know a size.
+UNKNOWN = 1 << 60
+
+
 def parts_for(df: DataFrame, bytes_each: int, least: int) -> int:
-    """Parts of about bytes_each for the plan's estimated size, which grows with the input."""
+    """Parts of about bytes_each for the plan's estimated size, which grows with the input; one without an estimate is counted."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= UNKNOWN:
+        long = [F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c, kind in df.dtypes if kind in ("string", "binary")]
+        size = df.agg(F.coalesce(F.sum(sum(long, F.lit(8 * len(df.columns)).cast("long"))), F.lit(0))).first()[0]
     return max(least, -(-size // bytes_each))
 
 
