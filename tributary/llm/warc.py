@@ -4,8 +4,10 @@ Method. A capture is a request, a response (or a revisit of an earlier equal one
 metadata name the response through WARC-Concurrent-To. Reading parses the archives' records and assembles
 transactions by joining records on the capture that they name, wherever they lie, into one nested row.
 
-Writers write archives of a bounded size into a folder that all executors share, each under a name of its own and
-then by a rename, so a task that runs again replaces what it wrote before. Equal payloads are found by digest: the
+Writers write archives of a bounded size into a folder that all executors share, each under a hidden name and then by a
+rename. Rows get a fixed key as they are read, from which their record ids come, and a task sorts its rows by it; so a
+task that runs again or twice at once makes the same archives under the same names, whatever order its rows came in.
+Equal payloads are found by digest: the
 smallest id of each digest comes from a partial aggregate; the join back is salted, as one payload may be a third of
 all pages, and only its digests that occur twice or more take part.
 
@@ -76,15 +78,19 @@ def capture(seed: str, page_id: int | None, url: str | None, payload: bytes, fir
     ])
 
 
-def write(pages: DataFrame, folder: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Writes the archives, and returns their names and sizes (lazily: an action on it writes them)."""
+def write(pages: DataFrame, folder: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", row_key: Column | None = None) -> DataFrame:
+    """Writes the archives, and returns their names and sizes (lazily: an action on it writes them).
+
+    row_key: a long of its own for each row; without one, the row's place in the tables as they are read.
+    """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    key = F.monotonically_increasing_id() if row_key is None else row_key
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), key.alias("key"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
     twice = (rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
              .where("n > 1").select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(twice, ["digest", "salt"], "left")
-    rows = rows.select("page_id", "url", "payload", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("first"))
+    rows = rows.select("page_id", "url", "payload", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("first"), "key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -98,14 +104,17 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, id_col: str = "pa
             with store.open_output_stream(hidden) as out:
                 for records in held:
                     out.write(records)
-            store.move(hidden, f"{top}/{name}")
+            try:
+                store.move(hidden, f"{top}/{name}")
+            except OSError:  # some stores don't rename to a name that is there: another attempt's, with the same content
+                if store.get_file_info(f"{top}/{name}").type != fs.FileType.File:
+                    raise
+                store.delete_file(hidden)
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size], pa.int64())], names=["archive", "bytes"])
 
-        row = 0
         for batch in batches:
-            for page_id, url, payload, first in zip(*(batch.column(i) for i in range(4))):
-                records = capture(f"{part}/{row}", page_id.as_py(), url.as_py(), payload.as_py(), first.as_py())
-                row += 1
+            for page_id, url, payload, first, key in zip(*(batch.column(i) for i in range(5))):
+                records = capture(str(key.as_py()), page_id.as_py(), url.as_py(), payload.as_py(), first.as_py())
                 held.append(records)
                 size += len(records)
                 if size >= ARCHIVE_BYTES:
