@@ -11,7 +11,7 @@ from tributary.session import table
 
 
 def op1_nra_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
