@@ -88,6 +88,34 @@ def test_annotations_schemes_and_later_constants(text, literals):
     assert [text[a:b] for a, b in secrets.literals(text)] == literals
 
 
+@pytest.mark.parametrize("text, literals", [
+    ('password = "Zx9Qw8Er" + "7Ty6Ui5O"', ["Zx9Qw8Er", "7Ty6Ui5O"]), ('secret_key = ("Zx9Qw8Er"\n   "7Ty6Ui5O")', []), ('token = "Zx9Qw8Er"\n  "7Ty6Ui5O"', ["Zx9Qw8Er", "7Ty6Ui5O"]),
+    ('{"token": "Zx9Qw8Er7Ty6Ui5O", "colour": "Er7Ty6Ui5OZx9Qw8"}', ["Zx9Qw8Er7Ty6Ui5O"]), ('{"credentials": {"value": "Zx9Qw8Er7Ty6Ui5O"}, "value": "Er7Ty6Ui5OZx9Qw8"}', ["Zx9Qw8Er7Ty6Ui5O"]),
+    ("client_key: |\n  Zx9Qw8Er7Ty6\n  Ui5OPa4Sd3\nname: Er7Ty6Ui5OZx9Qw8", ["  Zx9Qw8Er7Ty6\n  Ui5OPa4Sd3"]), ("<db><password>Zx9Qw8Er7Ty6Ui5O</password></db>", ["Zx9Qw8Er7Ty6Ui5O"]),
+    ('<add key="apiKey" value="Zx9Qw8Er7Ty6Ui5O"/>', ["Zx9Qw8Er7Ty6Ui5O"]), ('# old: password = "Zx9Qw8Er7Ty6Ui5O"', ["Zx9Qw8Er7Ty6Ui5O"]),
+    ('def f():\n    x = "Zx9Qw8Er7Ty6Ui5O"\n    use(x)\ndef g():\n    x = "Er7Ty6Ui5OZx9Qw8"\n    secret_key = x\n', ["Er7Ty6Ui5OZx9Qw8"]),
+    ('a { k = "Zx9Qw8Er7Ty6Ui5O" }\nb { k = "Er7Ty6Ui5OZx9Qw8"; client_secret = k }', ["Er7Ty6Ui5OZx9Qw8"]), ("}}} {{ password = 'Zx9Qw8Er7Ty6'", ["Zx9Qw8Er7Ty6"]),
+])
+def test_joined_nested_and_scoped_literals(text, literals):
+    assert sorted(text[a:b] for a, b in secrets.literals(text)) == sorted(literals)
+
+
+def test_secrets_of_a_labelled_sample():
+    """Precision and recall of literals in made-up sources of several syntaxes."""
+    pick = random.Random(11)
+    alphabet = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789"
+    forms = ['{n} = "{v}"', "{n}: '{v}'", '"{n}": "{v}",', "export {n}={v}", "<{n}>{v}</{n}>", '{n}: str = "{v}"', 'x = "{v}"\n{n} = x', '{{"outer": {{"{n}": "{v}"}}}}']
+    names = {True: ["db_password", "clientSecret", "API_TOKEN", "aws_access_key", "authToken", "private_key"], False: ["colour", "title_text", "buildHash", "MODE", "file_name", "greeting"]}
+    right = found = true = 0
+    for n in range(400):
+        is_secret = n % 2 == 0
+        value = "".join(pick.choice(alphabet) for _ in range(20))
+        text = "import os\n" + pick.choice(forms).format(n=pick.choice(names[is_secret]), v=value) + "\nprint(1)\n"
+        got = {text[a:b] for a, b in secrets.literals(text)}
+        true, found, right = true + is_secret, found + len(got), right + (is_secret and value in got)
+    assert right / true >= 0.98 and right / found >= 0.98
+
+
 def test_quality(spark, docs, rows, sample):
     labels = spark.createDataFrame([(18, 1, 0), (6, 0, 0), (None, 1, 0), (18, 1, None)], "doc_id long, quality int, toxic int")
     got = quality.judge(docs, labels).collect()

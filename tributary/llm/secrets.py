@@ -1,10 +1,14 @@
 """Secrets in source and configuration text: fixed patterns, and an assignment-aware lexer.
 
 Method. The text is lexed into name-literal pairs: a name, an optional type annotation, an assignment sign, and a quoted,
-triple-quoted or bare literal, one after a scheme word such as Bearer, or another name. The text of a triple-quoted
-literal is lexed too. Constants propagate: a name that is given another name's value stands for that value's literal,
-as last set before, or where it is only set later, as set there. A literal is scored by how sensitive its target names are and by its own variety of characters; those that score enough become
-spans of kind `literal`. Spans of the fixed patterns always stay.
+triple-quoted or bare literal, one after a scheme word such as Bearer, or another name; elements and key-value
+attributes of markup; indented block values. Quoted pieces that are joined by a sign or stand side by side are one
+literal with a span a piece. The text of a triple-quoted literal is lexed too. Names live in scopes (braces, and
+functions by their indentation): a name is looked up from its own scope outwards, and a name inside a table is read
+together with the table's name. Constants propagate: a name that is given another name's value stands for that value's
+literal, as last set before, or where it is only set later, as set there. A literal is scored by how sensitive its
+target names are and by its own variety of characters; those that score enough become spans of kind `literal`. Spans of
+the fixed patterns always stay. Comments are lexed like code, as a secret in a comment is one too.
 
 Each text is lexed by itself, so memory is that of one text.
 
@@ -14,9 +18,9 @@ other than the id and the text are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -54,6 +58,16 @@ PAIR = re.compile(
 TYPES = frozenset("str string String bytes bytearray char Any any object Object None unknown Text AnyStr Final Optional Union".split())
 WORD = re.compile(r"[A-Za-z_.]+", re.ASCII)
 NAME = re.compile(r"[A-Za-z_$][\w.$]*", re.ASCII)
+#: Another quoted piece of a joined literal.
+JOINED = re.compile(r"""(?:[ \t]*(?:\+|\.{1,2}|&|\\)[ \t]*\n?[ \t]*|[ \t]*\n[ \t]*(?:\+[ \t]*)?|[ \t]+)[a-zA-Z]{0,2}(?P<quote>["'`])(?P<piece>(?:\\.|(?!(?P=quote))[^\\\n])*)(?P=quote)(?![ \t]*[:=])""")
+#: The lines of an indented block value.
+BLOCK_SIGN = re.compile(r"[|>][-+0-9]{0,2}\Z")
+BLOCK = re.compile(r"[ \t]*\n(?P<value>(?P<indent>[ \t]+)\S[^\n]*(?:\n(?P=indent)[^\n]*)*)")
+#: Elements with text only, and attributes that name a value beside it.
+ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.:-]*)(?:[ \t][^<>]{0,200})?>(?P<value>[^<>\s]{8,})</(?P=name)>", re.ASCII)
+ATTRIBUTES = re.compile(r"""\b(?:key|name|id)=(["'])(?P<name>[A-Za-z_][\w.:-]*)\1[ \t\n]+value=(["'])(?P<value>[^"'<>]*)\3""", re.ASCII)
+#: What opens a scope: a brace after a name, any other brace, a function or class; and what may hold braces of no meaning.
+SCOPE = re.compile(r"""["']?(?P<table>[A-Za-z_$][\w$-]*)["']?\]?[ \t]*(?::|=>?|:=)[ \t]*\{|(?P<open>\{)|(?P<close>\})|^(?P<indent>[ \t]*)(?:async[ \t]+)?(?:def|class)[ \t]+\w+[^\n]*:[ \t]*$|(?P<text>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')""", re.ASCII | re.MULTILINE)
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
@@ -71,36 +85,87 @@ def variety(value: str) -> float:
     return min(1.0, bits / math.log2(min(32, max(2, n))))
 
 
+class Scopes:
+    """The scopes of a text; 0 is the text itself."""
+
+    def __init__(self, text: str):
+        self.parent, self.table, self.begins, self.at = [-1], [""], [0], [0]
+        if "{" not in text and "def " not in text and "class " not in text:
+            return
+        open_: list[tuple[int, int | None]] = [(0, None)]  # (scope, where it ends if that is by indentation)
+
+        def enter(where: int, table: str, end: int | None) -> None:
+            self.parent.append(open_[-1][0])
+            self.table.append(table)
+            open_.append((len(self.parent) - 1, end))
+            self.mark(where, open_[-1][0])
+
+        def leave(where: int) -> None:
+            open_.pop()
+            self.mark(where, open_[-1][0])
+
+        for m in SCOPE.finditer(text):
+            while len(open_) > 1 and open_[-1][1] is not None and m.start() >= open_[-1][1]:
+                leave(open_[-1][1])
+            if m["table"] is not None or m["open"]:
+                enter(m.end(), m["table"] or "", None)
+            elif m["close"] and len(open_) > 1 and open_[-1][1] is None:
+                leave(m.start())
+            elif m["indent"] is not None:
+                after = re.compile(rf"^(?!{m['indent']}[ \t]|[ \t]*$)", re.MULTILINE).search(text, m.end())
+                enter(m.end(), "", after.start() if after else len(text))
+        while len(open_) > 1 and open_[-1][1] is not None:
+            leave(open_[-1][1])
+
+    def mark(self, where: int, scope: int) -> None:
+        self.begins.append(max(where, self.begins[-1]))
+        self.at.append(scope)
+
+    def of(self, place: int) -> int:
+        return self.at[bisect_right(self.begins, place) - 1]
+
+    def outwards(self, scope: int) -> Iterator[int]:
+        while scope >= 0:
+            yield scope
+            scope = self.parent[scope]
+
+
 def literals(text: str) -> list[tuple[int, int]]:
     """Spans of literals whose target names, own or propagated, make them secrets."""
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and "</" not in text:
         return []
-    # what each name was set to, in order: a literal's span, (a name that is set later, the span if it never is), or None
-    states: dict[str, list] = {}
-    given: list[tuple[str, tuple]] = []
-    for name, span, sign, sure in _pairs(text):
-        value, state = text[span[0] : span[1]], span
-        if not sure and ((known := states.get(value)) or NAME.fullmatch(value)):
+    scopes = Scopes(text)
+    # what each scope's names were set to, in order: a literal's spans, (a name that is set later, the spans if it never is), or None
+    states: dict[tuple[int, str], list] = {}
+    given: list[tuple[str, int, tuple]] = []
+
+    def looked_up(scope: int, name: str) -> list:
+        return next((states[s, name] for s in scopes.outwards(scope) if (s, name) in states), [])
+
+    for name, spans, sign, sure in _pairs(text):
+        span, scope = spans[0], scopes.of(spans[0][0])
+        value, state = text[span[0] : span[1]], spans
+        if not sure and ((known := looked_up(scope, value)) or NAME.fullmatch(value)):
             # a secret's name may be given a literal that looks like a name; after `:` may stand a type
-            own = span if sure is False and sensitivity(name) >= 0.9 else None
+            own = spans if sure is False and sensitivity(name) >= 0.9 else None
             state = known[-1] if known else (value, own)
-            if state is None or state[1] is None:
+            if state is None or state[1:] == (None,):
                 state = (state[0], own) if state else own
             if known or own or sign != ":" and sure is False:
-                states.setdefault(name, []).append(state)
+                states.setdefault((scope, name), []).append(state)
         else:
-            states.setdefault(name, []).append(state)
+            states.setdefault((scope, name), []).append(state)
         if state:
-            given.append((name, state))
+            given.append((name, scope, state))
 
-    def resolved(name: str) -> tuple[int, int] | None:
-        """The literal that a name which is set later stands for."""
+    def resolved(scope: int, name: str) -> tuple | None:
+        """The literal that a name which is set later stands for: in a scope around, else anywhere."""
         asked, met = [name], set()
         while asked:
             name = asked.pop()
             if name not in met:
                 met.add(name)
-                for state in states.get(name, ()):
+                for state in looked_up(scope, name) or [x for (_, n), own in states.items() if n == name for x in own]:
                     if state and not isinstance(state[0], str):
                         return state
                     if state:
@@ -108,36 +173,47 @@ def literals(text: str) -> list[tuple[int, int]]:
         return None
 
     score: dict[tuple[int, int], float] = {}
-    for name, span in given:
-        weight = sensitivity(name)
-        if weight and isinstance(span[0], str):
-            span = resolved(span[0]) or span[1]
-        if weight and span:
-            value = text[span[0] : span[1]]
+    for name, scope, state in given:
+        table = next((scopes.table[s] for s in scopes.outwards(scope) if scopes.table[s]), "")
+        weight = max(sensitivity(name), 0.9 * sensitivity(table))
+        if weight and isinstance(state[0], str):
+            state = resolved(scope, state[0]) or state[1]
+        if weight and state:
+            value = "".join(text[a:b] for a, b in state)
             if len(value) >= LEAST_LITERAL and not PLACEHOLDER.match(value):
-                score[span] = max(score.get(span, 0.0), weight * variety(value))
-    return [s for s, x in score.items() if x >= THRESHOLD]
+                for span in state:
+                    score[span] = max(score.get(span, 0.0), weight * variety(value))
+    return [s for s, x in score.items() if x >= THRESHOLD and s[1] > s[0]]
 
 
-def _pairs(text: str) -> Iterator[tuple[str, tuple[int, int], str, bool | None]]:
-    """(name, the value's span, sign, sure) in the text's order.
+def _pairs(text: str) -> Iterator[tuple[str, tuple[tuple[int, int], ...], str, bool | None]]:
+    """(name, the value's spans, sign, sure), markup first, then in the text's order.
 
     sure says whether the value is a literal; False where it may be a name, None where it is a name or nothing.
     """
+    if "</" in text or "value=" in text:
+        for pattern in (ELEMENT, ATTRIBUTES):
+            for m in pattern.finditer(text):
+                yield m["name"], (m.span("value"),), "=", True
     at = 0
     while m := PAIR.search(text, at):
         kind = next(k for k in ("long", "quoted", "following", "bare") if m[k] is not None)
-        span, kept, sign = m.span(kind), m["type"], "=" if m["type"] else m["sign"]
+        spans, kept, sign, end = (m.span(kind),), m["type"], "=" if m["type"] else m["sign"], m.end()
         sure = kind in ("long", "quoted")
         if kind == "following":
-            yield m["name"], m.span("scheme"), sign, False
+            yield m["name"], (m.span("scheme"),), sign, False
             sure = None if WORD.fullmatch(m[kind]) else True
         if kept and kept not in TYPES and not m["quote"] and not m["triple"]:
-            yield m["name"], m.span("type"), ":", sensitivity(m["name"]) >= 0.9  # it may be the value
-        yield m["name"], span, sign, sure
+            yield m["name"], (m.span("type"),), ":", sensitivity(m["name"]) >= 0.9  # it may be the value
+        if kind == "quoted":
+            while more := JOINED.match(text, end):
+                spans, end = (*spans, more.span("piece")), more.end()
+        elif kind == "bare" and BLOCK_SIGN.match(m["bare"]) and (block := BLOCK.match(text, end)):
+            spans, sure, end = (block.span("value"),), True, end  # its lines are lexed too
+        yield m["name"], spans, sign, sure
         if kept and kept not in TYPES and NAME.fullmatch(kept):
-            yield kept, span, sign, sure  # it may be the name, as in `if x: y = ...`
-        at = m.start("long") if kind == "long" else m.end()
+            yield kept, spans, sign, sure  # it may be the name, as in `if x: y = ...`
+        at = m.start("long") if kind == "long" else end
 
 
 def spans(text: str) -> list[tuple[int, int, int]]:
@@ -179,10 +255,3 @@ def digest(scanned: DataFrame) -> DataFrame:
     counts = [count(k) for k in KINDS[:3]]
     base = F.filter("spans", lambda s: s["kind"].isin(*KINDS[:3]))
     return scanned.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
-
-
-def digest_of(text: str) -> tuple:
-    """The same of one text, without Spark."""
-    found = spans(text)
-    base = [s for s in found if s[1] < 3]
-    return (*(sum(s[1] == k for s in base) for k in range(3)), hashlib.sha256(listed(base).encode()).hexdigest(), listed(found))
