@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm.blobs import joined_bytes, packed, split_bytes, unpacked
-from tributary.llm.units import chunks, gathered, pretoken_units
+from tributary.llm.units import chunks, gathered, small_batches
 from tributary.session import parts_for
 
 CHUNK_BYTES = 4 << 20
@@ -53,18 +53,29 @@ def token_bytes(path: str) -> dict[int, bytes]:
     return {v: k for k, v in ranks(path).items()}
 
 
-def _pretokens(text: pa.Array, pattern: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Documents' offsets into units, unit codes, units' offsets into pre-tokens, pre-token codes, pre-tokens."""
+def _pretokens(text: pa.Array, pattern: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Each document's number of pre-tokens, the pre-tokens' codes, and the distinct pre-tokens in the order of their codes."""
     import regex
 
     find = regex.compile(pattern).findall
-    offsets, codes, units = pretoken_units(text)
     names: dict[str, int] = {}
-    ends, inner = [0], []
-    for unit in units:
-        inner.extend(names.setdefault(p, len(names)) for p in find(unit))
-        ends.append(len(inner))
-    return offsets, codes, np.array(ends, np.int64), np.array(inner, np.int64), [p.encode() for p in names]
+    counts, codes = [], []
+    for t in text:
+        own = [names.setdefault(p, len(names)) for p in find(t.as_py())]
+        counts.append(len(own))
+        codes.append(np.array(own, np.uint32))
+    return np.array(counts, np.uint32), np.concatenate(codes) if codes else np.zeros(0, np.uint32), [p.encode() for p in names]
+
+
+def _distinct(text: pa.Array, pattern: str) -> list[bytes]:
+    """The distinct pre-tokens alone, in the same order."""
+    import regex
+
+    find = regex.compile(pattern).findall
+    names: dict[str, None] = {}
+    for t in text:
+        names.update(dict.fromkeys(find(t.as_py())))
+    return [p.encode() for p in names]
 
 
 def _shards(pretokens: list[bytes], shards: int) -> np.ndarray:
@@ -74,12 +85,13 @@ def _shards(pretokens: list[bytes], shards: int) -> np.ndarray:
 def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
                   keep_ids: bool = True) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if kept, ids and decoded text bytes."""
+    small_batches(df)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shards = parts_for(docs, SHARD_BYTES, 24)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, _, text in chunks(batches, CHUNK_BYTES):
-            pretokens = _pretokens(text, pattern)[4]
+            pretokens = _distinct(text, pattern)
             shard = _shards(pretokens, shards)
             order = np.argsort(shard, kind="stable")
             cuts = np.flatnonzero(np.diff(shard[order])) + 1
@@ -104,16 +116,17 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, ids, text in chunks(batches, CHUNK_BYTES):
-            offsets, codes, ends, inner, pretokens = _pretokens(text, pattern)
+            counts, codes, pretokens = _pretokens(text, pattern)
             there = ids.is_valid().to_numpy(zero_copy_only=False)
-            blob = packed(ids.fill_null(0).to_numpy(zero_copy_only=False), there, np.diff(offsets).astype(np.uint32), codes.astype(np.uint32),
-                          np.diff(ends).astype(np.uint32), inner.astype(np.uint32), _shards(pretokens, shards).astype(np.uint16))
+            blob = packed(ids.fill_null(0).to_numpy(zero_copy_only=False), there, counts,
+                          codes.astype(np.uint16), (codes >> 16).astype(np.uint16), _shards(pretokens, shards).astype(np.uint32))  # codes in two parts, as most of the high ones are 0
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([blob], pa.binary())], names=["chunk", "held"])
 
     def assemble(held: pa.Table, answers: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         for blob in held.column("held"):
-            ids, there, counts, codes, sizes, inner, shard = unpacked(blob.as_py())
+            ids, there, counts, low, high, shard = unpacked(blob.as_py())
+            codes = (high.astype(np.int64) << 16) | low
             said = {int(s): unpacked(a.as_py()) for s, a in zip(answers.column("shard").to_pylist(), answers.column("answer"))}
             lengths, flats = np.zeros(len(shard), np.int64), []
             order = np.argsort(shard, kind="stable")
@@ -131,23 +144,20 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
             first[order], first[-1] = in_order[:-1], in_order[-1]
             starts = np.concatenate(([0], np.cumsum(lengths)))
             words = gathered(flat, in_order, np.argsort(order))[0]  # ids by pre-token, in the chunk's order
-            unit_ids, unit_ends = gathered(words, starts, inner.astype(np.int64))
-            unit_ends = unit_ends[np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))]
             table = token_bytes(ranks_path)
-            every, e = unit_ids.tolist(), unit_ends.tolist()
-            unit_text = [",".join(map(str, every[a:b])) for a, b in zip(e, e[1:])]
-            unit_raw = [b"".join([table[i] for i in every[a:b]]) for a, b in zip(e, e[1:])]
-            n_ids = np.diff(unit_ends)
-            at, codes = 0, codes.astype(np.int64)
+            every, e = words.tolist(), starts.tolist()
+            listed_ids = [",".join(map(str, every[a:b])) for a, b in zip(e, e[1:])]
+            raws = [b"".join([table[i] for i in every[a:b]]) for a, b in zip(e, e[1:])]
+            at = 0
             for doc, known, n in zip(ids.tolist(), there.tolist(), counts.tolist()):
                 own = codes[at : at + n]
                 at += n
                 listed = own.tolist()
-                raw = b"".join([unit_raw[c] for c in listed])
-                row = (doc if known else None, int(n_ids[own].sum()),
-                       hashlib.sha256(",".join([unit_text[c] for c in listed if unit_text[c]]).encode()).hexdigest(),
+                raw = b"".join([raws[c] for c in listed])
+                row = (doc if known else None, int(lengths[own].sum()),
+                       hashlib.sha256(",".join([listed_ids[c] for c in listed]).encode()).hexdigest(),
                        hashlib.sha256(raw).hexdigest())
-                rows.append((*row, gathered(unit_ids, unit_ends, own)[0].astype(np.int32), raw) if keep_ids else row)
+                rows.append((*row, gathered(words, starts, own)[0].astype(np.int32), raw) if keep_ids else row)
         columns = list(zip(*rows)) or [()] * (6 if keep_ids else 4)
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary()]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]

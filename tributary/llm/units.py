@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
+from pyspark.sql import DataFrame
 
 #: Bytes of the contracts' white space, [\x20\x09-\x0D].
 SPACES = b" \t\n\x0b\x0c\r"
@@ -23,22 +24,48 @@ LOWER_BLANK[list(SPACES)] = 32
 LOWER_BLANK[65:91] += 32
 
 
+#: Rows an Arrow batch, where the session has not chosen another number than Spark's: texts are long.
+BATCH_ROWS, SPARK_ROWS = 1000, "10000"
+
+
+def small_batches(df: DataFrame) -> None:
+    """Lets executors hand texts to Python in batches of BATCH_ROWS."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name, SPARK_ROWS) == SPARK_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+
+
 def chunks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[tuple[int, pa.Array, pa.Array]]:
     """(chunk number, doc_id, text with nulls as empty) for runs of about most_bytes; a longer text stands alone.
 
     The number holds the input partition, so it is the same each time that the partition is read.
     """
     number = TaskContext.get().partitionId() << 24
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def joined() -> tuple[int, pa.Array, pa.Array]:
+        ids, texts = (pa.concat_arrays([part.column(i) if i == 0 else part.column(i).cast(pa.large_string()) for part in held]) for i in range(2))
+        return number, ids, pc.fill_null(texts, "")
+
     for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16
+        ends = np.cumsum(sizes)
         start = 0
         while start < batch.num_rows:
             below = int(ends[start - 1]) if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, below + most_bytes, "right")))
-            text = batch.column(1).slice(start, stop - start).cast(pa.large_string())
-            yield number, batch.column(0).slice(start, stop - start), pc.fill_null(text, "")
-            number += 1
-            start = stop
+            stop = int(np.searchsorted(ends, below + most_bytes - size, "right"))
+            if stop == start and not held:
+                stop += 1
+            if stop > start:
+                held.append(batch.slice(start, stop - start))
+                size += int(ends[stop - 1]) - below
+                start = stop
+            if start < batch.num_rows:  # the next text doesn't fit
+                yield joined()
+                number, held, size = number + 1, [], 0
+    if held:
+        yield joined()
     pa.default_memory_pool().release_unused()
 
 
@@ -72,31 +99,6 @@ def words(text: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, list[bytes
     return offsets, codes, names
 
 
-#: Any white space followed by a blank: there a cut before the blank would not be a cut between pre-tokens.
-_BEFORE_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] "
-
-
-def pretoken_units(text: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Cuts before single blanks, which every match of the byte-level BPE pattern respects.
-
-    Returns document offsets, codes and the distinct units; a unit other than a document's first begins with its
-    blank. A text with white space before a blank is one unit.
-    """
-    whole = pc.match_substring_regex(text, _BEFORE_BLANK)
-    lists = pc.split_pattern(pc.if_else(whole, "", text), " ")
-    offsets, codes, distinct = coded(lists)
-    units = distinct.to_pylist()
-    codes *= 2
-    codes[offsets[:-1]] += 1  # a document's first unit has no blank; every text has a first unit, be it empty
-    present, codes = np.unique(codes, return_inverse=True)
-    names = [units[c >> 1] if c & 1 else " " + units[c >> 1] for c in present.tolist()]
-    odd = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
-    for i in odd.tolist():
-        codes[offsets[i]] = len(names)
-        names.append(text[i].as_py())
-    return offsets, codes.astype(np.int64), names
-
-
 def gathered(values: np.ndarray, starts: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs values[starts[c]:starts[c + 1]] one after another for c in codes, and where each begins."""
     lengths = (starts[1:] - starts[:-1])[codes]
