@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 #: White space of the word splitter, by code point.
 SPACES = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: A run of iri, quoted text, escaped or plain characters up to white space outside of them.
-TOKEN = r'(?:<(?:\\.|[^>\\])*>|"(?:\\.|[^"\\])*"|\\.|[^\s<"\\])+'
+#: Runs are possessive: the regular expressions must not go down one call a character of a long literal.
+QUOTED = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+TOKEN = rf'(?:<[^>\\]*+(?:\\.[^>\\]*+)*+>|{QUOTED}|\\.|[^\s<"\\]++)++'
 WORD = rf"[^<>{SPACES}]+"
 
 #: Fixed values of the format.
@@ -40,8 +42,8 @@ def is_data(line: Column) -> Column:
 
 def lang_literal(token: Column) -> Column:
     """Struct of text and lang; escapes stay as written; no at sign means no language."""
-    text = F.regexp_extract(token, r'^"((?:\\.|[^"\\])*)"', 1)
-    return F.struct(text.alias("text"), F.regexp_extract(token, r'^"(?:\\.|[^"\\])*"@(.*)$', 1).alias("lang"))
+    text = F.regexp_extract(token, f"^({QUOTED})", 1)
+    return F.struct(F.substring(text, F.lit(2), F.greatest(F.length(text) - 2, F.lit(0))).alias("text"), F.regexp_extract(token, f"^{QUOTED}@(.*)$", 1).alias("lang"))
 
 
 def iri(token: Column) -> Column:

@@ -352,7 +352,8 @@ def set_size_histogram(spark, sf_dir):
 
 # --- glossary
 
-LABELS = """l as (select doc_id as line_no, 'http://e.org/' || source as property, lang, doc_id % 2 = 0 as is_label, regexp_extract(text, '([A-Za-z]+)', 1) as word from documents where doc_id is not null),
+LABELS = """l as (select doc_id as line_no, 'http://e.org/' || source as property, lang, doc_id % 2 = 0 as is_label,
+    replace(replace(replace(replace(coalesce(text, ''), '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(13), '\\r') as word from documents where doc_id is not null),
     n as (select * from l where word <> '' and lang <> ''),
     g as (select property, lang, coalesce(arg_max(word, line_no) filter (is_label), '') as label, coalesce(arg_max(word, line_no) filter (not is_label), '') as description from n group by 1, 2)"""
 

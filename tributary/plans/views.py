@@ -71,10 +71,12 @@ def order_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(line_no, s, p, o): names and descriptions of sources in the documents' languages."""
+    """(line_no, s, p, o): names and descriptions of sources in the documents' languages, whole texts with escapes."""
     d = table(spark, sf_dir, "documents").where("doc_id is not null")
-    word = F.coalesce(F.regexp_extract("text", "([A-Za-z]+)", 1), F.lit(""))
-    text = F.concat(F.lit('"'), word, F.lit('"@'), F.col("lang"))
+    escaped = F.coalesce("text", F.lit(""))
+    for plain, written in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
+        escaped = F.replace(escaped, F.lit(plain), F.lit(written))
+    text = F.concat(F.lit('"'), escaped, F.lit('"@'), F.col("lang"))
     predicate = F.when(F.col("doc_id") % 2 == 0, prepare.NAME).otherwise(prepare.DESCRIPTION)
     return d.select(F.col("doc_id").alias("line_no"), F.format_string("<http://e.org/%s>", "source").alias("s"), predicate.alias("p"), text.alias("o"))
 
