@@ -237,7 +237,9 @@ def test_packing(spark, docs, rows, sample):
     assert {r.doc_id for r in packing.pack(null_id, *files, public_tokenizers.PATTERN).collect()} == {None, 1 << 60}
 
 
-def test_sharding(spark, docs, sample):
+@pytest.mark.parametrize("part_bytes", [32 << 20, 1 << 12])
+def test_sharding(spark, docs, sample, monkeypatch, part_bytes):
+    monkeypatch.setattr(sharding, "PART_BYTES", part_bytes)  # the smaller: several ranges a shard
     hot = spark.createDataFrame([(i, 7 if i % 3 else i, i % 5) for i in range(3000)] + [(None, None, None)] * 3, "doc_id long, k long, size long")
     for df, key, size in ((hot, F.col("k"), F.col("size")), (sample.select("doc_id", "text"), F.xxhash64("text"), F.octet_length("text"))):
         got = sharding.shard_by_bytes(df, key, size).withColumn("key", key).withColumn("bytes", F.coalesce(size, F.lit(0))).collect()
