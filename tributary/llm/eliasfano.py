@@ -11,6 +11,32 @@ import numpy as np
 KEY_BITS = 40
 
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+#: The place of each set bit of a byte.
+_PLACE = np.array([[p for p in range(8) if i >> p & 1] + [0] * (8 - bin(i).count("1")) for i in range(256)], np.uint8)
+#: Questions that are answered at once.
+AT_ONCE = 250_000
+
+
+_EACH, _HIGH = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+
+
+def _byte_sums(x: np.ndarray) -> np.ndarray:
+    """In each byte of a word the set bits up to its end."""
+    s = x - ((x >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    s = (s & np.uint64(0x3333333333333333)) + ((s >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    return ((s + (s >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _EACH
+
+
+def _select(words: np.ndarray, before: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """The place of the i-th set bit; before: set bits up to the end of each word."""
+    word = np.searchsorted(before, i, "right")
+    rest = (i - np.where(word > 0, before[word - 1], 0)).astype(np.uint64)
+    x = words[word]
+    sums = _byte_sums(x)
+    octet = np.bitwise_count((((rest * _EACH) | _HIGH) - sums) & _HIGH).astype(np.uint64)  # bytes whose sum is no more
+    shift = octet << np.uint64(3)
+    rest -= ((sums << np.uint64(8)) >> shift) & np.uint64(255)
+    return word * 64 + (shift + _PLACE[(x >> shift) & np.uint64(255), rest]).astype(np.int64)
 
 
 class EliasFano:
@@ -33,6 +59,54 @@ class EliasFano:
         """Set bits up to each word of the high part."""
         return np.cumsum(_POPCOUNT[self.high.view(np.uint8)].reshape(-1, 8).sum(1, dtype=np.int64))
 
+    @cached_property
+    def zeros(self) -> np.ndarray:
+        return 64 * np.arange(1, len(self.high) + 1) - self.ones
+
+    def at(self, i: np.ndarray) -> np.ndarray:
+        """The values at the places, by select on the high part."""
+        upper = (_select(self.high, self.ones, i) - i).astype(np.uint64) << np.uint64(self.low_bits)
+        if not self.low_bits:
+            return upper
+        bit = i.astype(np.uint64) * np.uint64(self.low_bits)
+        word, shift = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
+        part = self.low[word] >> shift
+        part |= np.where(shift > 0, self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+        return upper | (part & np.uint64((1 << self.low_bits) - 1))
+
+    def stretch(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the values with each one's high bits begin and end."""
+        top = (values >> np.uint64(self.low_bits)).astype(np.int64)
+        there = int(self.zeros[-1]) if len(self.high) else 0
+
+        def ends(k: np.ndarray) -> np.ndarray:
+            inside = (k >= 0) & (k < there)
+            place = _select(~self.high, self.zeros, np.where(inside, k, 0)) if there else np.zeros(len(k), np.int64)
+            return np.where(k < 0, 0, np.where(inside, np.minimum(place - k, self.n), self.n))
+
+        return ends(top - 1), ends(top)
+
+    def successor(self, values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The first place from low on, below high, whose value isn't smaller; high if there is none."""
+        low, high = low.copy(), high.copy()
+        left = np.flatnonzero(low < high)
+        while len(left):
+            middle = (low[left] + high[left]) >> 1
+            less = self.at(middle) < values[left]
+            low[left] = np.where(less, middle + 1, low[left])
+            high[left] = np.where(less, high[left], middle)
+            left = left[low[left] < high[left]]
+        return low
+
+    def find(self, values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The place of each value in its stretch, or -1."""
+        place = self.successor(values, low, np.maximum(low, high - 1))  # the last one is looked at here
+        out = np.full(len(values), -1, np.int64)
+        inside = np.flatnonzero(low < high)
+        same = inside[self.at(place[inside]) == values[inside]] if len(inside) else inside
+        out[same] = place[same]
+        return out
+
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
         values = np.asarray(values, np.uint64)
@@ -108,29 +182,26 @@ class Trie:
         return cls(level)
 
     def find_contexts(self, wanted: np.ndarray) -> np.ndarray:
-        """The rank of each wanted context, or -1, by successor search on level one."""
-        return _found(self.contexts.decode(), wanted.astype(np.uint64))
-
-    def find_children(self, rank: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """The place of each key among its context's children, or -1, by successor search from the context's pointer.
-
-        Takes the contexts in runs, so that only a run's stretch of the level is decoded at a time.
-        """
-        out = np.full(len(rank), -1, np.int64)
-        order = np.argsort(rank, kind="stable")
-        order = order[rank[order] >= 0]
-        pointers = self.pointers.decode().astype(np.int64)
-        for part in np.array_split(order, max(1, len(order) // 500_000)):
-            if len(part):
-                low, high = int(pointers[rank[part[0]]]), int(pointers[rank[part[-1]] + 1])
-                wanted = (rank[part].astype(np.uint64) << np.uint64(KEY_BITS)) | keys[part].astype(np.uint64)
-                got = _found(self.children.decode(low, high), wanted)
-                out[part] = np.where(got >= 0, got + low, -1)
+        """The rank of each wanted context, or -1, by successor search among those of its high bits."""
+        wanted, out = wanted.astype(np.uint64), []
+        for at in range(0, len(wanted), AT_ONCE):
+            part = wanted[at : at + AT_ONCE]
+            out.append(self.contexts.find(part, *self.contexts.stretch(part)))
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+    def bounds(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the contexts' children begin and end, by the pointers; nowhere for rank -1."""
+        own = np.maximum(rank, 0).astype(np.int64)
+        low, high = (self.pointers.at(np.minimum(x, self.pointers.n - 1)).astype(np.int64) for x in (own, own + 1))
+        return low, np.where(rank >= 0, high, low)
+
+    def find_children(self, rank: np.ndarray, keys: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+        """The place of each key among the children of context rank[of], or -1, by successor search from its pointer."""
+        of = np.arange(len(keys)) if of is None else of
+        low, high = self.bounds(rank)
+        out = np.full(len(keys), -1, np.int64)
+        for at in range(0, len(keys), AT_ONCE):
+            own = of[at : at + AT_ONCE]
+            wanted = (np.maximum(rank[own], 0).astype(np.uint64) << np.uint64(KEY_BITS)) | keys[at : at + AT_ONCE].astype(np.uint64)
+            out[at : at + AT_ONCE] = self.children.find(wanted, low[own], high[own])
         return out
-
-
-def _found(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    if not len(values):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
-    return np.where(values[at] == wanted, at, -1)

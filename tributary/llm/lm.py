@@ -3,13 +3,17 @@
 Method. Each chunk of documents sends its distinct contexts and n-grams of each order from two on, with the n-grams'
 counts in training documents, to the shard of their context. A shard adds up what all chunks send, smooths by absolute
 discounting, quantises probabilities to one byte and builds a trie level for each order: contexts, monotone pointers,
-and children's keys in Elias-Fano form in a mapped buffer. It answers each chunk's own list by successor search from
-the context, and the chunk scores its documents. No task holds the whole model; shards follow the input's size, so
-what is gathered grows with it. Longer contexts are dealt by all their words, so a frequent word's are spread.
+and children's keys in Elias-Fano form in a mapped buffer (anonymous: files of one machine would not do on a cluster).
+It answers each chunk's own list by successor search on the compact form, from the context's pointer, and the chunk
+scores its documents. No task holds the whole model; shards follow the input's size, so what is gathered grows with it.
 
-Words are known by 60-bit hashes and their continuations by 40 bits of theirs; longer contexts by 52 bits and theirs by
-32, as they are most of what is sent (a chance of about 1e-6 that one meets another's counts at 30 GB). A document's context
-before its first word is the end of text; a longer context begins there at the earliest.
+Hot contexts (a frequent word or pair, the end of text) are found first, by the chunks' counts; their n-grams are dealt
+by the last word too, so they are spread over all shards. Their totals are added up across shards, at most HOTTEST rows
+an order, and go to all tasks; a shard answers their n-grams with counts, from a trie of its part.
+
+Words are known by 60-bit hashes and their continuations by 40 bits of theirs; longer contexts by 48 bits and theirs by
+28, as they are most of what is sent (a chance of about 1e-5 that one meets another's counts at 30 GB). A document's
+context before its first word is the end of text; a longer context begins there at the earliest.
 
 P(w | v) = max(c(v, w) - D, 0) / c(v) + D * T(v) / c(v) * P(w), with T(v) the distinct continuations of v, D = 0.75,
 and P(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)); after a context without counts, P(w). P(w | u v) is the
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tributary.llm.blobs import packed, unpacked
 from tributary.llm.eliasfano import KEY_BITS, Trie
-from tributary.llm.units import chunks, crc32_text, words
+from tributary.llm.units import chunks, crc32_text, small_batches, words
 from tributary.session import materialize, parts_for
 
 CHUNK_BYTES = 8 << 20
@@ -43,10 +47,12 @@ DISCOUNT = 0.75
 ADDED = 0.1
 #: Steps of the quantised log10 a unit; code 0 means none, code c a probability of 10 ** -((c - 1) / STEPS).
 STEPS = 30
-HASH_BITS, LONGER_BITS = 60, 52
+HASH_BITS, LONGER_BITS = 60, 48
 HASH_MASK = (1 << HASH_BITS) - 1
 #: Bits of a word's key as a longer context's continuation.
-LONGER_KEY_BITS = 32
+LONGER_KEY_BITS = 28
+#: Hot contexts of an order at most: each has a share of the tokens of one in as many at least.
+HOTTEST = 1 << 16
 #: No word, as a word has no blank.
 END = b" "
 
@@ -72,24 +78,47 @@ def _context_hashes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) >> np.uint64(64 - LONGER_BITS)
 
 
+def _spread(hashes: np.ndarray, bits: int, shards: int) -> np.ndarray:
+    """Shards in the order of the hashes; below 2 ** 26 of them."""
+    return (((hashes >> np.uint64(bits - 38)) * np.uint64(shards)) >> np.uint64(38)).astype(np.int32)
+
+
 class Level:
-    """The distinct n-grams of one order, in the order of their contexts' hashes, which is that of the shards too."""
+    """The distinct n-grams of one order, in the order of their contexts' hashes, which is that of the shards too.
 
-    def __init__(self, hashes: np.ndarray, rank: np.ndarray, places: np.ndarray, before: np.ndarray, words: np.ndarray, by_key: tuple[np.ndarray, np.ndarray], shards: int, bits: int):
-        """hashes: of the contexts, sorted; before: the context's rank at each of the places; words: the last word there."""
+    Those of hot contexts stand apart, in the order of their own shards.
+    """
+
+    def __init__(self, hashes: np.ndarray, rank: np.ndarray, places: np.ndarray, before: np.ndarray, words: np.ndarray, by_key: tuple[np.ndarray, np.ndarray], shards: int, bits: int, keys: np.ndarray, hot: np.ndarray):
+        """hashes: of the contexts, sorted; before: the context's rank at each of the places; words: the last word there.
+
+        keys: of the words as continuations; hot: sorted hashes of hot contexts.
+        """
         key_order, key_rank = by_key
         self.contexts, self.places = hashes, places.astype(np.int32)
-        self.shard = (((hashes >> np.uint64(bits - 48)) * np.uint64(shards)) >> np.uint64(48)).astype(np.int32)
         grams, gram_of = np.unique(rank[before] * len(key_rank) + key_rank[words], return_inverse=True)
         self.gram_of = gram_of.astype(np.int32)
         self.first, self.last = (grams // len(key_rank)).astype(np.int32), key_order[grams % len(key_rank)].astype(np.int32)
+        at = np.searchsorted(hot, hashes)
+        self.hot_at = np.where(np.append(hot, ~np.uint64(0))[at] == hashes, at, -1).astype(np.int32)
+        is_hot = self.hot_at[self.first] >= 0
+        self.cold_contexts, self.cold = np.flatnonzero(self.hot_at < 0), np.flatnonzero(~is_hot)
+        self.shard = _spread(hashes[self.cold_contexts], bits, shards)
+        self.keys = keys[self.last]
+        own = np.flatnonzero(is_hot)
+        to = _spread(_context_hashes(hashes[self.first[own]], self.keys[own]), LONGER_BITS, shards)
+        order = np.argsort(to, kind="stable")
+        self.hot, self.hot_shard = own[order], to[order]
+
+    def present(self) -> np.ndarray:
+        return np.union1d(self.shard, self.hot_shard)
 
 
 class Chunk:
     """A chunk's tokens as codes, and its levels of n-grams from bigrams to the highest order."""
 
-    def __init__(self, offsets: np.ndarray, codes: np.ndarray, hashes: np.ndarray, shards: int, highest: int):
-        """hashes: of the distinct words, the end last; codes: a document's words without the end."""
+    def __init__(self, offsets: np.ndarray, codes: np.ndarray, hashes: np.ndarray, shards: int, highest: int, hot: list[np.ndarray]):
+        """hashes: of the distinct words, the end last; codes: a document's words without the end; hot: of each order."""
         self.hashes, end = hashes, len(hashes) - 1
         n_docs = len(offsets) - 1
         places = np.arange(len(codes)) + np.repeat(np.arange(n_docs), np.diff(offsets))
@@ -102,9 +131,12 @@ class Chunk:
         key_order = np.argsort(_child_keys(hashes), kind="stable")
         by_key = key_order, _inverse(key_order)
         self.order = np.argsort(hashes, kind="stable")
-        level = Level(hashes[self.order], _inverse(self.order), np.arange(len(self.tokens)), before, self.tokens, by_key, shards, HASH_BITS)
+        level = Level(hashes[self.order], _inverse(self.order), np.arange(len(self.tokens)), before, self.tokens, by_key, shards, HASH_BITS, _child_keys(hashes), hot[0])
         self.levels = [level]
-        for _ in range(highest - 2):
+        longer_keys = _child_keys(hashes) & np.uint64((1 << LONGER_KEY_BITS) - 1)
+        key_order = np.argsort(longer_keys, kind="stable")
+        by_key = key_order, _inverse(key_order)
+        for n in range(highest - 2):
             # the n-grams that a word follows are the next order's contexts
             goes_on = self.tokens[level.places] != end
             longer = np.flatnonzero(level.last != end)
@@ -113,7 +145,7 @@ class Chunk:
             rank = np.zeros(len(level.last), np.int64)
             rank[longer[order]] = np.arange(len(order))
             places = level.places[goes_on] + 1
-            level = Level(own[order], rank, places, level.gram_of[goes_on], self.tokens[places], by_key, shards, LONGER_BITS)
+            level = Level(own[order], rank, places, level.gram_of[goes_on], self.tokens[places], by_key, shards, LONGER_BITS, longer_keys, hot[n + 1])
             self.levels.append(level)
 
 
@@ -123,26 +155,49 @@ def _inverse(order: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _cells(level: Level, shards: np.ndarray, hashes: np.ndarray, counts: np.ndarray, longer: bool) -> list[list[np.ndarray]]:
-    """What each of the shards is sent of a level: the contexts' hashes as steps, their numbers of n-grams, keys, counts.
+def _wide(numbers: np.ndarray) -> list[np.ndarray]:
+    """High and low parts go apart, as most of the high ones are alike."""
+    return [(numbers >> 8).astype(np.uint32), numbers.astype(np.uint8)]
+
+
+def _keys_apart(keys: np.ndarray) -> list[np.ndarray]:
+    return [(keys >> np.uint64(32)).astype(np.uint8), keys.astype(np.uint32)]
 
-    High and low parts go apart, as most of the high ones are alike.
+
+def _cells(level: Level, shards: np.ndarray, counts: np.ndarray) -> list[list[np.ndarray]]:
+    """What each of the shards is sent of a level: the contexts' hashes as steps, their numbers of n-grams, keys, counts;
+    then of hot contexts' n-grams the context's place among the hot ones, keys, counts.
     """
-    keys, sizes = _child_keys(hashes)[level.last], np.bincount(level.first, minlength=len(level.contexts))
+    sizes = np.bincount(level.first, minlength=len(level.contexts))[level.cold_contexts]
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    keys, count, contexts = level.keys[level.cold], counts[level.cold], level.contexts[level.cold_contexts]
+    hot_at, hot_keys, hot_count = level.hot_at[level.first[level.hot]], level.keys[level.hot], counts[level.hot]
     out = []
-    for start, stop in zip(np.searchsorted(level.shard, shards), np.searchsorted(level.shard, shards, "right")):
-        step, size = np.diff(level.contexts[start:stop], prepend=np.uint64(0)), sizes[start:stop]
-        own = slice(*np.searchsorted(level.first, (start, stop)))
-        key, count = keys[own], counts[own]
-        if longer:
-            key = key & np.uint64((1 << LONGER_KEY_BITS) - 1)
-        out.append([(step >> np.uint64(32)).astype(np.uint32), step.astype(np.uint32), (size >> 8).astype(np.uint32), size.astype(np.uint8),
-                    (key >> np.uint64(32)).astype(np.uint8), key.astype(np.uint32), (count >> 8).astype(np.uint32), count.astype(np.uint8)])
+    for a, b, u, v in zip(*(np.searchsorted(where, shards, side) for where in (level.shard, level.hot_shard) for side in ("left", "right"))):
+        step, own = np.diff(contexts[a:b], prepend=np.uint64(0)), slice(ends[a], ends[b])
+        out.append([(step >> np.uint64(32)).astype(np.uint32), step.astype(np.uint32), *_wide(sizes[a:b]), *_keys_apart(keys[own]), *_wide(count[own]),
+                    hot_at[u:v].astype(np.uint16), *_keys_apart(hot_keys[u:v]), *_wide(hot_count[u:v])])
     return out
 
 
-#: Arrays of a level in a cell.
-CELL = 8
+#: Arrays of a level in a cell, those of contexts that are not hot first.
+CELL, COLD = 13, 8
+
+
+def _joined(asked: list[list[np.ndarray]], n: int) -> np.ndarray:
+    return (np.concatenate([a[n] for a in asked]).astype(np.int64) << 8) | np.concatenate([a[n + 1] for a in asked])
+
+
+def _joined_keys(asked: list[list[np.ndarray]], n: int) -> np.ndarray:
+    return (np.concatenate([a[n] for a in asked]).astype(np.uint64) << np.uint64(32)) | np.concatenate([a[n + 1] for a in asked])
+
+
+def _summed(of: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts' ranks, keys and counts of the distinct n-grams that training documents have."""
+    grams, which = np.unique((of.astype(np.uint64) << np.uint64(KEY_BITS)) | keys, return_inverse=True)
+    n = np.bincount(which, counts, len(grams)).astype(np.int64)
+    grams, n = grams[n > 0], n[n > 0]
+    return (grams >> np.uint64(KEY_BITS)).astype(np.int64), grams & np.uint64((1 << KEY_BITS) - 1), n
 
 
 def _answers(asked: list[list[np.ndarray]]) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
@@ -151,28 +206,89 @@ def _answers(asked: list[list[np.ndarray]]) -> tuple[list[tuple[np.ndarray, np.n
     hashes = [np.cumsum((a[0].astype(u64) << u64(32)) | a[1], dtype=u64) for a in asked]
     contexts, at = np.unique(np.concatenate(hashes), return_inverse=True)
     cuts = np.cumsum([0, *map(len, hashes)])
-    every = np.repeat(at, np.concatenate([(a[2].astype(np.int64) << 8) | a[3] for a in asked]))
-    keys = (np.concatenate([a[4] for a in asked]).astype(u64) << u64(32)) | np.concatenate([a[5] for a in asked])
-    grams, which = np.unique((every.astype(u64) << u64(KEY_BITS)) | keys, return_inverse=True)
-    n_gram = np.bincount(which, np.concatenate([(a[6].astype(np.int64) << 8) | a[7] for a in asked]), len(grams))
-    del which
-    grams, n_gram = grams[n_gram > 0], n_gram[n_gram > 0]
-    of = (grams >> u64(KEY_BITS)).astype(np.int64)
+    every = np.repeat(at, _joined(asked, 2))
+    keys = _joined_keys(asked, 4)
+    of, own_keys, n_gram = _summed(every, keys, _joined(asked, 6))
     count, types = np.bincount(of, n_gram, len(contexts)), np.bincount(of, minlength=len(contexts))
     with np.errstate(divide="ignore", invalid="ignore"):
         backoff = quantised(np.where(types > 0, DISCOUNT * types / count, 0))
-    trie = Trie.build(contexts, types, grams & u64((1 << KEY_BITS) - 1), backoff, quantised((n_gram - DISCOUNT) / count[of]))
+    trie = Trie.build(contexts, types, own_keys, backoff, quantised((n_gram - DISCOUNT) / count[of]))
     own = trie.find_contexts(contexts)
-    place = trie.find_children(own[every], keys)  # all chunks' lists at once: a level is decoded once
+    place = trie.find_children(own, keys, every)
     said = np.where(place >= 0, trie.probability[place] if trie.children.n else 0, 0).astype(np.uint8)
     ends = np.cumsum([0, *(len(a[5]) for a in asked)])
     return [(count[at[x:y]].astype(np.int64), trie.backoff[own[at[x:y]]], said[u:v]) for x, y, u, v in zip(cuts, cuts[1:], ends, ends[1:])], count
 
 
+def _hot_answers(asked: list[list[np.ndarray]]) -> tuple[list[np.ndarray], list[tuple[int, int, int]]]:
+    """Counts of each chunk's n-grams of hot contexts, and (place, count, continuations) of the contexts in this shard."""
+    every, keys = np.concatenate([a[8] for a in asked]).astype(np.int64), _joined_keys(asked, 9)
+    of, own_keys, n_gram = _summed(every, keys, _joined(asked, 11))
+    contexts, rank = np.unique(of, return_inverse=True)
+    types = np.bincount(rank, minlength=len(contexts))
+    trie = Trie.build(contexts.astype(np.uint64), types, own_keys, np.zeros(len(contexts)), np.zeros(len(own_keys)))
+    named, which = np.unique(every, return_inverse=True)
+    place = trie.find_children(trie.find_contexts(named), keys, which)
+    said = np.where(place >= 0, n_gram[place] if len(n_gram) else 0, 0).astype(np.int64)
+    ends = np.cumsum([0, *(len(a[8]) for a in asked)])
+    totals = zip(contexts.tolist(), np.bincount(rank, n_gram, len(contexts)).astype(np.int64).tolist(), types.tolist())
+    return [said[u:v] for u, v in zip(ends, ends[1:])], list(totals)
+
+
+def hot_contexts(docs: DataFrame, order: int, shards: int) -> list[np.ndarray]:
+    """Sorted hashes of each order's contexts with half a shard's share of the tokens, HOTTEST at most.
+
+    A chunk tells of contexts with half that share of its own tokens; so one with the share of all is told of for half
+    of its tokens at least, and none is missed.
+    """
+    share = max(0.5 / shards, 2 / HOTTEST)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, text in chunks(batches, CHUNK_BYTES):
+            offsets, codes, names = words(text)
+            n_docs, names = len(offsets) - 1, [*names, END]
+            n_tokens = len(codes) + n_docs
+            least = max(1.0, share * n_tokens / 2)
+            many = np.flatnonzero(np.append(np.bincount(codes, minlength=len(names) - 1), n_docs) >= least)
+            number = np.full(len(names), -1, np.int64)
+            number[many] = np.arange(len(many))
+            own = np.array([xxhash.xxh3_64_intdigest(names[i]) & HASH_MASK for i in many.tolist()], np.uint64)
+            tokens = np.full(n_tokens, number[-1])
+            tokens[np.arange(len(codes)) + np.repeat(np.arange(n_docs), np.diff(offsets))] = number[codes]
+            before = np.concatenate(([number[-1]], tokens[:-1]))
+            levels, hashes = [-1], [0]
+            counts, context = [n_tokens], own
+            at = np.flatnonzero(before >= 0)
+            rank = before[at]  # of the contexts that are frequent here, at the places that they come before
+            for n in range(order - 1):
+                sums = np.bincount(rank, minlength=len(context))
+                kept = np.flatnonzero(sums >= least)
+                levels += [n] * len(kept)
+                hashes += context[kept].tolist()
+                counts += sums[kept].tolist()
+                goes = (tokens[at] >= 0) & (tokens[at] != number[-1]) & (at + 1 < n_tokens)
+                pair, where = np.unique(rank[goes] * max(1, len(many)) + tokens[at[goes]], return_inverse=True)
+                at, rank = at[goes] + 1, where
+                context = _context_hashes(context[pair // max(1, len(many))], own[pair % max(1, len(many))]) if len(pair) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(levels, pa.int32()), pa.array(hashes, pa.int64()), pa.array(counts, pa.int64())], names=["level", "hash", "n"])
+
+    sums = docs.mapInArrow(run, "level int, hash long, n long").groupBy("level", "hash").agg(F.sum("n").alias("n"))
+    sums = materialize(sums, "lm-frequent")
+    total = sums.where("level = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = sums.where((F.col("level") >= 0) & (F.col("n") >= share / 2 * total)).select("level", "hash").toArrow()
+    level, hashes = hot.column("level").to_numpy(), hot.column("hash").to_numpy().astype(np.uint64)
+    return [np.sort(hashes[level == n]) for n in range(order - 1)]
+
+
+HOT = pa.list_(pa.struct([("level", pa.int32()), ("at", pa.int32()), ("n", pa.int64()), ("types", pa.int64())]))
+
+
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_of: int = 10, order: int = 2) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score by n-grams of the order."""
+    small_batches(df)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shards = parts_for(docs, SHARD_BYTES, 24)
+    hot = hot_contexts(docs, order, shards)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, np.ndarray, np.ndarray, np.ndarray]]:
         for number, ids, text in chunks(batches, CHUNK_BYTES):
@@ -182,25 +298,32 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_ou
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, ids, offsets, codes, hashes in cut(batches):
-            c = Chunk(offsets, codes, hashes, shards, order)
+            c = Chunk(offsets, codes, hashes, shards, order, hot)
             trains = np.array([crc32_text(i) % held_out_of != 0 for i in ids])
             weight = np.repeat(trains, np.diff(c.offsets)).astype(np.int64)
-            present = np.unique(np.concatenate([level.shard for level in c.levels]))
-            cells = []
-            for n, level in enumerate(c.levels):
-                cells.append(_cells(level, present, hashes, np.bincount(level.gram_of, weight[level.places], len(level.last)).astype(np.int64), n > 0))
+            present = np.unique(np.concatenate([level.present() for level in c.levels]))
+            cells = [_cells(level, present, np.bincount(level.gram_of, weight[level.places], len(level.last)).astype(np.int64)) for level in c.levels]
+            del c
             blobs = [packed(*sum(cell, [])) for cell in zip(*cells)]
             yield pa.RecordBatch.from_arrays([pa.array(present, pa.int32()), pa.array([number] * len(present), pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "chunk", "asked"])
 
-    def answer(table: pa.Table) -> pa.Table:
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a partition, which is one shard."""
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield from of_shard(pa.Table.from_batches(held)).to_batches()
+
+    def of_shard(table: pa.Table) -> pa.Table:
         asked = [unpacked(b.as_py()) for b in table.column("asked")]
-        levels = [_answers([a[n : n + CELL] for a in asked]) for n in range(0, CELL * (order - 1), CELL)]
-        count = levels[0][1]
-        # counts go back for words only
-        out = [packed(*own[0], *(x for level in own[1:] for x in level[1:])) for own in zip(*(said for said, _ in levels))]
+        own = [[a[n : n + CELL] for a in asked] for n in range(0, CELL * (order - 1), CELL)]
+        cold, hot_ones = zip(*((_answers(level), _hot_answers(level)) for level in own))
+        count = cold[0][1]
+        # counts of contexts go back for words only
+        out = [packed(*said[0], *(x for level in said[1:] for x in level[1:]), *hot_said) for *said, hot_said in zip(*(level for level, _ in cold), zip(*(level for level, _ in hot_ones)))]
         first = np.arange(len(out)) == 0
-        return pa.table([table.column("shard"), table.column("chunk"), pa.array(out, pa.binary()), pa.array(np.where(first, int(count.sum()), 0)), pa.array(np.where(first, int((count > 0).sum()), 0))],
-                        names=["shard", "chunk", "answer", "trained", "known"])
+        totals = [{"level": n, "at": at, "n": c, "types": t} for n, (_, rows) in enumerate(hot_ones) for at, c, t in rows]
+        return pa.table([table.column("shard"), table.column("chunk"), pa.array(out, pa.binary()), pa.array(np.where(first, int(count.sum()), 0)), pa.array(np.where(first, int((count > 0).sum()), 0)),
+                         pa.array([totals if x else [] for x in first.tolist()], HOT)], names=["shard", "chunk", "answer", "trained", "known", "hot"])
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, ids, offsets, codes, hashes in cut(batches):
@@ -208,10 +331,14 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_ou
             blob = packed(np.array([i or 0 for i in ids], np.int64), there, np.diff(offsets).astype(np.uint32), codes.astype(np.uint32), hashes)
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([blob], pa.binary())], names=["chunk", "held"])
 
-    answers = materialize(docs.mapInArrow(ask, "shard int, chunk long, asked binary").groupBy("shard").applyInArrow(
-        answer, "shard int, chunk long, answer binary, trained long, known long"), "lm-answers")
+    answers = materialize(docs.mapInArrow(ask, "shard int, chunk long, asked binary").repartitionById(shards, F.col("shard")).mapInArrow(
+        answer, "shard int, chunk long, answer binary, trained long, known long, hot array<struct<level: int, at: int, n: long, types: long>>"), "lm-answers")
     total = answers.agg(F.coalesce(F.sum("trained"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
-    n_all, n_distinct = int(total[0]), int(total[1])
+    sums = answers.select(F.explode("hot").alias("h")).select("h.*").groupBy("level", "at").agg(F.sum("n").alias("n"), F.sum("types").alias("types")).toArrow()
+    hot_n, hot_types = ([np.zeros(len(h), np.int64) for h in hot] for _ in range(2))
+    for level, at, n, types in zip(*(sums.column(i).to_pylist() for i in range(4))):
+        hot_n[level][at], hot_types[level][at] = n, types
+    n_all, n_distinct = int(total[0]) + int(hot_n[0].sum()), int(total[1]) + int((hot_n[0] > 0).sum())
     floor = n_all + ADDED * (n_distinct + 1)
 
     def assemble(held: pa.Table, said: pa.Table) -> pa.Table:
@@ -219,16 +346,28 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_ou
         by_shard = dict(zip(said.column("shard").to_pylist(), said.column("answer")))
         for blob in held.column("held"):
             ids, there, lengths, codes, hashes = unpacked(blob.as_py())
-            c = Chunk(np.concatenate(([0], np.cumsum(lengths, dtype=np.int64))), codes.astype(np.int64), hashes, shards, order)
-            parts = [unpacked(by_shard[s].as_py()) for s in np.unique(np.concatenate([level.shard for level in c.levels])).tolist()]
-            count, *codes_of = (np.concatenate(x) for x in zip(*parts))
-            if len(count) != len(hashes) or any(len(b) != len(v.contexts) or len(p) != len(v.last) for v, b, p in zip(c.levels, codes_of[::2], codes_of[1::2])):
+            c = Chunk(np.concatenate(([0], np.cumsum(lengths, dtype=np.int64))), codes.astype(np.int64), hashes, shards, order, hot)
+            present = np.unique(np.concatenate([level.present() for level in c.levels])).tolist()
+            count, *codes_of = (np.concatenate(x) for x in zip(*(unpacked(by_shard[s].as_py()) for s in present)))
+            hot_said = codes_of[len(codes_of) - len(c.levels) :]
+            told = list(zip(c.levels, codes_of[::2], codes_of[1::2], hot_said, hot_n, hot_types))
+            if any(len(b) != len(v.cold_contexts) or len(p) != len(v.cold) or len(h) != len(v.hot) for v, b, p, h, _, _ in told):
                 raise ValueError("a chunk was cut differently when it was read again")
+            words_level = c.levels[0]
+            by_rank = np.empty(len(hashes), np.int64)
+            by_rank[words_level.cold_contexts] = count
+            by_rank[words_level.hot_at >= 0] = hot_n[0][words_level.hot_at[words_level.hot_at >= 0]]
             by_word = np.empty(len(hashes), np.int64)
-            by_word[c.order] = count
+            by_word[c.order] = by_rank
             base = (by_word + ADDED) / floor
             likely = base[c.tokens]
-            for level, backoff, probability in zip(c.levels, codes_of[::2], codes_of[1::2]):
+            for level, cold_backoff, cold_said, counted, all_n, all_types in told:
+                backoff, probability = np.zeros(len(level.contexts), np.uint8), np.zeros(len(level.last), np.uint8)
+                backoff[level.cold_contexts], probability[level.cold] = cold_backoff, cold_said
+                is_hot = np.flatnonzero(level.hot_at >= 0)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    backoff[is_hot] = quantised(np.where(all_n > 0, DISCOUNT * all_types / all_n, 0))[level.hot_at[is_hot]]
+                    probability[level.hot] = quantised(np.where(counted > 0, (counted - DISCOUNT) / all_n[level.hot_at[level.first[level.hot]]], 0))
                 now = likely[level.places]
                 now *= np.where(backoff > 0, LEVELS[backoff], 1.0)[level.first][level.gram_of]
                 now += LEVELS[probability][level.gram_of]
@@ -244,5 +383,5 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_ou
         return pa.concat_tables(out)
 
     held = docs.mapInArrow(hold, "chunk long, held binary")
-    return held.groupBy("chunk").cogroup(answers.drop("trained", "known").groupBy("chunk")).applyInArrow(
+    return held.groupBy("chunk").cogroup(answers.select("shard", "chunk", "answer").groupBy("chunk")).applyInArrow(
         assemble, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
