@@ -1,5 +1,6 @@
 import bz2
 import gzip
+import io
 import json
 import random
 
@@ -10,7 +11,7 @@ from tributary import cli
 from tributary.functions import ntriples as nt
 from tributary.operators import backoff, evaluate, glossary, prepare, recommend, rules, serve, workflow
 from tributary.operators.model import ALWAYS, Model
-from tributary.operators.transactions import to_transactions
+from tributary.operators.transactions import blocks, to_transactions
 from tributary.plans.queries import ask
 from tributary.sources import entities
 from tributary.sources.triples import parse, read_ntriples
@@ -69,6 +70,28 @@ def test_compressed(spark, tmp_path, ending, pack):
     assert nt.trim_extensions(f"a/x.nt{ending}") == "a/x"
 
 
+def test_standard_input_and_long_literals(spark, monkeypatch):
+    long = 'x' * 200_000 + '\\"' * 3000
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(f'<m:a> <m:p> "{long}"@en .\n<m:b> <m:p> <m:c> .\n'.encode())))
+    rows = read_ntriples(spark, "-").withColumn("l", nt.lang_literal(F.col("o"))).orderBy("line_no").collect()
+    assert [r.s for r in rows] == ["<m:a>", "<m:b>"] and rows[0].l.text == long and rows[0].l.lang == "en" and rows[1].o == "<m:c>"
+
+
+def test_runs_over_stretches(spark):
+    """Runs are numbered alike, however the lines are cut into stretches; line numbers may have gaps."""
+    pick = random.Random(4)
+    subjects = [f"<s{pick.randrange(3)}>" for _ in range(300)]
+    lines = spark.createDataFrame([(3 * n, s) for n, s in enumerate(subjects)], "line_no long, s string").repartition(5)
+    want, number = {}, 0
+    for n, s in enumerate(subjects):
+        number += n == 0 or s != subjects[n - 1]
+        want[3 * n] = number
+    for stretch in (1, 2, 7, 64, 1 << 20):
+        assert {r.line_no: r.block for r in blocks(lines, stretch=stretch).collect()} == want
+        assert {r.line_no: r.block for r in blocks(lines, first_n=5, stretch=stretch).collect()} == {n: b for n, b in want.items() if b <= 5}
+    assert blocks(lines.limit(0)).collect() == [] and "SinglePartition" not in blocks(lines)._jdf.queryExecution().toString()
+
+
 def test_transactions(spark, nt_file):
     rows = {r.subject: r for r in to_transactions(read_ntriples(spark, nt_file), typed=True).collect()}
     assert sorted(rows["m:flute"]["items"]) == sorted([P31, "m:length", "m:maker", "t#m:Solo", "t#m:Winds"])

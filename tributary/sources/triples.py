@@ -2,21 +2,38 @@
 
 from __future__ import annotations
 
+import shutil
+import sys
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions import ntriples as nt
+from tributary.session import shared_dir
+
+
+def _copied(path: str) -> str:
+    """Standard input as a file."""
+    store, place = fs.FileSystem.from_uri(path)
+    store.create_dir(place.rpartition("/")[0])
+    with store.open_output_stream(place) as out:
+        shutil.copyfileobj(sys.stdin.buffer, out, 1 << 20)
+    return path
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """line_no and line. Plain, .gz and .bz2 go through Spark's text reader; .bgz is unpacked block by block.
 
+    The path - is standard input, which is copied to the shared folder first.
     line_no orders the lines of one file; files are ordered by path, and their parts by where they begin.
     """
+    if path == "-":
+        path = _copied(f"{shared_dir(spark)}/stdin/{uuid.uuid4().hex}.nt")
     if path.endswith(".bgz"):
         def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
