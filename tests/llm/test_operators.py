@@ -161,6 +161,44 @@ def test_near_duplicates_in_large_regions(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.components(rows, 2)
 
 
+def test_links_of_crowded_regions_that_no_hub_tells(spark, monkeypatch):
+    """Pairs of texts that share a long passage with all others, but are similar to each other only."""
+    monkeypatch.setattr(neardup, "REGION", 2)
+    monkeypatch.setattr(neardup, "SPLIT_ROWS", 50)
+    pick = random.Random(5)
+    passage, rows = [f"p{i}" for i in range(100)], []
+    for i in range(200):
+        words = list(passage)
+        for at in pick.sample(range(100), 4):
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words)))
+        for at in pick.sample(range(100), 5):
+            words[at] = f"z{i}y{at}"
+        rows.append((1000 + i, " ".join(words + ["and", "on"] * (i % 3))))
+    got = neardup.find(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    want = brute.components(rows, 2)
+    assert 100 < len({c for _, c in want.values()}) < 390
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_prefixes_meet_all_similar_sets():
+    pick = random.Random(2)
+    sets = []
+    for _ in range(60):
+        s = set(pick.sample(range(400), pick.randrange(1, 60)))
+        sets.append(s)
+        for _ in range(3):
+            sets.append({x for x in s if pick.random() > 0.08} | set(pick.sample(range(400), pick.randrange(4))))
+    arrays = [np.array(sorted(s), np.uint64) for s in sets if s]
+    names, counts = np.unique(np.concatenate(arrays), return_counts=True)
+    often = counts > 3
+    rows = [dict(zip(*(c.tolist() for c in neardup._prefix(s, (names[often], counts[often]), 80)[:2]))) for s in arrays]
+    similar = [(i, j) for i in range(len(arrays)) for j in range(i) if neardup._similar(arrays[i], arrays[j], 80)]
+    assert len(similar) > 50
+    for i, j in similar:
+        assert any(len(arrays[i]) <= rows[j][x] and len(arrays[j]) <= rows[i][x] for x in rows[i].keys() & rows[j].keys())
+
+
 def test_language_model(spark, docs, rows, sample):
     for df, own in ((docs, rows), (sample, [(r.doc_id, r.text) for r in sample.collect()])):
         want, got = brute.language_model(own), lm.score(df).collect()

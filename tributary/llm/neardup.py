@@ -14,12 +14,17 @@ compared on full sets in the region's task; what leaves it is links between comp
 shares a region stays unconfirmed between two components. A class takes part in a stated number of regions of bounded
 size, so both passes are linear in the classes.
 
+A third pass makes up for crowded regions, exactly: the classes of those that still lie in several components are joined
+by prefixes of their full sets. With the shingles of all sets in one order, rare ones first, two similar sets share one
+so early that enough may follow it in both (the larger set's share 1 - PERCENT of it, the smaller one's less). Pairs of
+different components that share such a shingle, and whose sizes and places let them be similar, are confirmed on full
+sets. The order comes from counts of a sample, which bear on the number of candidates and not on what is found.
+
 The chance that a pair of similarity 0.8 shares no region in any tree is (1 - 0.8 ** DEPTH) ** TREES < 1e-6, and that
-its agreement over VALUES values falls below AGREES about 1e-6. In a crowded region such a pair shares about ten trees
-of ORDERS orders each, of which one in four has it in one region of the first of DEEPER.
+its agreement over VALUES values falls below AGREES about 1e-6. A pair that shares a crowded region is found for certain.
 
 Shuffled are a key of 8 bytes and a signature of VALUES bytes for each class and tree, and the sets of classes with
-candidates. The documents' texts are never shuffled: those with candidates are told by a bitmap of at most MOST_BITS.
+candidates or in crowded regions. The documents' texts are never shuffled: those are told by a bitmap of at most MOST_BITS.
 
 Cases. Empty sets (null text, no words) link with nothing. A null doc_id takes part in nothing: its component is null
 and it is kept. Rows that repeat a doc_id count as one document with several texts. Repeated rows give repeated
@@ -52,6 +57,12 @@ CHUNK_BYTES = 4 << 20
 MOST_BITS = 1 << 27
 #: Crowded keys that are broadcast; with more, the join is left to the optimizer.
 BROADCAST_KEYS = 1 << 18
+#: Sets whose shingles are counted for their order, and the shingles that go by their counts.
+COUNTED_SETS, COUNTED = 1 << 14, 1 << 17
+#: Rows of one frequent shingle that go to one task, about.
+SPLIT_ROWS = 1 << 18
+#: Pairs that a task holds before it hands them on.
+PAIRS_AT_ONCE = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 _LOW, _HIGH, _ADD = (_rng.integers(0, 1 << 32, VALUES, dtype=np.uint32) | np.uint32(1) for _ in range(3))
@@ -227,6 +238,10 @@ class Forest:
         marked = rows.join(F.broadcast(crowded) if few else crowded, "key", "left")
         return marked.where("n is null").drop("n"), marked.where("n is not null")
 
+    def crowded(self, classes: DataFrame) -> DataFrame:
+        """(rid, key) of the classes in crowded regions of the first depth."""
+        return self._split(_keyed(classes).select("rid", "key"), 0)[1].select("rid", "key")
+
     def regions(self, classes: DataFrame) -> DataFrame:
         """(rid, sig, tree, key) of the classes: rows of one key are a region, of REGION classes at most."""
         columns = ("rid", "sig", "tree", "key")
@@ -374,6 +389,147 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _frequent(sets: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that occur twice or more in a sample of the n sets, and about how many of all sets each has."""
+    part = min(1 << 20, max(1, (COUNTED_SETS << 20) // max(1, n)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                h, times = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(times.astype(np.int64))], names=["shingle", "n"])
+
+    some = sets.where(F.pmod(F.xxhash64("rid"), F.lit(1 << 20)) < part).select("hashes")
+    told = some.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "shingle").limit(COUNTED).toArrow()
+    h, times = told.column("shingle").to_numpy().view(np.uint64), told.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], times[order] * (1 << 20) // part
+
+
+def _prefix(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles of a set at which a similar set may meet it first, the largest size of such a set, and their counts.
+
+    Sets of n and m shingles are similar if they share percent / (100 + percent) * (n + m) of them. All that are shared
+    lie from the first shared one on, so at place i that is no more than n - i; it bounds m.
+    """
+    names, counts = frequent
+    often = np.zeros(len(s), np.int64)
+    if len(names):
+        at = np.minimum(np.searchsorted(names, s), len(names) - 1)
+        often = np.where(names[at] == s, counts[at], 0)
+    order = np.argsort(often, kind="stable")
+    n = len(s)
+    largest = (100 + percent) * (n - np.arange(n, dtype=np.int64)) // percent - n
+    order = order[: int(np.count_nonzero(100 * largest >= percent * n))]
+    return s[order], largest[: len(order)], often[order]
+
+
+def _prefix_rows(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
+    """A row for each shingle of the sets' prefixes; those of a very frequent one are dealt to several keys.
+
+    There a set stands under one key of its own, as the larger one of a pair, and under all as the smaller one.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for rid, hashes, component in zip(*(c.to_pylist() for c in batch.columns)):
+                s = np.frombuffer(hashes, np.uint64)
+                key, largest, often = _prefix(s, frequent, percent)
+                parts = (often // SPLIT_ROWS + 1).astype(np.uint64)
+                own = np.uint64(rid & 0xFFFFFFFF) % parts
+                one = np.full(len(key), rid), np.full(len(key), component), np.full(len(key), len(s), np.int32), largest.astype(np.int32), np.ones(len(key), bool)
+                out.append((_mixed(key + own * _M1), *one))
+                for i in np.flatnonzero((parts > 1) & (largest >= len(s))).tolist():
+                    others = np.delete(np.arange(int(parts[i]), dtype=np.uint64), int(own[i]))
+                    out.append((_mixed(key[i] + others * _M1), *(np.full(len(others), c[i], c.dtype) for c in one[:4]), np.zeros(len(others), bool)))
+            if out:
+                key, *rest = (np.concatenate(c) for c in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *map(pa.array, rest)], names=["key", "rid", "component", "n", "largest", "own"])
+
+    return sets.select("rid", "hashes", "component").mapInArrow(run, "key long, rid long, component long, n int, largest int, own boolean")
+
+
+def _prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the candidates of one shingle, of different components."""
+    def of_table(table: pa.Table) -> Iterator[np.ndarray]:
+        key = table.column("key").to_numpy()
+        many = np.zeros(len(key), bool)
+        many[1:] = key[1:] == key[:-1]
+        many[:-1] |= many[1:]
+        key, rid, component, n, largest, own = (table.column(c).to_numpy()[many] for c in ("key", "rid", "component", "n", "largest", "own"))
+        n, largest = n.astype(np.int64), largest.astype(np.int64)
+
+        def fit(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """Whether i may be the larger and j the smaller one of a similar pair, or the other way."""
+            apart = (component[i] != component[j]) & (n[i] <= largest[j]) & (n[j] <= largest[i])
+            i_larger = (n[i] >= n[j]) & own[i] & (100 * n[j] >= percent * n[i])
+            return apart & (i_larger | ((n[j] >= n[i]) & own[j] & (100 * n[i] >= percent * n[j])))
+
+        short = np.zeros(len(key), bool)
+        for x, y in _runs(key) if len(key) else []:
+            if y - x <= 64:
+                short[x:y] = True
+                continue
+            names, counts = np.unique(component[x:y], return_counts=True)
+            most = names[np.argmax(counts)]
+            for i in (np.flatnonzero(component[x:y] != most) + x).tolist():
+                j = np.arange(x, y)
+                j = j[(component[x:y] == most) | (j > i)]
+                j = j[fit(np.full(len(j), i), j)]
+                yield np.stack([np.minimum(rid[i], rid[j]), np.maximum(rid[i], rid[j])])
+        at = np.flatnonzero(short)
+        for k in range(1, 64):
+            at = at[at + k < len(key)]
+            at = at[key[at + k] == key[at]]
+            if not len(at):
+                break
+            i = at[fit(at, at + k)]
+            yield np.stack([np.minimum(rid[i], rid[i + k]), np.maximum(rid[i], rid[i + k])])
+
+    def batch(pairs: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*map(pa.array, np.unique(np.concatenate(pairs, axis=1), axis=1))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, "key"):
+            held, size = [], 0
+            for pairs in of_table(table):
+                held.append(pairs)
+                size += pairs.shape[1]
+                if size >= PAIRS_AT_ONCE:
+                    yield batch(held)
+                    held, size = [], 0
+            if size:
+                yield batch(held)
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+def _crowded_links(crowded: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """(a, b): components that a pair of classes of a crowded region links; crowded: (rid, key), known: (rid, component)."""
+    placed = crowded.join(known, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+    placed = materialize(placed, "crowded-rows")
+    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    own = materialize(placed.join(several, "key", "left_semi").select("rid", "component").distinct(), "apart")
+    n = own.count()
+    if not n:
+        return None
+    own_sets = materialize(sets.join(F.broadcast(own) if n <= BROADCAST_KEYS else own, "rid"), "apart-sets")
+    pairs = materialize(_prefix_pairs(_prefix_rows(own_sets, _frequent(own_sets, n), percent), percent), "crowded-pairs")
+    found = confirmed(pairs, own_sets.select("rid", "hashes"), percent).select("a", "b")
+    for end in "ab":
+        found = found.join(own.select(F.col("rid").alias(end), F.col("component").alias(f"of_{end}")), end)
+    return materialize(found.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct(), "crowded-links")
+
+
+def _merged(first: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after the links between components."""
+    joined = components(links)
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    known = first.unionByName(ends.join(first.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
+    joined = joined.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    return known.join(joined, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+
+
 def _bitmap(ids: DataFrame) -> np.ndarray:
     """Bits of the ids modulo their number: about 16 bits an id, MOST_BITS at most."""
     size = min(MOST_BITS, max(1 << 16, 1 << (16 * ids.count()).bit_length())) - 1
@@ -424,7 +580,11 @@ def find(df: DataFrame, size: int = 5, percent: int = PERCENT, id_col: str = "do
 
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("rid"), F.col("b").alias("to"), "agree"), F.struct(F.col("b").alias("rid"), F.col("a").alias("to"), "agree"))).alias("e")).select("e.*")
     best = materialize(ends.groupBy("rid").agg(F.max_by("to", F.struct("agree", -F.col("to"))).alias("to")), "best")
-    bits = _bitmap(best)
+    spelled = best.select("rid")
+    if own.levels:
+        crowded = materialize(own.crowded(classes), "crowded-classes")
+        spelled = spelled.unionByName(crowded.select("rid")).distinct()
+    bits = _bitmap(spelled)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = (b.filter(pa.array(_in_bitmap(bits, b.column(0).to_numpy()))) for b in batches)
@@ -449,11 +609,12 @@ def find(df: DataFrame, size: int = 5, percent: int = PERCENT, id_col: str = "do
     final = first
     if not needed.isEmpty():
         links = materialize(_links(needed.join(sets, "rid"), percent, pruned).distinct(), "left-links")
-        joined = components(links)
-        ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        known = first.unionByName(ends.join(first.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
-        joined = joined.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        final = known.join(joined, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+        final = _merged(first, links)
+    if own.levels:  # what the orders of crowded regions left out
+        final = materialize(final, "components")
+        links = _crowded_links(crowded, final.withColumnRenamed("node", "rid"), sets, percent)
+        if links is not None:
+            final = _merged(final, links)
     of_class = classes.select("class", "rid").join(final.withColumnRenamed("node", "rid"), "rid", "left").select("class", F.coalesce("component", "rid").alias("component"))
     out = signed.select("doc_id", "n_shingles", "class", F.col("sig").isNotNull().alias("able")).join(of_class, "class", "left")
     component = F.when(F.col("able") & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
