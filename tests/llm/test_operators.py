@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tributary.llm import bpe, lm, neardup, packing, pii, quality, registry, secrets, sharding, topk, warc
+from tributary.llm import bpe, eliasfano, lm, neardup, packing, pii, quality, registry, secrets, sharding, topk, warc
 from tributary.llm.eliasfano import EliasFano, Trie
 
 SF = "/root/testdata/sf0.001"
@@ -247,6 +247,37 @@ def test_trie():
     assert place.tolist() == [3, -1, 1, -1, -1, -1] and trie.probability[3] == 13
 
 
+@pytest.mark.parametrize("top", [40, 1000, 1 << 20, 1 << 59])
+def test_trie_answers_with_few_selects(monkeypatch, top):
+    """A search in a large context costs two selects, as the places with its high bits are few; it took one a halving."""
+    pick = np.random.default_rng(4)
+    kids = [np.unique(pick.integers(0, min(top, 1 << 40), n)).astype(np.uint64) for n in (1, 0, 5000, 2, 900, 1)]
+    contexts = np.unique(pick.integers(0, top, 40)).astype(np.uint64)[:6]
+    trie = Trie.build(contexts, [len(k) for k in kids], np.concatenate(kids), np.zeros(6), np.zeros(sum(map(len, kids))))
+    wanted = np.unique(np.concatenate([contexts, contexts + 1, [0, top]]).astype(np.uint64))
+    assert trie.find_contexts(wanted).tolist() == [contexts.tolist().index(w) if w in contexts else -1 for w in wanted.tolist()]
+    of = pick.integers(0, 6, 20_000)
+    keys = np.where(pick.random(20_000) < 0.5, pick.integers(0, min(top, 1 << 40), 20_000).astype(np.uint64), [k[len(k) // 2] if len(k) else 0 for k in (kids[i] for i in of.tolist())]).astype(np.uint64)
+    selects, select = [], eliasfano._select
+    monkeypatch.setattr(eliasfano, "_select", lambda words, before, i: selects.append(len(i)) or select(words, before, i))
+    got = trie.find_children(np.arange(6), keys, of)
+    at = {(i, k): n for n, (i, k) in enumerate((i, k) for i in range(6) for k in kids[i].tolist())}
+    assert got.tolist() == [at.get(x, -1) for x in zip(of.tolist(), keys.tolist())]
+    assert sum(selects) <= 2 * len(keys) + 20
+
+
+def test_distinct_n_grams_are_searched_once(monkeypatch):
+    words, asked = np.array([5, 9, 1 << 59], np.uint64), []
+    for _ in range(8):
+        chunk = lm.Chunk(np.array([0, 4]), np.array([0, 1, 0, 1]), words, 1, 2, [np.zeros(0, np.uint64)])
+        asked += lm._cells(chunk.levels[0], np.array([0]), np.bincount(chunk.levels[0].gram_of))
+    searched, find = [], Trie.find_children
+    monkeypatch.setattr(Trie, "find_children", lambda trie, rank, keys, of=None: searched.append(len(keys)) or find(trie, rank, keys, of))
+    answers, counts = lm._answers(asked)
+    assert searched == [len(chunk.levels[0].last)] and counts.tolist() == [16, 16, 8]
+    assert all((x == y).all() for said in answers for x, y in zip(said, answers[0]))
+
+
 def test_bpe(docs, rows, sample):
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     own = bpe.encoding(path, pattern)

@@ -30,8 +30,8 @@ def _byte_sums(x: np.ndarray) -> np.ndarray:
 def _select(words: np.ndarray, before: np.ndarray, i: np.ndarray) -> np.ndarray:
     """The place of the i-th set bit; before: set bits up to the end of each word."""
     word = np.searchsorted(before, i, "right")
-    rest = (i - np.where(word > 0, before[word - 1], 0)).astype(np.uint64)
     x = words[word]
+    rest = (i - before[word] + np.bitwise_count(x)).astype(np.uint64)
     sums = _byte_sums(x)
     octet = np.bitwise_count((((rest * _EACH) | _HIGH) - sums) & _HIGH).astype(np.uint64)  # bytes whose sum is no more
     shift = octet << np.uint64(3)
@@ -63,16 +63,24 @@ class EliasFano:
     def zeros(self) -> np.ndarray:
         return 64 * np.arange(1, len(self.high) + 1) - self.ones
 
+    @cached_property
+    def gaps(self) -> np.ndarray:
+        return ~self.high
+
     def at(self, i: np.ndarray) -> np.ndarray:
         """The values at the places, by select on the high part."""
         upper = (_select(self.high, self.ones, i) - i).astype(np.uint64) << np.uint64(self.low_bits)
+        return upper | self.low_at(i)
+
+    def low_at(self, i: np.ndarray) -> np.ndarray:
+        """The low bits of the values at the places."""
         if not self.low_bits:
-            return upper
+            return np.zeros(len(i), np.uint64)
         bit = i.astype(np.uint64) * np.uint64(self.low_bits)
         word, shift = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
         part = self.low[word] >> shift
         part |= np.where(shift > 0, self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
-        return upper | (part & np.uint64((1 << self.low_bits) - 1))
+        return part & np.uint64((1 << self.low_bits) - 1)
 
     def stretch(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the values with each one's high bits begin and end."""
@@ -81,30 +89,46 @@ class EliasFano:
 
         def ends(k: np.ndarray) -> np.ndarray:
             inside = (k >= 0) & (k < there)
-            place = _select(~self.high, self.zeros, np.where(inside, k, 0)) if there else np.zeros(len(k), np.int64)
+            place = _select(self.gaps, self.zeros, np.where(inside, k, 0)) if there else np.zeros(len(k), np.int64)
             return np.where(k < 0, 0, np.where(inside, np.minimum(place - k, self.n), self.n))
 
         return ends(top - 1), ends(top)
 
-    def successor(self, values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """The first place from low on, below high, whose value isn't smaller; high if there is none."""
+    def successor(self, values: np.ndarray, low: np.ndarray, high: np.ndarray, at=None) -> np.ndarray:
+        """The first place from low on, below high, whose value (by at) isn't smaller; high if there is none."""
+        at = at or self.at
         low, high = low.copy(), high.copy()
         left = np.flatnonzero(low < high)
         while len(left):
             middle = (low[left] + high[left]) >> 1
-            less = self.at(middle) < values[left]
+            less = at(middle) < values[left]
             low[left] = np.where(less, middle + 1, low[left])
             high[left] = np.where(less, high[left], middle)
             left = left[low[left] < high[left]]
         return low
 
-    def find(self, values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """The place of each value in its stretch, or -1."""
-        place = self.successor(values, low, np.maximum(low, high - 1))  # the last one is looked at here
+    def find(self, values: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
+        """The place of each value from low on, below high, or -1.
+
+        A single place is looked at; else the search is among the places with the value's high bits, by the low ones.
+        """
         out = np.full(len(values), -1, np.int64)
-        inside = np.flatnonzero(low < high)
-        same = inside[self.at(place[inside]) == values[inside]] if len(inside) else inside
-        out[same] = place[same]
+        many = np.arange(len(values))
+        if low is not None:
+            one = np.flatnonzero(high - low == 1)
+            same = one[self.at(low[one]) == values[one]] if len(one) else one
+            out[same] = low[same]
+            many = np.flatnonzero(high - low > 1)
+        if len(many):
+            wanted = values[many]
+            start, stop = self.stretch(wanted)
+            if low is not None:
+                start, stop = np.maximum(start, low[many]), np.minimum(stop, high[many])
+            part = wanted & np.uint64((1 << self.low_bits) - 1)
+            place = self.successor(part, start, np.maximum(start, stop - 1), self.low_at)  # the last one is looked at here
+            inside = np.flatnonzero(start < stop)
+            same = inside[self.low_at(place[inside]) == part[inside]]
+            out[many[same]] = place[same]
         return out
 
     @classmethod
@@ -120,9 +144,10 @@ class EliasFano:
             part = values & np.uint64((1 << bits) - 1)
             at = np.arange(n, dtype=np.uint64) * np.uint64(bits)
             word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-            np.bitwise_or.at(low, word, part << shift)
-            over = shift + np.uint64(bits) > 64
-            np.bitwise_or.at(low, word[over] + 1, part[over] >> (np.uint64(64) - shift[over]))
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            low[word[first]] = np.bitwise_or.reduceat(part << shift, first)
+            over = shift + np.uint64(bits) > 64  # the last one of a word at most
+            low[word[over] + 1] |= part[over] >> (np.uint64(64) - shift[over])
         place = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         flags = np.zeros(((int(place[-1]) if n else 0) // 64 + 1) * 64, np.uint8)
         flags[place] = 1
@@ -186,13 +211,18 @@ class Trie:
         wanted, out = wanted.astype(np.uint64), []
         for at in range(0, len(wanted), AT_ONCE):
             part = wanted[at : at + AT_ONCE]
-            out.append(self.contexts.find(part, *self.contexts.stretch(part)))
+            out.append(self.contexts.find(part))
         return np.concatenate(out) if out else np.zeros(0, np.int64)
 
     def bounds(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the contexts' children begin and end, by the pointers; nowhere for rank -1."""
         own = np.maximum(rank, 0).astype(np.int64)
-        low, high = (self.pointers.at(np.minimum(x, self.pointers.n - 1)).astype(np.int64) for x in (own, own + 1))
+        asked = np.zeros(self.pointers.n + 1, bool)
+        asked[own] = asked[own + 1] = True
+        asked = np.flatnonzero(asked)  # a pointer is where one context's children end and the next one's begin
+        ends = np.zeros(self.pointers.n + 1, np.int64)
+        ends[asked] = self.pointers.at(np.minimum(asked, self.pointers.n - 1)).astype(np.int64)
+        low, high = ends[own], ends[own + 1]
         return low, np.where(rank >= 0, high, low)
 
     def find_children(self, rank: np.ndarray, keys: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:

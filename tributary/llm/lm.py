@@ -4,8 +4,8 @@ Method. Each chunk of documents sends its distinct contexts and n-grams of each
 counts in training documents, to the shard of their context. A shard adds up what all chunks send, smooths by absolute
 discounting, quantises probabilities to one byte and builds a trie level for each order: contexts, monotone pointers,
 and children's keys in Elias-Fano form in a mapped buffer (anonymous: files of one machine would not do on a cluster).
-It answers each chunk's own list by successor search on the compact form, from the context's pointer, and the chunk
-scores its documents. No task holds the whole model; shards follow the input's size, so what is gathered grows with it.
+It answers the distinct n-grams of all chunks' lists by successor search on the compact form, within the context's
+pointers and the places with the n-gram's high bits; each chunk gets its own list's answers and scores its documents. No task holds the whole model; shards follow the input's size, so what is gathered grows with it.
 
 Hot contexts (a frequent word or pair, the end of text) are found first, by the chunks' counts; their n-grams are dealt
 by the last word too, so they are spread over all shards. Their totals are added up across shards, at most HOTTEST rows
@@ -192,12 +192,11 @@ def _joined_keys(asked: list[list[np.ndarray]], n: int) -> np.ndarray:
     return (np.concatenate([a[n] for a in asked]).astype(np.uint64) << np.uint64(32)) | np.concatenate([a[n + 1] for a in asked])
 
 
-def _summed(of: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts' ranks, keys and counts of the distinct n-grams that training documents have."""
+def _distinct(of: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts' ranks, keys and counts of the distinct n-grams, in this order, and which of them each one is."""
     grams, which = np.unique((of.astype(np.uint64) << np.uint64(KEY_BITS)) | keys, return_inverse=True)
     n = np.bincount(which, counts, len(grams)).astype(np.int64)
-    grams, n = grams[n > 0], n[n > 0]
-    return (grams >> np.uint64(KEY_BITS)).astype(np.int64), grams & np.uint64((1 << KEY_BITS) - 1), n
+    return (grams >> np.uint64(KEY_BITS)).astype(np.int64), grams & np.uint64((1 << KEY_BITS) - 1), n, which
 
 
 def _answers(asked: list[list[np.ndarray]]) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
@@ -206,30 +205,31 @@ def _answers(asked: list[list[np.ndarray]]) -> tuple[list[tuple[np.ndarray, np.n
     hashes = [np.cumsum((a[0].astype(u64) << u64(32)) | a[1], dtype=u64) for a in asked]
     contexts, at = np.unique(np.concatenate(hashes), return_inverse=True)
     cuts = np.cumsum([0, *map(len, hashes)])
-    every = np.repeat(at, _joined(asked, 2))
-    keys = _joined_keys(asked, 4)
-    of, own_keys, n_gram = _summed(every, keys, _joined(asked, 6))
+    every, keys, n_every, which = _distinct(np.repeat(at, _joined(asked, 2)), _joined_keys(asked, 4), _joined(asked, 6))
+    trained = n_every > 0
+    of, own_keys, n_gram = every[trained], keys[trained], n_every[trained]
     count, types = np.bincount(of, n_gram, len(contexts)), np.bincount(of, minlength=len(contexts))
     with np.errstate(divide="ignore", invalid="ignore"):
         backoff = quantised(np.where(types > 0, DISCOUNT * types / count, 0))
     trie = Trie.build(contexts, types, own_keys, backoff, quantised((n_gram - DISCOUNT) / count[of]))
     own = trie.find_contexts(contexts)
-    place = trie.find_children(own, keys, every)
-    said = np.where(place >= 0, trie.probability[place] if trie.children.n else 0, 0).astype(np.uint8)
+    place = trie.find_children(own, keys, every)  # once for all chunks that ask
+    said = np.where(place >= 0, trie.probability[place] if trie.children.n else 0, 0).astype(np.uint8)[which]
     ends = np.cumsum([0, *(len(a[5]) for a in asked)])
     return [(count[at[x:y]].astype(np.int64), trie.backoff[own[at[x:y]]], said[u:v]) for x, y, u, v in zip(cuts, cuts[1:], ends, ends[1:])], count
 
 
 def _hot_answers(asked: list[list[np.ndarray]]) -> tuple[list[np.ndarray], list[tuple[int, int, int]]]:
     """Counts of each chunk's n-grams of hot contexts, and (place, count, continuations) of the contexts in this shard."""
-    every, keys = np.concatenate([a[8] for a in asked]).astype(np.int64), _joined_keys(asked, 9)
-    of, own_keys, n_gram = _summed(every, keys, _joined(asked, 11))
+    every, keys, n_every, which = _distinct(np.concatenate([a[8] for a in asked]), _joined_keys(asked, 9), _joined(asked, 11))
+    trained = n_every > 0
+    of, own_keys, n_gram = every[trained], keys[trained], n_every[trained]
     contexts, rank = np.unique(of, return_inverse=True)
     types = np.bincount(rank, minlength=len(contexts))
     trie = Trie.build(contexts.astype(np.uint64), types, own_keys, np.zeros(len(contexts)), np.zeros(len(own_keys)))
-    named, which = np.unique(every, return_inverse=True)
-    place = trie.find_children(trie.find_contexts(named), keys, which)
-    said = np.where(place >= 0, n_gram[place] if len(n_gram) else 0, 0).astype(np.int64)
+    named, of_named = np.unique(every, return_inverse=True)
+    place = trie.find_children(trie.find_contexts(named), keys, of_named)
+    said = np.where(place >= 0, n_gram[place] if len(n_gram) else 0, 0).astype(np.int64)[which]
     ends = np.cumsum([0, *(len(a[8]) for a in asked)])
     totals = zip(contexts.tolist(), np.bincount(rank, n_gram, len(contexts)).astype(np.int64).tolist(), types.tolist())
     return [said[u:v] for u, v in zip(ends, ends[1:])], list(totals)
