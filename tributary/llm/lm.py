@@ -5,7 +5,8 @@ counts in training documents, to the shard of their context. A shard adds up wha
 discounting, quantises probabilities to one byte and builds a trie level for each order: contexts, monotone pointers,
 and children's keys in Elias-Fano form in a mapped buffer (anonymous: files of one machine would not do on a cluster).
 It answers the distinct n-grams of all chunks' lists by successor search on the compact form, within the context's
-pointers and the places with the n-gram's high bits; each chunk gets its own list's answers and scores its documents. No task holds the whole model; shards follow the input's size, so what is gathered grows with it.
+pointers and the places with the n-gram's high bits; each chunk gets its own list's answers and scores its documents.
+No task holds the whole model; shards follow the input's size, so what is gathered grows with it.
 
 Hot contexts (a frequent word or pair, the end of text) are found first, by the chunks' counts; their n-grams are dealt
 by the last word too, so they are spread over all shards. Their totals are added up across shards, at most HOTTEST rows
