@@ -198,3 +198,92 @@ def packing_faults(rows, lengths):
         if at > 1024:
             faults.append("too long")
     return faults
+
+
+def resampled(rows, targets, percent, least, seed, buckets):
+    """{id: (n_features, weight, score, rank)} of (id, text); ids are distinct."""
+    def feats(text):
+        w = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().translate(LOWER))
+        return len(w), [zlib.crc32(f) % buckets for f in w + [a + b" " + b for a, b in zip(w, w[1:])]]
+
+    own = {i: feats(t) for i, t in rows}
+    raw, aim = Counter(b for _, f in own.values() for b in f), Counter(b for t in targets for b in feats(t)[1])
+    s, t = sum(raw.values()) + buckets, sum(aim.values()) + buckets
+    gain = {b: math.floor(1000 * math.log((aim[b] + 1) * s / ((raw[b] + 1) * t))) for b in raw}
+    out, order = {}, []
+    for i, (n, f) in own.items():
+        weight = sum(gain[b] for b in f) // len(f) if f else 0
+        h = int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+        out[i] = [len(f), weight, score, None]
+        if n >= least:
+            order.append((-score, i is None, i or 0, i))
+    for place, (*_, i) in enumerate(sorted(order)[: len(order) * percent // 100]):
+        out[i][3] = place + 1
+    return {i: tuple(v) for i, v in out.items()}
+
+
+def searched(rows, queries, k):
+    """[(item, rank, id, score)] of (id, text) and (item, text); rows of one item are one query."""
+    def terms(text):
+        return re.findall(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").encode().translate(LOWER))
+
+    docs = [(i, Counter(terms(t))) for i, t in rows if i is not None]
+    docs = [(i, c, sum(c.values())) for i, c in docs if c]
+    n, total = len(docs), sum(own for *_, own in docs)
+    df, asked, out = Counter(w for _, c, _ in docs for w in c), defaultdict(set), []
+    for item, text in queries:
+        if item is not None:
+            asked[item].update(terms(text))
+    for item, words in sorted(asked.items()):
+        scores = []
+        for i, c, own in docs:
+            norm = 10 + 90 * own * n // total
+            scores.append((-sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[w] + 1))) * (1_000_000_000 * c[w] // (1000 * c[w] + 8 * norm)) for w in words if w in c), i))
+        out += [(item, r + 1, i, -s) for r, (s, i) in enumerate(sorted(s for s in scores if s[0] < 0)[:k])]
+    return out
+
+
+def mixed(rows, weights, share, most, seed):
+    """Sorted (id, size, source_size, target, copies) of (id, source, size)."""
+    def uniform(*names):
+        digest = hashlib.sha256(":".join(map(str, (seed, *names))).encode()).hexdigest()
+        return (int(digest[:12], 16) + 0.5) / (1 << 48)
+
+    def size_class(n):
+        e = n.bit_length() - 1
+        return e * 64 + ((n >> (e - 6)) - 64 if e >= 6 else n)
+
+    sizes = Counter()
+    for _, source, n in rows:
+        sizes[source] += n
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: float(weights[i % len(weights)]) for i, s in enumerate(order)}
+    target, open_, rest = {}, set(order), share * sum(sizes.values())
+    while True:
+        each = rest / sum(weight[s] for s in open_) if open_ else 0.0
+        full = {s for s in open_ if each * weight[s] > most * sizes[s]}
+        if not full:
+            break
+        rest -= sum(most * sizes[s] for s in full)
+        target |= {s: float(most * sizes[s]) for s in full}
+        open_ -= full
+    target |= {s: each * weight[s] for s in open_}
+    out = []
+    for s in order:
+        ratio = target[s] / sizes[s] if sizes[s] else 0.0
+        whole, fraction = math.floor(ratio), ratio - math.floor(ratio)
+        classes = defaultdict(list)
+        for i, source, n in rows:
+            if source == s:
+                classes[size_class(n) if n else -1].append((uniform("" if i is None else i), n, i))
+        over = 0.0
+        for c in sorted(classes, reverse=True):
+            draw = 0
+            if c >= 0:
+                words, n = sum(x[1] for x in classes[c]), len(classes[c])
+                want = over + fraction * words
+                draw = min(max(math.floor(want / (words / n) + uniform("" if s is None else f"={s}", c)), 0), n)
+                over = want - draw * (words / n)
+            out += [(i, n, sizes[s], target[s], whole + (place < draw)) for place, (_, n, i) in enumerate(sorted(classes[c], key=lambda x: x[:2]))]
+    return out

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import bpe, lm, neardup, oracles, packing, pii, quality, secrets, sharding, topk, warc
-from tributary.session import table
+from tributary.llm import bpe, lexical, lm, mixing, neardup, oracles, packing, pii, quality, resample, secrets, sharding, topk, warc
+from tributary.session import materialize, table
 
 
 def op1_nra_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,21 @@ def op10_bpe_word_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
                              public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
+    mixed = mixing.mix(materialize(sizes, "sizes"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op13_impact_ordered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_nra_top_k": op1_nra_top_k,
     "op2_pii_spans": op2_pii_spans,
@@ -68,9 +83,15 @@ QUERIES = {
     "op8_assignment_secrets": op8_assignment_secrets,
     "op9_warc_transactions": op9_warc_transactions,
     "op10_bpe_word_shuffle": op10_bpe_word_shuffle,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_pareto_mixing": op12_pareto_mixing,
+    "op13_impact_ordered_search": op13_impact_ordered_search,
 }
 ORACLES: dict[str, str] = {
     "op1_nra_top_k": oracles.TOP_K,
     "op5_lsh_forest": oracles.NEAR_DUPLICATES,
     "op9_warc_transactions": oracles.WARC,
+    "op11_importance_resampling": oracles.RESAMPLE,
+    "op12_pareto_mixing": oracles.MIXING,
+    "op13_impact_ordered_search": oracles.SEARCH,
 }

@@ -85,9 +85,9 @@ def coded(parts: pa.LargeListArray | pa.ListArray) -> tuple[np.ndarray, np.ndarr
     return offsets - offsets[0], flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary
 
 
-def words(text: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Lower-cased (A-Z) words between white space: document offsets, codes, distinct words."""
-    offsets, codes, distinct = coded(pc.split_pattern(mapped(text, LOWER_BLANK), " "))
+def words(text: pa.LargeStringArray, table: np.ndarray = LOWER_BLANK) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Words between blanks of the mapped text, by default lower-cased (A-Z) ones between white space: document offsets, codes, distinct words."""
+    offsets, codes, distinct = coded(pc.split_pattern(mapped(text, table), " "))
     names = distinct.cast(pa.large_binary()).to_pylist()
     if b"" in names:  # what stands between two blanks
         empty = names.index(b"")
