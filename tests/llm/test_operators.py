@@ -147,6 +147,30 @@ def test_near_duplicates(spark, docs, rows, sample):
     assert sorted((tuple(r) for r in neardup.find(nulls, 2).collect()), key=repr) == sorted([(None, 2, None, True), (7, 2, 3, False), (7, 2, 3, False), (3, 2, 3, True)], key=repr)
 
 
+def test_links_near_the_threshold(spark):
+    """Groups of near copies, most pairs of which lie just below the threshold: each link joins or parts components."""
+    n_groups, n, length, changed = 36, 300, 400, 25
+    texts, want = [], []
+    for g in range(n_groups):
+        rng = np.random.default_rng(1 + g)
+        words = np.tile(np.arange(length), (n, 1))
+        for i in range(n):
+            words[i, rng.choice(length, changed, replace=False)] = length + i * changed + np.arange(changed)
+        kept = np.zeros((n, length), np.int64)
+        np.put_along_axis(kept, np.where(words < length, words, 0), 1, axis=1)
+        kept[:, 0] = (words == 0).any(axis=1)
+        both = kept @ kept.T
+        links = 100 * both >= 80 * (2 * length - both)
+        reach = np.arange(n)
+        while (new := np.where(links, reach[None, :], n).min(axis=1)).tolist() != reach.tolist():
+            reach = new
+        texts += [" ".join(f"g{g}w{w}" for w in row) for row in words.tolist()]
+        want += (reach + g * n).tolist()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in neardup.find(df, size=1).collect()}
+    assert [got[i] for i in range(len(want))] == want and n_groups < len(set(want)) < len(want)
+
+
 def test_near_duplicates_in_large_regions(spark, monkeypatch):
     monkeypatch.setattr(neardup, "REGION", 16)
     pick = random.Random(1)

@@ -175,9 +175,9 @@ def forest(signatures: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _keyed(classes: DataFrame) -> DataFrame:
-    """(rid, sig, tree, turn, key) of the first depth, for every class and tree."""
+    """(rid, sig, copies, turn, key) of the first depth, for every class and tree."""
     none = F.lit(0).cast("byte").alias("turn")
-    return classes.select("rid", "sig", "copies", F.posexplode("keys").alias("tree", "key")).select("rid", "sig", "copies", F.col("tree").cast("byte").alias("tree"), none, "key")
+    return classes.select("rid", "sig", "copies", none, F.explode("keys").alias("key"))
 
 
 def _deeper(rows: DataFrame, level: int) -> DataFrame:
@@ -187,16 +187,16 @@ def _deeper(rows: DataFrame, level: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                sig, own, key = _matrix(batch.column(1)), batch.column(3).to_numpy(), batch.column(4).to_numpy().astype(np.uint64)
+                sig, own, key = _matrix(batch.column(1)), batch.column(2).to_numpy(), batch.column(3).to_numpy().astype(np.uint64)
                 for turn in range(1, ORDERS + 1):
                     at = np.arange(batch.num_rows) if level == 0 else np.flatnonzero(own == turn)
                     deep = _mixed(key[at] * _M2 + np.uint64(turn))
                     for i in _ORDERS[turn - 1][start:stop].tolist():
                         deep = _mixed(deep * _M1 + sig[at, i].astype(np.uint64))
                     kept = batch.take(pa.array(at))
-                    yield pa.RecordBatch.from_arrays([*kept.columns[:3], pa.array(np.full(len(at), turn, np.int8)), pa.array((deep >> np.uint64(1)).astype(np.int64))], names=batch.schema.names)
+                    yield pa.RecordBatch.from_arrays([*kept.columns[:2], pa.array(np.full(len(at), turn, np.int8)), pa.array((deep >> np.uint64(1)).astype(np.int64))], names=batch.schema.names)
 
-    return rows.select("rid", "sig", "tree", "turn", "key").mapInArrow(run, "rid long, sig binary, tree byte, turn byte, key long")
+    return rows.select("rid", "sig", "turn", "key").mapInArrow(run, "rid long, sig binary, turn byte, key long")
 
 
 def _hub_pairs(rows: DataFrame, hubs: DataFrame, few: bool) -> DataFrame:
@@ -243,8 +243,8 @@ class Forest:
         return self._split(_keyed(classes).select("rid", "key"), 0)[1].select("rid", "key")
 
     def regions(self, classes: DataFrame) -> DataFrame:
-        """(rid, sig, tree, key) of the classes: rows of one key are a region, of REGION classes at most."""
-        columns = ("rid", "sig", "tree", "key")
+        """(rid, sig, key) of the classes: rows of one key are a region, of REGION classes at most."""
+        columns = ("rid", "sig", "key")
         rows, out = _keyed(classes), []
         for level in range(len(self.levels)):
             small, rows = self._split(rows, level)
@@ -253,9 +253,9 @@ class Forest:
                 rows = _deeper(rows, level)
             else:  # runs that share the smallest class
                 runs = F.ceil(F.col("n") / (REGION / 2)).cast("long")
-                cut = rows.select("rid", "sig", "tree", F.xxhash64("key", F.pmod(F.xxhash64("rid"), runs)).alias("key"))
+                cut = rows.select("rid", "sig", F.xxhash64("key", F.pmod(F.xxhash64("rid"), runs)).alias("key"))
                 each = self.levels[level][0].join(self.hubs, "key").select("hub", "key", F.explode(F.sequence(F.lit(0).cast("long"), runs - 1)).alias("run"))
-                rows = cut.unionByName(each.select("hub.rid", "hub.sig", F.lit(0).cast("byte").alias("tree"), F.xxhash64("key", "run").alias("key")))
+                rows = cut.unionByName(each.select("hub.rid", "hub.sig", F.xxhash64("key", "run").alias("key")))
         out.append(rows.select(*columns))
         every = out[0]
         for one in out[1:]:
@@ -307,41 +307,37 @@ def _forest_pairs(regions: DataFrame) -> DataFrame:
     return _in_tasks(regions.select("rid", "key", "sig"), run, "a long, b long, agree byte").where("a <> b")
 
 
-def _others(i: int, start: int, stop: int, sig: np.ndarray, component: np.ndarray, met_before: int) -> np.ndarray:
-    """The rows of other components that agree with row i and share no region with it in an earlier tree."""
+def _others(i: int, start: int, stop: int, sig: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """The rows of other components that agree with row i."""
     other = np.flatnonzero(component[start:stop] != component[i]) + start
-    other = other[(sig[other] == sig[i]).sum(axis=1) >= AGREES * VALUES]
-    if met_before and len(other):
-        n = met_before * DEPTH
-        other = other[~(sig[other, :n] == sig[i, :n]).reshape(len(other), met_before, DEPTH).all(axis=2).any(axis=1)]
-    return other
+    return other[(sig[other] == sig[i]).sum(axis=1) >= AGREES * VALUES]
 
 
-def _open_rows(table: pa.Table, pruned: bool) -> Iterator[tuple[int, np.ndarray]]:
+def _open_rows(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
     """(row, rows to compare it with) of a table of regions; each pair of components' rows once or more.
 
-    pruned: a pair is compared in the first tree only, which holds where no region is crowded.
+    A pair is looked at in each region that it shares: values of a byte don't tell whether it has met in an earlier tree.
     """
-    sig, component, tree = _matrix(table.column("sig")), table.column("component").to_numpy(), table.column("tree").to_numpy()
+    sig, component = _matrix(table.column("sig")), table.column("component").to_numpy()
     for x, y in _runs(table.column("key").to_numpy()):
         own = component[x:y]
         if y - x > 1 and (own != own[0]).any():
             names, counts = np.unique(own, return_counts=True)
             for i in (np.flatnonzero(own != names[np.argmax(counts)]) + x).tolist():
-                if len(other := _others(i, x, y, sig, component, int(tree[i]) if pruned else 0)):
+                if len(other := _others(i, x, y, sig, component)):
                     yield i, other
 
 
-def _needed(rows: DataFrame, pruned: bool) -> DataFrame:
+def _needed(rows: DataFrame) -> DataFrame:
     """The rows that have a partner to be compared with: those need their sets."""
     def run(table: pa.Table) -> pa.RecordBatch:
         need = np.zeros(table.num_rows, bool)
-        for i, other in _open_rows(table, pruned):
+        for i, other in _open_rows(table):
             need[i] = need[other] = True
         return table.filter(pa.array(need)).combine_chunks().to_batches(max_chunksize=None)[0] if need.any() else pa.RecordBatch.from_pylist([], table.schema)
 
-    rows = rows.select("rid", "key", "sig", "tree", "component")
-    return _in_tasks(rows, run, "rid long, key long, sig binary, tree byte, component long")
+    rows = rows.select("rid", "key", "sig", "component")
+    return _in_tasks(rows, run, "rid long, key long, sig binary, component long")
 
 
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -354,7 +350,7 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _links(rows: DataFrame, percent: int, pruned: bool) -> DataFrame:
+def _links(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b): components that a pair of a region links; pairs of components that are linked already are passed over."""
     def run(table: pa.Table) -> pa.RecordBatch:
         component, up, links = table.column("component").to_numpy(), {}, []
@@ -365,7 +361,7 @@ def _links(rows: DataFrame, percent: int, pruned: bool) -> DataFrame:
                 c = up[c]
             return c
 
-        for i, other in _open_rows(table, pruned):
+        for i, other in _open_rows(table):
             for j in other.tolist():
                 a, b = top(int(component[i])), top(int(component[j]))
                 if a != b and _similar(sets[i], sets[j], percent):
@@ -374,7 +370,7 @@ def _links(rows: DataFrame, percent: int, pruned: bool) -> DataFrame:
         a, b = zip(*links) if links else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return _in_tasks(rows.select("key", "sig", "tree", "component", "hashes"), run, "a long, b long")
+    return _in_tasks(rows.select("key", "sig", "component", "hashes"), run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -572,7 +568,6 @@ def find(df: DataFrame, size: int = 5, percent: int = PERCENT, id_col: str = "do
     able = signed.where("doc_id is not null and sig is not null")
     classes = materialize(able.groupBy("class").agg(F.min("doc_id").alias("rid"), F.first("sig").alias("sig"), F.first("keys").alias("keys"), F.count("*").alias("copies")), "classes")
     own = Forest(classes)
-    pruned = not own.levels
     found = _forest_pairs(own.regions(classes))
     if own.levels:
         found = found.unionByName(own.hub_pairs)
@@ -605,10 +600,10 @@ def find(df: DataFrame, size: int = 5, percent: int = PERCENT, id_col: str = "do
     asked = classes.join(best.select("rid"), "rid", "left_semi")  # without an agreeing partner there is no pair
     known = first.withColumnRenamed("node", "rid")
     rows = own.regions(asked).join(known, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-    needed = materialize(_needed(rows, pruned), "needed")
+    needed = materialize(_needed(rows), "needed")
     final = first
     if not needed.isEmpty():
-        links = materialize(_links(needed.join(sets, "rid"), percent, pruned).distinct(), "left-links")
+        links = materialize(_links(needed.join(sets, "rid"), percent).distinct(), "left-links")
         final = _merged(first, links)
     if own.levels:  # what the orders of crowded regions left out
         final = materialize(final, "components")
