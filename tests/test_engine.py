@@ -265,7 +265,7 @@ def test_suggest(spark, tmp_path):
     assert suggested([]) == [] and suggested([], initial=(99,)) == [(99, 1.0)]
     ranked = spark.createDataFrame([(0, p, 1.0, n + 1) for n, p in enumerate([31, 5, 22])], "qid long, pid2 int, probability double, rank int")
     names = spark.createDataFrame([(p, "en", f"Name {p}") for p in (5, 9, 22, 31, 40, 41)], "pid int, lang string, label string")
-    assert [r.pid2 for r in rules.search(ranked, names, "name", "en", 5).orderBy("place").collect()] == [31, 5, 22, 9, 40]
+    assert [r.pid2 for r in rules.search(ranked, rules.made_terms(names), "name", "en", 5).orderBy("place").collect()] == [31, 5, 22, 9, 40]
 
 
 def test_search_by_alias_in_pages(spark):
@@ -274,7 +274,7 @@ def test_search_by_alias_in_pages(spark):
     names = spark.createDataFrame(terms, "pid int, lang string, label string, description string, aliases array<string>")
 
     def page(prefix, size, offset=0):
-        return [tuple(r)[1:] for r in rules.search(ranked, names, prefix, "en", size, offset).orderBy("place").collect()]
+        return [tuple(r)[1:] for r in rules.search(ranked, rules.made_terms(names), prefix, "en", size, offset).orderBy("place").collect()]
 
     first = [(8, "Name 8", "eight", None, 1, 3), (14, "other", None, "Named", 2, 3), (5, "Name 5", None, None, 3, 3)]
     assert page("name", 3) == first
@@ -344,7 +344,8 @@ def test_evaluation(spark, model, nt_file):
     unseen = spark.createDataFrame([("x", ["m:strings", "never seen"])], "subject string, items array<string>")
     both = [evaluate.evaluate(model, evaluate.take_one_but_type(evaluate.subjects(model, unseen, mode))).collect() for mode in ("drop", "rare")]
     assert len(both[0]) == 0 and len(both[1]) == 2 and {r.num_found for r in both[1]} == {0, 3}
-    assert evaluate.batch(model, evaluate.take_but_type(subjects), {0: evaluate.direct, 1: evaluate.direct}).count() == 2
+    direct = workflow.preset("direct")
+    assert evaluate.batch(model, evaluate.take_but_type(subjects), {0: direct, 1: direct}).count() == 2
 
 
 def test_rules_in_workflows_and_batches(spark, tmp_path, capsys):
@@ -382,6 +383,9 @@ def test_rules_in_workflows_and_batches(spark, tmp_path, capsys):
         (tmp_path / f"c{n}.json").write_text(json.dumps({"testset": "", "layers": [{"condition": "always", "backoff": "standard"}]}))
     cli.main([*common, "--batchTest", f"{tmp_path}/c0.json", f"{tmp_path}/c1.json"], spark)
     assert sorted(r.config for r in spark.read.option("header", True).csv(f"{base}-batch-stats").collect()) == ["0", "1"]
+    (tmp_path / "grid.json").write_text(json.dumps({"Conds": ["aboveThreshold"], "Steps": ["stepsizeLinear"], "MaxThreshold": 3, "MaxParallel": 2}))
+    cli.main([*common, "--creater", f"{tmp_path}/grid.json", "--numberConfigs", "4"], spark)
+    assert sorted(r.config for r in spark.read.option("header", True).csv(f"{base}-batch-stats").collect()) == ["0", "1", "2", "3"]
 
 
 def test_command_line(spark, nt_file, tmp_path, capsys):

@@ -11,6 +11,7 @@ from tributary.functions.ntriples import trim_extensions
 from tributary.operators import evaluate, glossary, prepare, rules, serve, workflow
 from tributary.operators.model import ALWAYS, Model
 from tributary.operators.transactions import to_transactions
+from tributary.session import read_text, write_text
 from tributary.sources import entities
 from tributary.sources.triples import read_ntriples, write_lines
 
@@ -75,9 +76,12 @@ def evaluation(spark: SparkSession, args: argparse.Namespace) -> None:
     model = Model.load(spark, args.model).persist()
     tx = to_transactions(read_ntriples(spark, args.testSet), args.typed)
     requests, missed = evaluate.HANDLERS[args.handler](evaluate.subjects(model, tx, "rare")), evaluate.MISSED_BY_HANDLER.get(args.handler, evaluate.MISSED)
-    if args.batchTest:
-        made = [workflow.Configuration.read(path).workflow() for path in args.batchTest]
-        batch = evaluate.batch(model, requests, {n: lambda m, q, own=own: workflow.run(m, q, own) for n, own in enumerate(made)}, missed)
+    if args.batchTest or args.creater:
+        made = [workflow.Configuration.read(path) for path in args.batchTest or []]
+        if args.creater:
+            made += workflow.Grid(**json.loads(read_text(args.creater))).configurations()
+        chosen = {n: config.workflow() for n, config in enumerate(made) if args.numberConfigs is None or n < args.numberConfigs}
+        batch = evaluate.batch(model, requests, chosen, missed)
         batch.drop("group").orderBy("config").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{base}-batch-stats")
         return
     layers = _layers(spark, args)
@@ -87,11 +91,8 @@ def evaluation(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def create_configs(spark: SparkSession, args: argparse.Namespace) -> None:
-    with open(args.creater) as f:
-        made = workflow.Grid(**json.load(f)).configurations()
-    for n, config in enumerate(made):
-        with open(f"{args.creater}-{n}.json", "w") as out:
-            json.dump(config, out, default=vars)
+    for n, config in enumerate(workflow.Grid(**json.loads(read_text(args.creater))).configurations()):
+        write_text(f"{args.creater}-{n}.json", json.dumps(config, default=vars))
 
 
 def mine_rules(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -135,6 +136,8 @@ def parser() -> argparse.ArgumentParser:
     other.add_argument("--groupBy", choices=list(evaluate.GROUPS), default="setSize")
     other.add_argument("--name")
     other.add_argument("--batchTest", nargs="+", metavar="WORKFLOW", help="compare these workflow files instead")
+    other.add_argument("--creater", help="compare the configurations of this grid")
+    other.add_argument("--numberConfigs", type=int, help="how many of the configurations are compared, the first ones")
     other.add_argument("--loadResults", action="store_true", help="take the results that an earlier run wrote")
     other.add_argument("--wikiEvaluation", action="store_true", help="evaluate the suggester of --rules")
     for p in (own, other):

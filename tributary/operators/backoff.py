@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,20 +22,33 @@ def step_proportional(size: Column, k: Column, parallel: int) -> Column:
     return F.least(F.round(F.lit(0.4) * k / parallel * size).cast("int"), size)
 
 
-def more_than(threshold: int) -> Callable[[DataFrame, DataFrame], DataFrame]:
+@dataclass(frozen=True)
+class MoreThan:
     """Sub-requests with more recommendations than the threshold: (qid)."""
-    def passes(asked: DataFrame, found: DataFrame) -> DataFrame:
-        return found.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") > threshold).select("qid")
 
-    return passes
+    threshold: int
 
+    def __call__(self, asked: DataFrame, found: DataFrame) -> DataFrame:
+        return found.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") > self.threshold).select("qid")
 
-def more_likely_than(threshold: float) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    def holds(self, n: Column, top10: Column) -> Column:
+        return n > self.threshold
+
+
+@dataclass(frozen=True)
+class MoreLikelyThan:
     """Sub-requests whose ten best average above the threshold: (qid)."""
-    def passes(asked: DataFrame, found: DataFrame) -> DataFrame:
-        return top10_average(asked, rank(found)).where(F.col("top10") > F.lit(threshold).cast("float")).select("qid")
 
-    return passes
+    threshold: float
+
+    def __call__(self, asked: DataFrame, found: DataFrame) -> DataFrame:
+        return top10_average(asked, rank(found)).where(F.col("top10") > F.lit(self.threshold).cast("float")).select("qid")
+
+    def holds(self, n: Column, top10: Column) -> Column:
+        return top10 > F.lit(self.threshold).cast("float")
+
+
+more_than, more_likely_than = MoreThan, MoreLikelyThan
 
 
 def _answers(model: Model, subs: DataFrame) -> DataFrame:

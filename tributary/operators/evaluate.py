@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tributary.operators import prefixes
 from tributary.operators.model import Model
-from tributary.operators.recommend import LIMIT, candidates, rank
+from tributary.operators.recommend import LIMIT, rank
+from tributary.operators.workflow import Drop, Layer, Split
+from tributary.session import materialize
 
 #: Rank of a hit that never came, by handler where it differs.
 MISSED = 500
@@ -35,7 +38,8 @@ def subjects(model: Model, transactions: DataFrame, unknown: str = "drop") -> Da
 
 
 def _request(s: Column, left: Column, number: Column) -> list[Column]:
-    return ["subject", number.alias("number"), F.array_sort(s).alias("s"), left.alias("left_out")]
+    """path: the items in the handler's order, in which a subject's requests begin alike."""
+    return ["subject", number.alias("number"), F.array_sort(s).alias("s"), s.alias("path"), left.alias("left_out")]
 
 
 def take_one_but_type(rows: DataFrame) -> DataFrame:
@@ -77,7 +81,9 @@ HANDLERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 
 def direct(model: Model, asked: DataFrame) -> DataFrame:
-    return rank(candidates(model, asked, many=True), LIMIT)
+    """Of sets (qid long, s, and path where there is one)."""
+    path = "path" if "path" in asked.columns else "s"
+    return rank(prefixes.candidates(model, asked.select("qid", F.col(path).alias("path"))), LIMIT)
 
 
 #: Columns of evaluate().
@@ -85,45 +91,70 @@ RESULTS = ("subject string, number long, set_size int, num_left_out int, num_typ
            "fn long, fp long, tn long, num_non_types int")
 
 
-def evaluate(model: Model, requests: DataFrame, answer: Callable[[Model, DataFrame], DataFrame] = direct, missed: int = MISSED) -> DataFrame:
-    """One row a request: rank of the first hit and counts. Equal sets are answered once, in one batch.
-
-    Requests without items are left out. tn is the dictionary's size without what is counted elsewhere.
-    """
+def _sets(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The requests with items, each with its set's number, and the distinct sets (qid long, s, path), written once."""
     requests = requests.where(F.size("s") > 0)
-    sets = requests.select("s").distinct()
-    found = answer(model, sets.select(F.col("s").alias("qid"), "s")).select(F.col("qid").alias("s"), "item", "rank")
-    ranks = found.groupBy("s").agg(F.map_from_entries(F.collect_list(F.struct("item", "rank"))).alias("ranks"))  # LIMIT entries at most
+    if "path" not in requests.columns:
+        requests = requests.withColumn("path", F.col("s"))
+    sets = requests.groupBy("s").agg(F.min("path").alias("path"))
+    sets = materialize(sets.select(F.monotonically_increasing_id().alias("qid"), "s", "path"), "sets")
+    return requests.drop("path").join(sets.select("qid", "s"), "s"), sets
+
+
+def _ranks(found: DataFrame, *keys: str) -> DataFrame:
+    """The ranks of a set's answers, LIMIT at most, as a map."""
+    return found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("item", "rank"))).alias("ranks"))
+
+
+def _compared(rows: DataFrame, model: Model, missed: int, *more: str) -> DataFrame:
+    """One row a request with ranks: rank of the first hit and counts."""
     size = model.items.agg(F.count("*").alias("dictionary")).withColumn("one", F.lit(1))
-    rows = requests.join(ranks, "s", "left").withColumn("one", F.lit(1)).join(F.broadcast(size), "one")
+    rows = rows.withColumn("one", F.lit(1)).join(F.broadcast(size), "one")
     rows = rows.withColumn("hits", F.coalesce(F.filter(F.transform("left_out", lambda x: F.try_element_at("ranks", x)), lambda r: r.isNotNull()), F.array().cast("array<int>")))
     at_l = F.filter("hits", lambda r: r <= F.size("left_out"))
     rows = rows.select("subject", "number", F.size("s").alias("set_size"), F.size("left_out").alias("num_left_out"), "num_types", F.coalesce(F.array_min("hits"), F.lit(missed)).alias("rank"), F.size("hits").cast("long").alias("tp"),
-                       F.size(at_l).cast("long").alias("tp_at_l"), F.coalesce(F.size("ranks"), F.lit(0)).cast("long").alias("num_found"), "dictionary")
+                       F.size(at_l).cast("long").alias("tp_at_l"), F.coalesce(F.size("ranks"), F.lit(0)).cast("long").alias("num_found"), "dictionary", *more)
     rows = rows.withColumns({"fn": F.col("num_left_out") - F.col("tp"), "fp": F.col("num_found") - F.col("tp")})
     return rows.withColumn("tn", F.col("dictionary") - F.col("tp") - F.col("fp") - F.col("fn")).withColumn("num_non_types", F.col("set_size") + F.col("num_left_out") - F.col("num_types")).drop("dictionary")
 
 
+def evaluate(model: Model, requests: DataFrame, answer: Callable[[Model, DataFrame], DataFrame] = direct, missed: int = MISSED) -> DataFrame:
+    """One row a request: rank of the first hit and counts. Equal sets are answered once, in one batch.
+
+    answer gets (qid long, s, path), path the set's items in an order in which sets begin alike. Requests without items
+    are left out. tn is the dictionary's size without what is counted elsewhere.
+    """
+    asked, sets = _sets(requests)
+    return _compared(asked.join(_ranks(answer(model, sets), "qid"), "qid", "left"), model, missed)
+
+
 GROUPS = {"numTypes": "num_types", "numNonTypes": "num_non_types", "setSize": "set_size", "numLeftOut": "num_left_out"}
 
 
-def statistics(results: DataFrame, group_by: str = "numNonTypes") -> DataFrame:
-    """One row a group and one of group -1 for all. Precision is NaN where a request of the group found nothing."""
-    group = GROUPS[group_by]
+def _with_shares(results: DataFrame) -> DataFrame:
     nan = F.lit(float("nan"))
     share = lambda a, b: F.when(b == 0, nan).otherwise(a / F.when(b != 0, b))
     tp, left = F.col("tp"), F.col("num_left_out")
-    rows = results.withColumns({"recall": share(tp, left), "precision": share(tp, F.col("num_found")), "precision_at_l": share(F.col("tp_at_l"), left)})
-    rows = rows.unionByName(rows.withColumn(group, F.lit(-1)))
+    return results.withColumns({"recall": share(tp, left), "precision": share(tp, F.col("num_found")), "precision_at_l": share(F.col("tp_at_l"), left)})
+
+
+def _measures() -> list[Column]:
     hit = F.when(F.col("rank") < MISSED, F.col("rank"))
 
     def top(n) -> Column:
         return F.avg((F.col("rank") <= n).cast("double"))
 
-    return rows.groupBy(F.col(group).alias("group")).agg(
+    return [
         F.count("*").alias("subjects"), F.avg("rank").alias("mean"), F.coalesce(F.avg(hit), F.lit(float(MISSED))).alias("mean_of_hits"), F.percentile("rank", F.lit(0.5)).alias("median"), F.var_pop("rank").alias("variance"),
-        top(1).alias("top1"), top(5).alias("top5"), top(10).alias("top10"), top(left).alias("topl"), F.avg("recall").alias("recall"), F.avg("precision").alias("precision"), F.avg("precision_at_l").alias("precision_at_l"),
-        F.avg(F.when(F.col("num_found") > 0, F.col("precision"))).alias("precision_defined"))
+        top(1).alias("top1"), top(5).alias("top5"), top(10).alias("top10"), top(F.col("num_left_out")).alias("topl"), F.avg("recall").alias("recall"), F.avg("precision").alias("precision"), F.avg("precision_at_l").alias("precision_at_l"),
+        F.avg(F.when(F.col("num_found") > 0, F.col("precision"))).alias("precision_defined")]
+
+
+def statistics(results: DataFrame, group_by: str = "numNonTypes") -> DataFrame:
+    """One row a group and one of group -1 for all, by grouping sets. Precision is NaN where a request of the group found nothing."""
+    own = F.col("group")
+    sets = _with_shares(results).withColumn("group", F.col(GROUPS[group_by])).groupingSets([[own], []], own)
+    return sets.agg(F.grouping("group").alias("all"), *_measures()).withColumn("group", F.when(F.col("all") == 1, -1).otherwise(own)).drop("all")
 
 
 def derived(stats: DataFrame) -> DataFrame:
@@ -138,13 +169,101 @@ def set_sizes(transactions: DataFrame) -> DataFrame:
     return transactions.groupBy(own.alias("num_non_types")).agg(F.count("*").alias("count"))
 
 
-def batch(model: Model, requests: DataFrame, workflows: dict[int, Callable[[Model, DataFrame], DataFrame]], missed: int = MISSED) -> DataFrame:
-    """The overall statistics of several workflows over the same requests, with config."""
-    out = None
-    for number, answer in workflows.items():
-        one = statistics(evaluate(model, requests, answer, missed)).where(F.col("group") == -1).withColumn("config", F.lit(number))
-        out = one if out is None else out.unionByName(one)
-    return out
+def _drops(layers: list[Layer]) -> list[tuple]:
+    """(parallel, step) of what the layers may drop, once each."""
+    return list(dict.fromkeys((x.procedure.parallel, x.procedure.step) for x in layers if isinstance(x.procedure, Drop)))
+
+
+def _dropped(step: Callable, k: int, parallel: int) -> Column:
+    """How many items the k-th step drops, at most all."""
+    n = F.size("s")
+    return F.least(F.greatest(step(n, F.lit(k), parallel), F.lit(0)), n).cast("int")
+
+
+def _shared_answers(model: Model, sets: DataFrame, layers: list[Layer]) -> DataFrame:
+    """(qid, kind, part, item, probability) of all sub-requests of the layers, each distinct set answered once, in one batch.
+
+    kind -1: the set without its `part` rarest items; kind 0, 1, ...: part 0 or 1 of the n-th splitter. Answers leave out
+    the items of the whole set.
+    """
+    numbers = [F.lit(0)] + [_dropped(step, k, parallel) for parallel, step in _drops(layers) for k in range(1, parallel + 1)]
+    dropped = F.transform(F.array_distinct(F.array(*numbers)), lambda d: F.struct(F.lit(-1).alias("kind"), d.alias("part"), F.slice("s", F.lit(1), F.size("s") - d).alias("own")))
+    parts = [F.struct(F.lit(n).alias("kind"), F.lit(part).alias("part"), own.alias("own")) for n, splitter in enumerate(_splitters(layers)) for part, own in enumerate(splitter(F.col("s")))]
+    every = F.concat(dropped, F.array(*parts)) if parts else dropped
+    subs = sets.select("qid", "s", F.explode(every).alias("sub")).select("qid", "s", "sub.*")
+    distinct = materialize(subs.select("own").distinct().select(F.monotonically_increasing_id().alias("sub"), "own"), "sub-requests")
+    found = prefixes.candidates(model, distinct.select(F.col("sub").alias("qid"), F.col("own").alias("path"))).withColumnRenamed("qid", "sub")
+    rows = subs.join(distinct, "own").join(found, "sub").where(~F.array_contains("s", F.col("item")))
+    return materialize(rows.select("qid", "kind", "part", "item", "probability"), "sub-answers")
+
+
+def _splitters(layers: list[Layer]) -> list[Callable]:
+    return list(dict.fromkeys(x.procedure.splitter for x in layers if isinstance(x.procedure, Split)))
+
+
+def _ways(sets: DataFrame, ranked: DataFrame, workflows: dict[int, list[Layer]], layers: list[Layer]) -> DataFrame:
+    """(config, qid, way): what answers a set in each workflow, by the counts of the set's reductions; none where no condition holds."""
+    counts = ranked.groupBy("qid", "part").agg(F.count("*").alias("n"), (F.sum(F.when(F.col("rank") <= 10, F.col("probability"))) / 10).cast("float").alias("top10"))
+    by_part = counts.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("part", F.struct("n", "top10")))).alias("of"))
+    facts = sets.join(by_part, "qid", "left")
+
+    def of(part: Column, name: str) -> Column:
+        value = F.try_element_at("of", part)[name]
+        return F.coalesce(value, F.lit(0).cast("long" if name == "n" else "float"))
+
+    facts = facts.withColumns({"size": F.size("s"), "n_direct": of(F.lit(0), "n"), "top10": of(F.lit(0), "top10")})
+    splitters = _splitters(layers)
+
+    def way(layer: Layer) -> Column:
+        p = layer.procedure
+        if p is None:
+            return F.lit("drop 0")
+        if isinstance(p, Drop):
+            steps = [_dropped(p.step, k, p.parallel) for k in range(1, p.parallel + 1)]
+            first = F.coalesce(*(F.when(p.passes.holds(of(d, "n"), of(d, "top10")), d) for d in steps), steps[-1])
+            return F.format_string("drop %d", first)
+        if isinstance(p, Split):
+            return F.lit(f"split {splitters.index(p.splitter)} {p.merger.__name__}")
+        return F.lit(f"other {layers.index(layer)}")
+
+    chosen = []
+    for number, own in workflows.items():
+        one = F.lit(None).cast("string")
+        for layer in reversed(own):
+            one = F.when(layer.condition(), way(layer)).otherwise(one)
+        chosen.append(F.struct(F.lit(number).alias("config"), one.alias("way")))
+    return facts.select("qid", F.explode(F.array(*chosen)).alias("c")).select("qid", "c.config", "c.way")
+
+
+def batch(model: Model, requests: DataFrame, workflows: dict[int, list[Layer]], missed: int = MISSED) -> DataFrame:
+    """The overall statistics of several workflows over the same requests, with config.
+
+    All workflows' sub-requests are one table, each distinct one is answered once, and each workflow chooses among the
+    answers; what several choose is compared with the left-out items once. So the plan's reads don't grow with the number
+    of workflows. A back-off's test must be one of backoff's; procedures of another kind are answered for themselves.
+    """
+    layers = list(dict.fromkeys(x for own in workflows.values() for x in own))
+    asked, sets = _sets(requests)
+    shared = _shared_answers(model, sets, layers)
+    dropped = shared.where("kind = -1").select(F.struct("qid", "part").alias("qid"), "item", "probability")
+    ranked = rank(dropped).select("qid.qid", "qid.part", "item", "probability", "rank")
+    ways = materialize(_ways(sets, ranked, workflows, layers), "ways")
+    found = ranked.where(F.col("rank") <= LIMIT).select("qid", F.format_string("drop %d", "part").alias("way"), "item", "rank")
+    for n, splitter in enumerate(_splitters(layers)):
+        parts = shared.where(F.col("kind") == n)
+        for merger in dict.fromkeys(x.procedure.merger for x in layers if isinstance(x.procedure, Split) and x.procedure.splitter is splitter):
+            merged = rank(merger(parts, len(splitter(F.col("s")))), LIMIT)
+            found = found.unionByName(merged.select("qid", F.lit(f"split {n} {merger.__name__}").alias("way"), "item", "rank"))
+    for n, layer in enumerate(layers):
+        if layer.procedure is not None and not isinstance(layer.procedure, (Drop, Split)):
+            own = ways.where(F.col("way") == f"other {n}").select("qid").distinct()
+            answers = rank(layer.procedure(model, sets.join(own, "qid", "left_semi")).select("qid", "item", "probability"), LIMIT)
+            found = found.unionByName(answers.select("qid", F.lit(f"other {n}").alias("way"), "item", "rank"))
+    wanted = ways.groupBy("qid", F.coalesce("way", F.lit("none")).alias("way")).agg(F.collect_list("config").alias("configs"))
+    ranks = wanted.join(_ranks(found, "qid", "way"), ["qid", "way"], "left")
+    compared = _compared(asked.join(ranks, "qid"), model, missed, "configs")
+    each = _with_shares(compared).withColumn("config", F.explode("configs"))
+    return each.groupBy("config").agg(*_measures()).withColumn("group", F.lit(-1))
 
 
 def write_statistics(stats: DataFrame, path: str, group_by: str) -> None:

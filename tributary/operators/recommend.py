@@ -2,7 +2,8 @@
 
 A request is (qid, s): s its items' ranks, sorted and distinct. Requests meet the patterns that hold their rarest item
 by an equi-join and keep those that contain the rest, so a frequent item is a join key only where a request holds
-nothing rarer.
+nothing rarer. With a written model they meet its postings there, which are bucketed by that item and not shuffled, and
+requests of one item meet its pairs. `one` answers a request whose items the driver knows: it reads one bucket.
 """
 
 from __future__ import annotations
@@ -10,13 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.operators.model import Model
+from tributary.operators.model import MOST_PLACES, Model, place
 
 LIMIT = 500
 #: Tasks over which the requests without items are spread.
 SPREAD = 64
-#: Items of a pattern whose subsets are listed.
-SMALL = 8
 
 
 def requests(model: Model, named: DataFrame, unknown: str = "drop") -> DataFrame:
@@ -34,24 +33,60 @@ def requests(model: Model, named: DataFrame, unknown: str = "drop") -> DataFrame
     return out.select("qid", "s")
 
 
-def matches(model: Model, queries: DataFrame, many: bool = False) -> DataFrame:
-    """(qid, s, items, support) for each request with items and each pattern that contains them.
-
-    many: for batches with about as many sets as patterns. Patterns of up to SMALL items then list their subsets, which
-    meet the requests by an equi-join on the whole set; a join on one item would compare each request with all of an
-    item's patterns.
-    """
+def matches(model: Model, queries: DataFrame) -> DataFrame:
+    """(qid, s, items, support) for each request with items and each pattern that contains them."""
     asked = queries.where(F.size("s") > 0).select("qid", "s")
-    patterns = model.patterns
-    if many:
-        small = patterns.where(F.size("items").between(1, SMALL))
-        chosen = F.expr("transform(sequence(1, shiftleft(1, size(items)) - 1), bits -> filter(items, (x, i) -> shiftright(bits, i) % 2 = 1))")
-        whole = small.select("items", "support", F.explode(chosen).alias("s")).join(asked, "s").select("qid", "s", "items", "support")
-        patterns = patterns.where(F.size("items") > SMALL)
     asked = asked.withColumn("pivot", F.element_at("s", -1))
-    postings = patterns.select("items", "support", F.explode("items").alias("pivot"))
-    met = postings.join(asked, "pivot").where((F.size("items") >= F.size("s")) & (F.size(F.array_except("s", "items")) == 0)).select("qid", "s", "items", "support")
-    return whole.unionByName(met) if many else met
+    if model.postings is not None:
+        if model.n_placed:
+            asked = asked.join(model.places.select(F.col("item").alias("pivot"), "places"), "pivot", "left")
+        parts = F.coalesce("places", F.lit(1)) if model.n_placed else F.lit(1)
+        asked = asked.select("qid", "s", F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda n: place("pivot", n))).alias("place"))
+        met = model.postings.join(asked, "place")
+    else:
+        postings = model.patterns.select("items", "support", F.explode("items").alias("pivot"))
+        met = postings.join(asked, "pivot")
+    return met.where((F.size("items") >= F.size("s")) & (F.size(F.array_except("s", "items")) == 0)).select("qid", "s", "items", "support")
+
+
+def one(model: Model, names: list[str], include_types: bool = False, limit: int | None = LIMIT, unknown: str = "drop") -> DataFrame:
+    """(item, property, probability, rank): the answer to one request by names, from a written model.
+
+    The dictionary's entries of the names are looked up by the driver, so the places to read are constants of the plan.
+    Unknown names as in `requests`.
+    """
+    names = list(dict.fromkeys(names))
+    known = model.entries(names)
+    items, found = sorted(e[0] for e in known.values()), None
+    if unknown == "empty" and len(known) < len(names):
+        found = model.items.where("false").select("item", F.col("iri").alias("property"), F.lit(0.0).alias("probability"))
+    elif not items:
+        all_ = model.n_transactions().first()[0]
+        share = F.col("total_count") / F.lit(all_) if all_ else F.lit(None).cast("double")
+        found = model.items.select("item", F.col("iri").alias("property"), share.alias("probability"))
+    elif len(items) == 1 and model.pairs is not None:
+        count = next(iter(known.values()))[2]
+        rows = model.pairs.where(F.col("item") == items[0])
+        if not include_types:
+            rows = rows.where("not other_is_type")
+        found = rows.select(F.col("other").alias("item"), F.col("other_iri").alias("property"), (F.col("support") / F.lit(count)).alias("probability"))
+    else:
+        held = F.lit(True)
+        for item in items[:-1]:
+            held &= F.array_contains("items", item)
+        if model.postings is None:
+            rows = model.patterns.where(held & F.array_contains("items", items[-1]))
+        else:
+            parts = model.places.where(F.col("item") == items[-1]).first() if model.n_placed else None
+            rows = model.postings.where(F.col("place").isin([items[-1] * MOST_PLACES + n for n in range(parts["places"] if parts else 1)]) & held)
+        counts = rows.select(F.explode("items").alias("item"), "support").groupBy("item").agg(F.sum("support").alias("n"))
+        # each match holds the pivot; a row an item at most
+        counts = counts.withColumn("all", F.max(F.when(F.col("item") == items[-1], F.col("n"))).over(Window.partitionBy()))
+        own = model.items.select("item", F.col("iri").alias("property"), "is_type")
+        found = counts.where(~F.col("item").isin(items)).join(own if include_types else own.where("not is_type"), "item")
+        found = found.select("item", "property", (F.col("n") / F.col("all")).alias("probability"))
+    ranked = found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("probability"), "item")))
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
 def support(model: Model, queries: DataFrame) -> DataFrame:
@@ -72,9 +107,16 @@ def popularity(model: Model, queries: DataFrame) -> DataFrame:
     return asked.join(parts, "part").select("qid", "item", "probability")
 
 
-def candidates(model: Model, queries: DataFrame, include_types: bool = False, many: bool = False) -> DataFrame:
+def candidates(model: Model, queries: DataFrame, include_types: bool = False) -> DataFrame:
     """(qid, item, probability) of all candidates, without ranks; one pass over the matches gives totals and counts."""
-    rows = matches(model, queries, many).select("qid", F.explode(F.concat(F.array(F.lit(-1)), F.array_except("items", "s"))).alias("item"), "support")
+    if model.pairs is not None:
+        single = queries.where(F.size("s") == 1).select("qid", F.col("s")[0].alias("item"))
+        counts = model.items.select("item", "total_count")
+        pairs = model.pairs if include_types else model.pairs.where("not other_is_type")
+        paired = pairs.join(single, "item").join(counts, "item").select("qid", F.col("other").alias("item"), (F.col("support") / F.col("total_count")).alias("probability"))
+        rest = candidates(Model(model.items, model.patterns, model.postings, None, model.places, model.n_placed, model.total), queries.where(F.size("s") != 1), include_types)
+        return rest.unionByName(paired)
+    rows = matches(model, queries).select("qid", F.explode(F.concat(F.array(F.lit(-1)), F.array_except("items", "s"))).alias("item"), "support")
     counts = rows.groupBy("qid", "item").agg(F.sum("support").alias("n"))
     total = F.max(F.when(F.col("item") == -1, F.col("n"))).over(Window.partitionBy("qid"))
     found = counts.select("qid", "item", (F.col("n") / total).alias("probability")).where("item >= 0")

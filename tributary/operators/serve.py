@@ -65,15 +65,41 @@ class Engine:
         return found.where(F.startswith("property", F.lit(DIRECT))).select("qid", F.substring("property", len(DIRECT) + 1, 1 << 30).alias("property"), "probability", "rank")
 
     def one(self, endpoint: str, request: dict) -> list[dict]:
-        """A single request's rows, best first; the driver holds no more than one answer."""
+        """A single request's rows, best first; the driver holds no more than one answer.
+
+        Where the workflow is the direct answer, the request's names are constants of the plan, which reads one bucket of
+        the written model.
+        """
         spark = self.model.items.sparkSession
-        row = [(0, request.get("lang"), request.get("types") or [], request.get("properties") or [])]
-        frame = spark.createDataFrame(row, "qid long, lang string, types array<string>, properties array<string>")
-        rows = ENDPOINTS[endpoint](self, frame).drop("qid")
+        if endpoint in DIRECT_ENDPOINTS and (endpoint == "propType" or self._is_direct()):
+            rows = self._direct(endpoint, request)
+        else:
+            row = [(0, request.get("lang"), request.get("types") or [], request.get("properties") or [])]
+            frame = spark.createDataFrame(row, "qid long, lang string, types array<string>, properties array<string>")
+            rows = ENDPOINTS[endpoint](self, frame).drop("qid")
         return [r.asDict() for r in (rows.orderBy("rank") if "rank" in rows.columns else rows).collect()]
 
+    def _is_direct(self) -> bool:
+        return self.layers[0].procedure is None and self.layers[0].condition is workflow.always()
+
+    def _direct(self, endpoint: str, request: dict) -> DataFrame:
+        names = [*(request.get("properties") or []), *(f"{TYPE_MARK}{t}" for t in request.get("types") or [])]
+        both = endpoint == "propType"
+        found = recommend.one(self.model, names, both, None if both else self.limit)
+        if endpoint == "lean-recommender":
+            counts = self.model.items.select("item", "total_count")
+            return found.join(counts, "item").select("property", "total_count", "item", "probability", "rank")
+        if endpoint == "recommender":
+            if self.glossary is None:
+                raise ValueError("labels need a glossary")
+            rows = found.withColumn("lang", F.lit(request.get("lang") or LANGUAGE))
+            return glossaries.translate(rows, self.glossary).select("property", "label", "description", "probability", "rank")
+        return found.select("property", "probability", "rank")
+
 
 ENDPOINTS: dict[str, Callable[[Engine, DataFrame], DataFrame]] = {
     "recommender": Engine.recommend, "lean-recommender": Engine.lean, "support": Engine.support, "propType": Engine.properties_and_types,
     "wikiRecommender": Engine.short_ids,
 }
+#: Those that a written model answers by `recommend.one`.
+DIRECT_ENDPOINTS = ("recommender", "lean-recommender", "propType")

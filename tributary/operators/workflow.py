@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tributary.operators import backoff
 from tributary.operators.model import Model
 from tributary.operators.recommend import LIMIT, candidates, rank, top10_average
-from tributary.session import materialize
+from tributary.session import materialize, read_text
 
 
 @dataclass(frozen=True)
@@ -25,8 +25,12 @@ class Layer:
     description: str = ""
 
 
+def _always() -> Column:
+    return F.lit(True)
+
+
 def always() -> Callable[[], Column]:
-    return lambda: F.lit(True)
+    return _always
 
 
 def above(threshold: int) -> Callable[[], Column]:
@@ -78,12 +82,30 @@ def run(model: Model, queries: DataFrame, layers: list[Layer], limit: int | None
     return rank(every, limit)
 
 
-def dlf(parallel: int, step: Callable, passes: Callable) -> Callable[[Model, DataFrame], DataFrame]:
-    return lambda model, queries: backoff.delete_low_frequency(model, queries, parallel, step, passes)
+@dataclass(frozen=True)
+class Drop:
+    """The procedure that drops the rarest items, in steps."""
+
+    parallel: int
+    step: Callable
+    passes: Callable
+
+    def __call__(self, model: Model, queries: DataFrame) -> DataFrame:
+        return backoff.delete_low_frequency(model, queries, self.parallel, self.step, self.passes)
+
+
+@dataclass(frozen=True)
+class Split:
+    """The procedure that splits a set and merges its parts' answers."""
+
+    splitter: Callable
+    merger: Callable
+
+    def __call__(self, model: Model, queries: DataFrame) -> DataFrame:
+        return backoff.split_property_set(model, queries, self.splitter, self.merger)
 
 
-def split(splitter: Callable, merger: Callable) -> Callable[[Model, DataFrame], DataFrame]:
-    return lambda model, queries: backoff.split_property_set(model, queries, splitter, merger)
+dlf, split = Drop, Split
 
 
 def preset(name: str, suggester: Callable[[Model, DataFrame], DataFrame] | None = None) -> list[Layer]:
@@ -106,8 +128,10 @@ def preset(name: str, suggester: Callable[[Model, DataFrame], DataFrame] | None
     return known[name]
 
 
+#: The names that configuration files use.
 STEPS = {"stepsizeLinear": backoff.step_linear, "stepsizeProportional": backoff.step_proportional}
 SPLITTERS = {"everySecondItem": backoff.split_every_second, "twoSupportRanges": backoff.split_two_ranges}
+CONDITIONS = ("aboveThreshold", "tooUnlikelyRecommendationsCondition", "tooFewRecommendations", "always")
 MERGERS = {"max": backoff.merge_max, "avg": backoff.merge_average}
 
 
@@ -141,8 +165,7 @@ class Configuration:
 
     @classmethod
     def read(cls, path: str) -> Configuration:
-        with open(path) as f:
-            return cls.of(json.load(f))
+        return cls.of(json.loads(read_text(path)))
 
     def test(self) -> None:
         """Raises for what cannot become a workflow."""
@@ -155,7 +178,7 @@ class Configuration:
                 raise ValueError("deleteLowFrequency needs a known Stepsize and ParallelExecutions")
             if layer.Backoff not in ("splitProperty", "deleteLowFrequency", "standard"):
                 raise ValueError(f"unknown back-off {layer.Backoff!r}")
-            if layer.Condition not in ("aboveThreshold", "tooUnlikelyRecommendationsCondition", "tooFewRecommendations", "always"):
+            if layer.Condition not in CONDITIONS:
                 raise ValueError(f"unknown condition {layer.Condition!r}")
 
     def workflow(self) -> list[Layer]:

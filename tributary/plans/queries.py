@@ -52,9 +52,7 @@ def ask(spark: SparkSession, model: Model, *sets: tuple[str, ...], unknown: str
 
 
 def _recommended(spark: SparkSession, sf_dir: str, names: tuple[str, ...], typed: bool = False, types_too: bool = False) -> DataFrame:
-    model = views.model(spark, sf_dir, typed)
-    found = recommend.recommend(model, ask(spark, model, names), types_too)
-    return recommend.named(model, found).select("property", "probability", "rank")
+    return recommend.one(views.model(spark, sf_dir, typed), list(names), types_too).select("property", "probability", "rank")
 
 
 @query(f"with {TYPED}, {ITEMS} select item as iri, item like 't#%' as is_type, total as total_count, cast(pos as integer) as item from items")
@@ -423,7 +421,7 @@ def rules_all(spark, sf_dir):
 
 def _suggest(spark, sf_dir, properties, tuples, **options):
     asked = spark.createDataFrame([(0, properties, tuples)], "qid long, properties array<int>, tuples array<struct<pid: int, qid: int>>")
-    found = rules.suggest(rules.compute(views.entities(spark, sf_dir)), asked, **options)
+    found = rules.suggest(views.mined_rules(spark, sf_dir), asked, **options)
     return found.select("pid2", F.round("probability", 9).alias("probability"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tributary.plans import surface  # noqa: F401  registers its queries
+from tributary.plans import operations, surface  # noqa: F401  they register their queries
 from tributary.plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

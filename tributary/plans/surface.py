@@ -5,10 +5,10 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tributary.operators import backoff, evaluate, glossary, prepare, recommend, rules, serve, workflow
+from tributary.operators import backoff, evaluate, glossary, prepare, recommend, rules, serve, sql, workflow
 from tributary.operators.model import ALWAYS, Model
 from tributary.operators.transactions import TYPE_MARK, from_pairs, to_transactions
 from tributary.plans import views
@@ -74,6 +74,14 @@ def ntriples_file(spark, sf_dir):
     return read_ntriples(spark, path).groupBy("s", "p", "o").agg(F.count("*").alias("lines"))
 
 
+@query(f"with {EVENTS} select s, p, o, count(*) as lines from triples group by 1, 2, 3")
+def ntriples_blocks(spark, sf_dir):
+    """Written as block-compressed text and read by parts of its files."""
+    path = _folder(spark, "bgz")
+    write_lines(_triples(spark, sf_dir), path, "bgz")
+    return read_ntriples(spark, path, block=True).groupBy("s", "p", "o").agg(F.count("*").alias("lines"))
+
+
 @query(f"with {EVENTS} select count(*) as triples, count(distinct s) as subjects from triples")
 def over_long_lines(spark, sf_dir):
     """Two lines of more bytes than are taken, among the events' lines."""
@@ -208,8 +216,8 @@ def config_batch(spark, sf_dir):
     """Two workflows over the same requests: all direct, and direct for sets of up to two items only."""
     model = views.model(spark, sf_dir, True)
     requests = evaluate.HANDLERS["takeMoreButCommon"](evaluate.subjects(model, views.transactions(spark, sf_dir, True)))
-    small = lambda m, q: evaluate.direct(m, q.where(F.size("s") <= 2))
-    return evaluate.batch(model, requests, {0: evaluate.direct, 1: small}).select("config", "subjects", F.round("mean", 6).alias("mean"), F.round("recall", 6).alias("recall"))
+    workflows = {0: workflow.preset("direct"), 1: [workflow.Layer(workflow.below(3), None)]}
+    return evaluate.batch(model, requests, workflows).select("config", "subjects", F.round("mean", 6).alias("mean"), F.round("recall", 6).alias("recall"))
 
 
 @query(f"""with {TYPED}, {ITEMS}, {_ASKED}, {", ".join(f"q{i}_s as (select item from asked where k <= n - {i}), q{i}_m as (select subject from pairs where item in (select item from q{i}_s) group by subject having count(*) = (select count(*) from q{i}_s)), q{i} as (select item, count(*) / (select count(*) from q{i}_m) as p from pairs where subject in (select subject from q{i}_m) and item not like 't#%' and item not in (select item from asked) group by item)" for i in range(1, 5))},
@@ -295,7 +303,7 @@ def serve_short_ids(spark, sf_dir):
 def suggester_workflow(spark, sf_dir):
     """The rules as a preset's procedure: the model's items go to property numbers and back."""
     model = _direct_model(spark, sf_dir)
-    layers = workflow.preset("wikidata-property", rules.suggester(rules.compute(views.entities(spark, sf_dir))))
+    layers = workflow.preset("wikidata-property", rules.suggester(views.mined_rules(spark, sf_dir)))
     found = workflow.run(model, ask(spark, model, (f"{rules.DIRECT}P101", f"{rules.DIRECT}P102")), layers)
     return recommend.named(model, found).select("property", F.round("probability", 9).alias("probability"))
 
@@ -307,12 +315,13 @@ SUGGESTED = f"""with {CLAIMS}, f as (select pid2, sum(probability) as p from rul
 
 def _search(spark, sf_dir, prefix, size, offset):
     asked = spark.createDataFrame([(0, [101, 102], [])], "qid long, properties array<int>, tuples array<struct<pid: int, qid: int>>")
-    found = rules.suggest(rules.compute(views.entities(spark, sf_dir)), asked)
+    found = rules.suggest(views.mined_rules(spark, sf_dir), asked)
     found = recommend.rank(found.select("qid", F.col("pid2").alias("item"), F.round("probability", 12).alias("probability"))).withColumnRenamed("item", "pid2")
     n = F.substring("p_brand", 7, 9)
     names = table(spark, sf_dir, "part").select("p_brand").distinct().select(
         (n.cast("int") + 100).alias("pid"), F.lit("en").alias("lang"), F.col("p_brand").alias("label"), F.lit("a brand").alias("description"), F.array(F.concat(F.lit("no"), n), F.concat(F.lit("kind "), (n.cast("int") % 4).cast("string"))).alias("aliases"))
-    return rules.search(found, names, prefix, "en", size, offset)
+    terms = rules.write_terms(names, _folder(spark, "terms"))
+    return rules.search(found, terms, prefix, "en", size, offset)
 
 
 def _sql_search(hit: str, alias: str, size: int, offset: int) -> str:
@@ -339,14 +348,39 @@ def suggest_by_entity(spark, sf_dir):
     snak = "struct<property_id: int, datatype: string, value: string>"
     claims = [((p, "string", v), [], []) for p, v in ((31, "Q1"), (101, "x"), (101, "y"), (102, "z"))]
     entity = spark.createDataFrame([("Q5", claims)], f"title string, claims array<struct<mainsnak: {snak}, qualifiers: array<{snak}>, `references`: array<{snak}>>>")
-    found = rules.suggest(rules.compute(views.entities(spark, sf_dir)), rules.of_entities(entity))
+    found = rules.suggest(views.mined_rules(spark, sf_dir), rules.of_entities(entity))
     return found.select("pid2", F.round("probability", 9).alias("probability"))
 
 
-@query("select 42 as pid2, 1.0::double as probability, 1 as rank union all select 43, 1.0, 2")
+@query(f"with {CLAIMS} select 0::bigint as qid, 42 as pid2, 1.0::double as probability, 1 as place union all select 0, 43, 1.0, 2 union all select 1, pid2, round(probability, 9), cast(row_number() over (order by round(probability, 12) desc, pid2) as integer) from rules where context = 'item' and pid1 = 101 and pid2 <> 101")
 def suggest_initial(spark, sf_dir):
-    asked = spark.createDataFrame([(0, [], [])], "qid long, properties array<int>, tuples array<struct<pid: int, qid: int>>")
-    return rules.suggest(rules.compute(views.entities(spark, sf_dir)), asked, initial=(43, 42)).select("pid2", "probability", "rank")
+    """A request of nothing, which gets the initial suggestions, beside one of a property."""
+    asked = spark.createDataFrame([(0, [], []), (1, [101], [])], "qid long, properties array<int>, tuples array<struct<pid: int, qid: int>>")
+    found = rules.suggest(views.mined_rules(spark, sf_dir), asked, initial=(43, 42))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("probability", 12)), "pid2"))
+    return found.select("qid", "pid2", F.round("probability", 9).alias("probability"), place.alias("place"))
+
+
+@query(f"with {CLAIMS} select pid2, round(sum(probability) / 2, 9) as probability from rules where context = 'item' and pid1 = 31 and qid1 in (1, 2) and pid2 <> 31 group by pid2")
+def suggest_by_list(spark, sf_dir):
+    """Ids of items ask as values of the classifying property."""
+    lists = spark.createDataFrame([(0, ["Q1", "Q2"])], "qid long, ids array<string>")
+    found = rules.suggest(views.mined_rules(spark, sf_dir), rules.of_lists(lists))
+    return found.select("pid2", F.round("probability", 9).alias("probability"))
+
+
+# --- SQL
+
+_TOLD = " union all ".join(f"select {n}::bigint as asked, property, probability, rank from ({_sql_recommend(names, True, types)})" for n, (names, types) in enumerate(((("Brand#1", "Brand#2"), False), (("Brand#3", "t#2-HIGH"), False), (("Brand#3",), True))))
+
+
+@query(_TOLD)
+def recommend_in_sql(spark, sf_dir):
+    """Requests as calls of table functions."""
+    sql.register(views.model(spark, sf_dir, True), "orders_model")
+    return spark.sql("""select 0L as asked, * from orders_model_recommend(array('Brand#1', 'Brand#2', 'no such'))
+        union all select 1L, * from orders_model_recommend(array('Brand#3', 't#2-HIGH'))
+        union all select 2L, * from orders_model_recommend_with_types(array('Brand#3'))""")
 
 
 # --- renderers, streams

@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.operators import prepare
+from tributary.operators import prepare, rules
 from tributary.operators.model import Model
 from tributary.operators.transactions import TYPE_MARK, from_pairs
-from tributary.session import exists, shared_dir, table
+from tributary.session import exists, file_state, shared_dir, table
 
 
 def order_pairs(spark: SparkSession, sf_dir: str, typed: bool = False) -> DataFrame:
@@ -31,18 +31,33 @@ def built_model(spark: SparkSession, sf_dir: str, typed: bool = False) -> Model:
     return Model.build(transactions(spark, sf_dir, typed))
 
 
-#: Where models are written: by application, tables and kind.
-_written: dict[tuple, str] = {}
+#: Written models: by application, tables with the state of their files, and kind.
+_written: dict[tuple, tuple[str, Model]] = {}
 
 
 def model(spark: SparkSession, sf_dir: str, typed: bool = False) -> Model:
-    """A model that is built once an application, written to the shared folder, and read from there by all queries."""
-    key = (spark.sparkContext.applicationId, sf_dir, typed)
-    if key not in _written or not exists(spark, _written[key]):
+    """A model that is built once for the state of its tables, written to the shared folder, and read from there by all queries."""
+    state = tuple(file_state(spark, f"{sf_dir}/{name}.parquet") for name in ("lineitem", "part", "orders"))
+    key = (spark.sparkContext.applicationId, sf_dir, state, typed)
+    if key not in _written or not exists(spark, _written[key][0]):
         path = f"{shared_dir(spark)}/models/{uuid.uuid4().hex}"
         built_model(spark, sf_dir, typed).save(path)
-        _written[key] = path
-    return Model.load(spark, _written[key])
+        _written[key] = path, Model.load(spark, path)
+    return _written[key][1]
+
+
+_mined: dict[tuple, str] = {}
+
+
+def mined_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of the entities, mined once for the state of their tables and read from the shared folder."""
+    state = tuple(file_state(spark, f"{sf_dir}/{name}.parquet") for name in ("lineitem", "part", "orders"))
+    key = (spark.sparkContext.applicationId, sf_dir, state)
+    if key not in _mined or not exists(spark, _mined[key]):
+        path = f"{shared_dir(spark)}/rules/{uuid.uuid4().hex}"
+        rules.compute(entities(spark, sf_dir)).write.partitionBy("context").parquet(path)
+        _mined[key] = path
+    return spark.read.schema(rules.SCHEMA).parquet(_mined[key])
 
 
 def event_triples(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,16 +5,14 @@ from __future__ import annotations
 import shutil
 import sys
 import uuid
-import zlib
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions import ntriples as nt
 from tributary.session import shared_dir
+from tributary.sources.bgz import BgzSource
 
 
 def _copied(path: str) -> str:
@@ -26,29 +24,17 @@ def _copied(path: str) -> str:
     return path
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no and line. Plain, .gz and .bz2 go through Spark's text reader; .bgz is unpacked block by block.
+def read_lines(spark: SparkSession, path: str, block: bool = False) -> DataFrame:
+    """line_no and line. Plain, .gz and .bz2 go through Spark's text reader, .bgz (a file, or a folder with block=True) by blocks.
 
     The path - is standard input, which is copied to the shared folder first.
     line_no orders the lines of one file; files are ordered by path, and their parts by where they begin.
     """
     if path == "-":
         path = _copied(f"{shared_dir(spark)}/stdin/{uuid.uuid4().hex}.nt")
-    if path.endswith(".bgz"):
-        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for content in batch.column(0):
-                    data, rest, line = content.as_py(), b"", 0
-                    while data:
-                        z = zlib.decompressobj(31)
-                        lines = (rest + z.decompress(data)).split(b"\n")
-                        data, rest = z.unused_data, lines.pop()
-                        yield pa.RecordBatch.from_arrays([pa.array(range(line, line + len(lines)), pa.int64()), pa.array([x.decode().rstrip("\r") for x in lines], pa.string())], names=["line_no", "line"])
-                        line += len(lines)
-                    if rest:
-                        yield pa.RecordBatch.from_arrays([pa.array([line], pa.int64()), pa.array([rest.decode().rstrip("\r")], pa.string())], names=["line_no", "line"])
-
-        return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, "line_no long, line string")
+    if block or path.endswith(".bgz"):
+        spark.dataSource.register(BgzSource)
+        return spark.read.format("bgz").load(path)
     lines = spark.read.text(path)
     return lines.select(F.monotonically_increasing_id().alias("line_no"), F.regexp_replace("value", "\r$", "").alias("line"))
 
@@ -59,10 +45,14 @@ def parse(lines: DataFrame) -> DataFrame:
     return lines.where(nt.is_data(F.col("line"))).select("line_no", *(nt.nth(tokens, n).alias(c) for n, c in enumerate("spo")), "line")
 
 
-def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    return parse(read_lines(spark, path))
+def read_ntriples(spark: SparkSession, path: str, block: bool = False) -> DataFrame:
+    return parse(read_lines(spark, path, block))
 
 
 def write_lines(triples: DataFrame, path: str, compression: str = "gzip") -> None:
-    """The triples' own lines, as text."""
+    """The triples' own lines, as text; compression 'bgz' writes blocks."""
+    if compression == "bgz":
+        triples.sparkSession.dataSource.register(BgzSource)
+        triples.select("line").write.format("bgz").mode("overwrite").save(path)
+        return
     triples.select("line").write.mode("overwrite").option("compression", compression).text(path)
