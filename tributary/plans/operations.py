@@ -43,9 +43,9 @@ def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared.select("config", "subjects", F.round("mean", 6).alias("mean"), F.round("recall", 6).alias("recall"))
 
 
-@query(f"""with asked as ({_sql_recommend(("Brand#3", "t#2-HIGH"), True, False)}), both as ({_sql_recommend(("Brand#3", "t#2-HIGH"), True, True)})
+@query(f"""with asked as ({_sql_recommend(("Brand#3", "t#2-HIGH"), True, False)}), typed as ({_sql_recommend(("Brand#3", "t#2-HIGH"), True, True)})
     select 'recommender' as endpoint, count(*) as rows, round(sum(probability), 6) as total from asked union all select 'lean-recommender', count(*), round(sum(probability), 6) from asked
-    union all select 'propType', count(*), round(sum(probability), 6) from both""")
+    union all select 'propType', count(*), round(sum(probability), 6) from typed""")
 def serve_routes(spark, sf_dir):
     """A single request at each endpoint that recommends, as the router calls it."""
     engine, request = _engine(spark, sf_dir), {"lang": "de", "types": ["2-HIGH"], "properties": ["Brand#3"]}
