@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tests.llm.test_operators import TEXTS
-from tributary.llm import lexical, mixing, ranks, registry, resample
+from tributary.llm import lexical, mixing, ranks, registry, resample, secrets
 
 SF = "/root/testdata/sf0.001"
 GOALS = [None, "", "The quick brown fox", "one two three", "é😀 same line"]
@@ -162,3 +163,15 @@ def test_search_stops_before_all_groups(monkeypatch):
         best = np.sort(every)[-10:]
         assert np.sort(score)[-10:].tolist() == best.tolist() and set(np.flatnonzero(every >= best[0])) <= set(doc.tolist()) and (every[doc] == score).all()
     assert completed and max(completed) < 400
+
+
+@pytest.mark.parametrize("line", ["secret_{0} = name_{0}", "{{ key_{0} = other_{0}"])
+def test_names_of_long_texts_take_linear_time(line):
+    def seconds(n):
+        text = "\n".join(line.format(i) for i in range(n)) + '\npassword = "qX7vB2nM9kLw4"'
+        began = time.perf_counter()
+        assert [text[a:b] for a, b in secrets.literals(text)][-1] == "qX7vB2nM9kLw4"
+        return time.perf_counter() - began
+
+    seconds(500)
+    assert seconds(16_000) < 12 * seconds(4000)

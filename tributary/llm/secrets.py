@@ -86,7 +86,7 @@ def variety(value: str) -> float:
 
 
 class Scopes:
-    """The scopes of a text; 0 is the text itself."""
+    """The scopes of a text; 0 is the text itself. A scope's table is the nearest one around it."""
 
     def __init__(self, text: str):
         self.parent, self.table, self.begins, self.at = [-1], [""], [0], [0]
@@ -96,7 +96,7 @@ class Scopes:
 
         def enter(where: int, table: str, end: int | None) -> None:
             self.parent.append(open_[-1][0])
-            self.table.append(table)
+            self.table.append(table or self.table[open_[-1][0]])
             open_.append((len(self.parent) - 1, end))
             self.mark(where, open_[-1][0])
 
@@ -136,11 +136,13 @@ def literals(text: str) -> list[tuple[int, int]]:
         return []
     scopes = Scopes(text)
     # what each scope's names were set to, in order: a literal's spans, (a name that is set later, the spans if it never is), or None
-    states: dict[tuple[int, str], list] = {}
+    # by name and scope, so that a name that isn't set takes one look, however deep it stands
+    states: dict[str, dict[int, list]] = {}
     given: list[tuple[str, int, tuple]] = []
 
     def looked_up(scope: int, name: str) -> list:
-        return next((states[s, name] for s in scopes.outwards(scope) if (s, name) in states), [])
+        own = states.get(name)
+        return next((own[s] for s in scopes.outwards(scope) if s in own), []) if own else []
 
     for name, spans, sign, sure in _pairs(text):
         span, scope = spans[0], scopes.of(spans[0][0])
@@ -152,9 +154,9 @@ def literals(text: str) -> list[tuple[int, int]]:
             if state is None or state[1:] == (None,):
                 state = (state[0], own) if state else own
             if known or own or sign != ":" and sure is False:
-                states.setdefault((scope, name), []).append(state)
+                states.setdefault(name, {}).setdefault(scope, []).append(state)
         else:
-            states.setdefault((scope, name), []).append(state)
+            states.setdefault(name, {}).setdefault(scope, []).append(state)
         if state:
             given.append((name, scope, state))
 
@@ -165,7 +167,7 @@ def literals(text: str) -> list[tuple[int, int]]:
             name = asked.pop()
             if name not in met:
                 met.add(name)
-                for state in looked_up(scope, name) or [x for (_, n), own in states.items() if n == name for x in own]:
+                for state in looked_up(scope, name) or (x for own in states.get(name, {}).values() for x in own):
                     if state and not isinstance(state[0], str):
                         return state
                     if state:
@@ -174,8 +176,7 @@ def literals(text: str) -> list[tuple[int, int]]:
 
     score: dict[tuple[int, int], float] = {}
     for name, scope, state in given:
-        table = next((scopes.table[s] for s in scopes.outwards(scope) if scopes.table[s]), "")
-        weight = max(sensitivity(name), 0.9 * sensitivity(table))
+        weight = max(sensitivity(name), 0.9 * sensitivity(scopes.table[scope]))
         if weight and isinstance(state[0], str):
             state = resolved(scope, state[0]) or state[1]
         if weight and state:
