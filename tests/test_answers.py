@@ -17,6 +17,7 @@ from tributary.plans import views
 from tributary.session import clean, file_state, materialize, shared_dir
 from tributary.sources import bgz, entities
 from tributary.sources.triples import read_lines, read_ntriples, write_lines
+from tributary.streaming import insert
 
 
 def plan(df):
@@ -279,6 +280,33 @@ def test_state_of_files(spark, tmp_path):
     assert before != file_state(spark, f"{tmp_path}/t")
 
 
+def test_stream_is_read_by_its_last_base(spark, tmp_path):
+    path, write = f"{tmp_path}/model", insert.writer(f"{tmp_path}/model", fold=3)
+    rows = [(i, [f"i{i % 3}", f"i{i % 2}"]) for i in range(20)]
+
+    def batch(n):
+        return spark.createDataFrame(rows[2 * n : 2 * n + 2], "subject long, items array<string>")
+
+    def read():
+        return {(tuple(r["items"]), r["support"]) for r in insert.read(spark, path).patterns.collect()}
+
+    def want(n):
+        return {(tuple(r["items"]), r["support"]) for r in Model.build(spark.createDataFrame([(i, sorted(set(x))) for i, x in rows[: 2 * n]], "subject long, items array<string>")).patterns.collect()}
+
+    most = 0
+    for n in range(10):
+        write(batch(n), n)
+        most = max(most, len(insert.parts(spark, path)))
+        if n in (2, 5, 6, 8):
+            assert read() == want(n + 1), n
+            write(batch(n), n)  # replayed, a fold too
+            assert read() == want(n + 1), n
+    assert read() == want(10) and most <= 3
+    assert [p.rpartition("/")[2] for p in insert.parts(spark, path)] == ["base=8", "batch=9"]
+    insert.compact(spark, path, f"{tmp_path}/one")
+    assert {(tuple(r["items"]), r["support"]) for r in insert.read(spark, f"{tmp_path}/one").patterns.collect()} == want(10)
+
+
 def test_functions_of_sql(spark, written):
     assert sql.register(written, "small") == ["small_recommend", "small_recommend_with_types", "small_support"]
     for names in REQUESTS:

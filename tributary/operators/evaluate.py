@@ -96,6 +96,7 @@ def _sets(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     requests = requests.where(F.size("s") > 0)
     if "path" not in requests.columns:
         requests = requests.withColumn("path", F.col("s"))
+    requests = materialize(requests, "asked")  # read for the sets, and again to compare
     sets = requests.groupBy("s").agg(F.min("path").alias("path"))
     sets = materialize(sets.select(F.monotonically_increasing_id().alias("qid"), "s", "path"), "sets")
     return requests.drop("path").join(sets.select("qid", "s"), "s"), sets

@@ -82,6 +82,13 @@ def file_state(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted(out))
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names right below a path; none where it isn't there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in store.listStatus(place)) if store.exists(place) else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes what this package wrote below a path."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
