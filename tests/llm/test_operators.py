@@ -149,10 +149,10 @@ def test_near_duplicates(spark, docs, rows, sample):
 
 def test_links_near_the_threshold(spark):
     """Groups of near copies, most pairs of which lie just below the threshold: each link joins or parts components."""
-    n_groups, n, length, changed = 36, 300, 400, 25
+    rng = np.random.default_rng(1)
+    n_groups, n, length, changed = 12, 300, 400, 25
     texts, want = [], []
     for g in range(n_groups):
-        rng = np.random.default_rng(1 + g)
         words = np.tile(np.arange(length), (n, 1))
         for i in range(n):
             words[i, rng.choice(length, changed, replace=False)] = length + i * changed + np.arange(changed)
