@@ -398,3 +398,27 @@ def test_command_line(spark, nt_file, tmp_path, capsys):
     cli.main(["filter-dataset", "for-model", nt_file], spark)
     cli.main(["evaluation", f"{nt_file}.model.typed", nt_file, "--typed", "--preset", "direct"], spark)
     assert spark.read.option("header", True).csv(nt_file.removesuffix(".nt") + "-takeOneButType-setSize-stats").count() > 1
+
+
+def test_exports_are_bounded_files(spark, tmp_path):
+    values = [(f"Q{n}", json.dumps({"claims": [{"m": ["value", n, "string", '<a & "b">'], "q": [], "refs": []}]})) for n in range(25)]
+    entities.write_xml(spark.createDataFrame(values, "title string, value string").coalesce(1), f"{tmp_path}/xml", 10)
+    assert len(list((tmp_path / "xml").glob("part-*"))) == 3
+    rows = [tuple(r) for r in entities.to_rows(entities.read_xml(spark, f"{tmp_path}/xml")).collect()]
+    assert sorted(rows) == sorted((f"Q{n}", "claim", n, "string", '<a & "b">') for n in range(25))
+
+
+def test_a_text_is_parsed_once(spark):
+    lines = spark.createDataFrame([("{}",)], "value string")
+    text = entities.to_rows(entities.from_json(lines))._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("from_json") == 1
+
+
+def test_claims_of_rows_in_one_shuffle(spark):
+    rows = [(n, t, typ, p, "string", f"{n}") for n, (t, typ, p) in enumerate([("Q1", "qualifier", "9"), ("Q1", "claim", "1"), ("Q2", "qualifier", "3"), ("Q1", "reference", "2"), ("Q1", "qualifier", "4"), ("Q1", "claim", "1"), ("Q1", "claim", "x"), ("Q1", "qualifier", "5")])]
+    got = entities.from_rows(spark.createDataFrame(rows, "line_no long, title string, typ string, property_id string, datatype string, value string"))
+    snaks = lambda xs: [(x.property_id, x.value) for x in xs]
+    assert [(r.title, [((c.mainsnak.property_id, c.mainsnak.value), snaks(c.qualifiers), snaks(c["references"])) for c in r.claims]) for r in got.collect()] == [
+        ("Q1", [((1, "1"), [(4, "4")], [(2, "3")]), ((1, "5"), [(5, "7")], [])])]
+    text = got._jdf.queryExecution().sparkPlan().toString()
+    assert text.count("Aggregate") == 2 and "Window" not in text

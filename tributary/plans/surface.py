@@ -130,7 +130,8 @@ def entities_json(spark, sf_dir):
     """Orders as lines of a JSON dump."""
     path = _folder(spark, "dump")
     dump = views.dump_texts(spark, sf_dir, listed=False)
-    dump.select(F.concat(F.col("value"), F.lit(",")).alias("value")).write.text(path)
+    lines = dump.select(F.concat(F.col("value"), F.lit(",")).alias("value"))
+    lines.write.option("compression", "gzip").option("maxRecordsPerFile", entities.FILE_ROWS).text(path)
     return _counted(entities.read_json(spark, path))
 
 
@@ -138,11 +139,7 @@ def entities_json(spark, sf_dir):
 def entities_xml(spark, sf_dir):
     """Orders as pages of a MediaWiki export, with claims as lists."""
     path = _folder(spark, "dump")
-    text = F.replace(F.replace(F.replace("value", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
-    page = F.concat(F.lit("<page><title>"), "title", F.lit("</title><revision><model>wikibase-item</model><text>"), text, F.lit("</text></revision></page>"))
-    pages = views.dump_texts(spark, sf_dir, listed=True).select(page.alias("page"), F.pmod(F.xxhash64("title"), F.lit(64)).alias("file"))
-    whole = F.concat(F.lit("<mediawiki>\n"), F.array_join(F.collect_list("page"), "\n"), F.lit("\n</mediawiki>"))
-    pages.groupBy("file").agg(whole.alias("value")).write.partitionBy("file").text(path)  # an export a folder
+    entities.write_xml(views.dump_texts(spark, sf_dir, listed=True), path)
     return _counted(entities.read_xml(spark, path))
 
 
@@ -150,7 +147,7 @@ def entities_xml(spark, sf_dir):
 def entities_csv(spark, sf_dir):
     """The dump's entities written as CSV and read back."""
     path = _folder(spark, "csv")
-    entities.write_csv(entities.from_json(views.dump_texts(spark, sf_dir, listed=False)), path)
+    entities.write_csv(entities.from_json(views.dump_texts(spark, sf_dir, listed=False)), path, compression="gzip")
     return _counted(entities.read_csv(spark, path))
 
 

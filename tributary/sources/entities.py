@@ -6,9 +6,11 @@ datatype string, value string).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Entities of a written file at most; a file of an export, or a compressed one, is read by one task.
+FILE_ROWS = 1 << 14
 SNAK = "struct<property_id: int, datatype: string, value: string>"
 CLAIM = f"struct<mainsnak: {SNAK}, qualifiers: array<{SNAK}>, references: array<{SNAK}>>"
 #: Data types whose value is plain text, and those whose value is an entity.
@@ -29,18 +31,19 @@ def from_rows(rows: DataFrame) -> DataFrame:
     Rows of another typ, without a title or with a property that is no number are left out.
     """
     rows = rows.withColumn("property_id", F.col("property_id").try_cast("int")).where("typ in ('claim', 'qualifier', 'reference') and title is not null and property_id is not null")
-    w = Window.partitionBy("title").orderBy("line_no")
-    rows = rows.withColumn("claim_no", F.sum((F.col("typ") == "claim").cast("int")).over(w)).where("claim_no > 0")
-    snak = F.struct("property_id", "datatype", "value")
+    kind = F.when(F.col("typ") == "claim", 0).when(F.col("typ") == "qualifier", 1).otherwise(2)
+    line = F.struct("line_no", kind.alias("kind"), F.struct("property_id", "datatype", "value").alias("snak"))
+    # one shuffle; a claim's lines are those up to the next claim
+    whole = rows.groupBy("title").agg(F.sort_array(F.collect_list(line)).alias("lines"), F.count_if(F.col("typ") == "claim").alias("n")).where("n > 0")
+    whole = whole.select("title", "lines", F.array_compact(F.transform("lines", lambda x, i: F.when(x["kind"] == 0, i))).alias("starts"))
+    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("lines")))
+    whole = whole.select("title", F.zip_with("starts", ends, lambda start, end: F.slice("lines", start + 1, end - start)).alias("runs"))
 
-    def own(typ: str) -> Column:
-        found = F.array_sort(F.collect_list(F.when(F.col("typ") == typ, F.struct("line_no", snak.alias("snak")))))
-        return F.transform(found, lambda x: x["snak"])
+    def own(run: Column, kind: int) -> Column:
+        return F.transform(F.filter(run, lambda x: x["kind"] == kind), lambda x: x["snak"])
 
-    claims = rows.groupBy("title", "claim_no").agg(own("claim").alias("c"), own("qualifier").alias("q"), own("reference").alias("r"))
-    claim = F.struct("claim_no", F.struct(F.get("c", F.lit(0)).alias("mainsnak"), F.col("q").alias("qualifiers"), F.col("r").alias("references")).alias("claim"))
-    grouped = claims.groupBy("title").agg(F.array_sort(F.collect_list(claim)).alias("claims"))
-    return grouped.select("title", F.transform("claims", lambda x: x["claim"]).alias("claims"))
+    claims = F.transform("runs", lambda run: F.struct(F.get(run, F.lit(0))["snak"].alias("mainsnak"), own(run, 1).alias("qualifiers"), own(run, 2).alias("references")))
+    return whole.select("title", claims.alias("claims"))
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
@@ -55,13 +58,15 @@ def to_rows(entities: DataFrame) -> DataFrame:
     def tagged(snaks: Column, typ: str) -> Column:
         return F.transform(snaks, lambda s: F.struct(F.lit(typ).alias("typ"), s.alias("snak")))
 
-    claims = entities.select("title", F.explode("claims").alias("claim"))
+    # explode's own filters would make its arrays anew; the outer form has none
+    claims = entities.select("title", F.posexplode_outer("claims").alias("n", "claim")).where("n is not null")
     every = F.concat(tagged(F.array("claim.mainsnak"), "claim"), tagged(F.col("claim.qualifiers"), "qualifier"), tagged(F.col("claim.references"), "reference"))
-    return claims.select("title", F.explode(every).alias("row")).select("title", "row.typ", "row.snak.property_id", "row.snak.datatype", "row.snak.value")
+    rows = claims.select("title", F.posexplode_outer(every).alias("n", "row")).where("n is not null")
+    return rows.select("title", "row.typ", "row.snak.property_id", "row.snak.datatype", "row.snak.value")
 
 
-def write_csv(entities: DataFrame, path: str, delimiter: str = ",") -> None:
-    to_rows(entities).write.mode("overwrite").option("sep", delimiter).option("escape", '"').csv(path)
+def write_csv(entities: DataFrame, path: str, delimiter: str = ",", compression: str = "none") -> None:
+    to_rows(entities).write.mode("overwrite").option("sep", delimiter).option("escape", '"').option("compression", compression).csv(path)
 
 
 def _number(prefixed: Column) -> Column:
@@ -69,7 +74,7 @@ def _number(prefixed: Column) -> Column:
 
 
 def _snak(raw: Column) -> Column:
-    """The decoded snak; null for one that cannot be read."""
+    """The decoded snak, without its property or its value where that cannot be read."""
     value, kind = raw["datavalue"]["value"], raw["datatype"]
 
     def at(path: str) -> Column:
@@ -79,14 +84,18 @@ def _snak(raw: Column) -> Column:
             .when(kind == "globe-coordinate", F.concat(F.lit("N"), at("latitude"), F.lit(", E"), at("longitude")))
             .when(kind == "monolingualtext", F.concat(at("text"), F.lit(" ("), at("language"), F.lit(")"))))
     known = raw["snaktype"] == "value"
-    out = F.struct(_number(raw["property"]).alias("property_id"), F.when(known, kind).otherwise("unknown").alias("datatype"), F.when(known, text).otherwise(raw["snaktype"]).alias("value"))
-    return F.when(out["property_id"].isNotNull() & out["value"].isNotNull(), out)
+    return F.struct(_number(raw["property"]).alias("property_id"), F.when(known, kind).otherwise("unknown").alias("datatype"), F.when(known, text).otherwise(raw["snaktype"]).alias("value"))
+
+
+def _whole(snak: Column) -> Column:
+    """Whether a decoded snak could be read. It is asked of decoded arrays: a condition on the decoding itself decodes again."""
+    return snak["property_id"].isNotNull() & snak["value"].isNotNull()
 
 
 def _all(by_property: Column) -> Column:
     """Decoded snaks of a map by property, in the order of its keys."""
     lists = F.transform(F.array_sort(F.map_keys(by_property)), lambda k: F.element_at(by_property, k))
-    return F.filter(F.transform(F.flatten(lists), _snak), lambda s: s.isNotNull())
+    return F.filter(F.transform(F.flatten(lists), _snak), _whole)
 
 
 def _claims(by_property: Column) -> Column:
@@ -99,12 +108,12 @@ def _claims(by_property: Column) -> Column:
         references = F.flatten(F.transform(s["references"], lambda r: _all(r["snaks"])))
         return F.struct(_snak(s["mainsnak"]).alias("mainsnak"), F.coalesce(_all(s["qualifiers"]), empty).alias("qualifiers"), F.coalesce(references, empty).alias("references"))
 
-    claims = F.filter(F.transform(statements, claim), lambda c: c["mainsnak"].isNotNull())
+    claims = F.filter(F.transform(statements, claim), lambda c: _whole(c["mainsnak"]))
     return F.coalesce(claims, F.array().cast(f"array<{CLAIM}>"))
 
 
 def _listed_snak(raw: Column) -> Column:
-    """The decoded snak of a list; null for one that cannot be read, such as of datatype `bad`."""
+    """The decoded snak of a list, without its property or its value where that cannot be read, such as of datatype `bad`."""
     kind, value = F.get(raw, F.lit(2)), F.get(raw, F.lit(3))
 
     def at(path: str) -> Column:
@@ -115,22 +124,21 @@ def _listed_snak(raw: Column) -> Column:
             .when(kind == "globecoordinate", F.concat(F.lit("N"), at("latitude"), F.lit(", E"), at("longitude"))))
     snaktype = F.get(raw, F.lit(0))
     known, named = snaktype == "value", F.when(kind == "wikibase-entityid", "wikibase-item").otherwise(kind)
-    out = F.struct(F.get(raw, F.lit(1)).try_cast("int").alias("property_id"), F.when(known, named).otherwise("unknown").alias("datatype"), F.when(known, text).otherwise(snaktype).alias("value"))
-    return F.when(out["property_id"].isNotNull() & out["value"].isNotNull(), out)
+    return F.struct(F.get(raw, F.lit(1)).try_cast("int").alias("property_id"), F.when(known, named).otherwise("unknown").alias("datatype"), F.when(known, text).otherwise(snaktype).alias("value"))
 
 
 def _listed_claims(statements: Column) -> Column:
     """Claims of a list of {m, q, refs}."""
     def snaks(raw: Column) -> Column:
-        return F.coalesce(F.filter(F.transform(raw, _listed_snak), lambda s: s.isNotNull()), F.array().cast(f"array<{SNAK}>"))
+        return F.coalesce(F.filter(F.transform(raw, _listed_snak), _whole), F.array().cast(f"array<{SNAK}>"))
 
     claims = F.transform(statements, lambda s: F.struct(_listed_snak(s["m"]).alias("mainsnak"), snaks(s["q"]).alias("qualifiers"), snaks(F.flatten(s["refs"])).alias("references")))
-    return F.filter(claims, lambda c: c["mainsnak"].isNotNull())
+    return F.filter(claims, lambda c: _whole(c["mainsnak"]))
 
 
 def from_json(lines: DataFrame) -> DataFrame:
     """Entities from a column `value` of JSON texts; only those of type item."""
-    parsed = lines.select(F.from_json("value", _ENTITY).alias("e")).where("e.type = 'item'").select("e.id", "e.claims")
+    parsed = lines.select(F.inline_outer(F.array(F.from_json("value", _ENTITY)))).where("type = 'item'")  # parsed once, a row of its own
     return parsed.select(F.col("id").alias("title"), _claims(F.col("claims")).alias("claims"))
 
 
@@ -159,6 +167,12 @@ def read_xml(spark: SparkSession, path: str) -> DataFrame:
     return from_pages(pages.where("revision.model = 'wikibase-item'").select("title", F.col("revision.text._VALUE").alias("value")))
 
 
+def write_xml(pages: DataFrame, path: str, rows: int = FILE_ROWS) -> None:
+    """(title, value) as MediaWiki exports of up to so many pages, each a whole file, that read_xml reads."""
+    page = pages.select("title", F.struct(F.lit("wikibase-item").alias("model"), F.col("value").alias("text")).alias("revision"))
+    page.write.mode("overwrite").format("xml").option("rootTag", "mediawiki").option("rowTag", "page").option("compression", "gzip").option("maxRecordsPerFile", rows).save(path)
+
+
 def read_pairs(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
     """The rules' CSV: pid1, qid1, pid2, count, probability, context; a qid1 that is no number is 0."""
     schema = "pid1 int, qid1 string, pid2 int, count long, probability double, context string"
