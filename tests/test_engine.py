@@ -422,3 +422,12 @@ def test_claims_of_rows_in_one_shuffle(spark):
         ("Q1", [((1, "1"), [(4, "4")], [(2, "3")]), ((1, "5"), [(5, "7")], [])])]
     text = got._jdf.queryExecution().sparkPlan().toString()
     assert text.count("Aggregate") == 2 and "Window" not in text
+
+
+def test_mining_makes_an_entitys_arrays_once(spark):
+    """No filter before a generator repeats the arrays' making."""
+    snak = "struct<property_id: int, datatype: string, value: string>"
+    frame = spark.createDataFrame([("Q1", [((1, "string", "x"), [], [])])], f"title string, claims array<struct<mainsnak: {snak}, qualifiers: array<{snak}>, `references`: array<{snak}>>>")
+    text = rules.compute(frame)._jdf.queryExecution().optimizedPlan().toString()
+    light = text[: text.index("RepartitionByExpression")] if "RepartitionByExpression" in text else text.split("Repartition")[0]
+    assert not [line for line in light.splitlines() if "Filter" in line and ("array_remove" in line or "array_distinct" in line)]

@@ -74,7 +74,7 @@ def command_build_tree(spark, sf_dir):
 def command_mine_rules(spark, sf_dir):
     """The rules that the command mines from a CSV of entities."""
     path = _folder(spark, "mine")
-    entities.write_csv(views.entities(spark, sf_dir), f"{path}/csv")
+    entities.write_csv(views.entities(spark, sf_dir), f"{path}/csv", compression="gzip")
     cli.main(["mine-rules", f"{path}/csv", f"{path}/pairs"], spark)
     return entities.read_pairs(spark, f"{path}/pairs")
 
