@@ -424,6 +424,29 @@ def test_claims_of_rows_in_one_shuffle(spark):
     assert text.count("Aggregate") == 2 and "Window" not in text
 
 
+def test_lines_of_files_in_order(spark, tmp_path):
+    """Spark packs large files into tasks before small ones; line numbers go by path all the same."""
+    sizes = {"a": 3, "b": 4000, "c": 1, "d": 9000, "e": 50}
+    for name, n in sizes.items():
+        (tmp_path / f"part-{name}.nt").write_text("".join(f"<{name}> <{i}> <o> .\n" for i in range(n)))
+    got = [tuple(r) for r in read_ntriples(spark, str(tmp_path)).orderBy("line_no").select("s", "p").collect()]
+    assert got == [(f"<{name}>", f"<{i}>") for name, n in sizes.items() for i in range(n)]
+
+
+def test_ordered_files_have_no_single_task(spark, tmp_path):
+    rows = spark.range(0, 20_000, 1, 8).selectExpr("id as line_no", "concat('<s', id div 3, '> <p> <o', id, '> .') as line")
+    path = f"{tmp_path}/o.nt"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        rows.repartition(8).orderBy("line_no").select("line").write.option("compression", "gzip").text(path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    lines = read_ntriples(spark, path)
+    assert lines.rdd.getNumPartitions() > 1
+    assert [r.o for r in lines.orderBy("line_no").collect()] == [f"<o{n}>" for n in range(20_000)]
+    assert to_transactions(lines).count() == 6667
+
+
 def test_mining_makes_an_entitys_arrays_once(spark):
     """No filter before a generator repeats the arrays' making."""
     snak = "struct<property_id: int, datatype: string, value: string>"

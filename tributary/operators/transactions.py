@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.functions import ntriples as nt
+from tributary.session import materialize
 
 #: Predicates whose object is a type, and the mark of a type among items.
 TYPE_PREDICATES = (
@@ -51,6 +52,7 @@ def to_transactions(triples: DataFrame, typed: bool = False, first_n: int | None
     """
     rows = triples.select("line_no", F.regexp_replace("s", "^<|>$", "").alias("s"), nt.iri(F.col("p")).alias("p"), nt.nth(nt.words(F.col("o")), 0).alias("o"))
     if contiguous:
+        rows = materialize(rows, "lines")  # parsed once: the ends of stretches, items and patterns all read it
         rows = blocks(rows, first_n=first_n)
         keys = ["block", "s"]
     else:

@@ -63,7 +63,7 @@ _RUNS = f"{ORDER_BLOCKS}, r as (select block, max(case when k = 'item' then 1 wh
 def command_build_tree(spark, sf_dir):
     """A typed model that the command makes of a file of lines."""
     path = _folder(spark, "command")
-    t = views.order_triples(spark, sf_dir).orderBy("line_no").coalesce(1)
+    t = views.order_triples(spark, sf_dir).orderBy("line_no")  # the files' names are in the order of their lines
     write_lines(t.select(F.concat_ws(" ", "s", "p", "o", F.lit(".")).alias("line")), f"{path}/orders.nt")
     cli.main(["build-tree-typed", f"{path}/orders.nt"], spark)
     items = Model.load(spark, f"{path}/orders.nt.model.typed").items

@@ -14,6 +14,9 @@ from tributary.functions import ntriples as nt
 from tributary.session import shared_dir
 from tributary.sources.bgz import BgzSource
 
+#: Parts of files that have numbers of their own, about, and line numbers of one.
+PARTS, PART_LINES = 1 << 28, 1 << 33
+
 
 def _copied(path: str) -> str:
     """Standard input as a file."""
@@ -36,7 +39,19 @@ def read_lines(spark: SparkSession, path: str, block: bool = False) -> DataFrame
         spark.dataSource.register(BgzSource)
         return spark.read.format("bgz").load(path)
     lines = spark.read.text(path)
-    return lines.select(F.monotonically_increasing_id().alias("line_no"), F.regexp_replace("value", "\r$", "").alias("line"))
+    line, row = F.regexp_replace("value", "\r$", "").alias("line"), F.monotonically_increasing_id()
+    files = sorted(spark.read.format("binaryFile").load(path).select("_metadata.file_path", "_metadata.file_size").distinct().collect())
+    if len(files) <= 1:  # Spark reads the parts of one file in their order
+        return lines.select(row.alias("line_no"), line)
+    # Spark packs files into tasks by size: a part's number is of its file's place and where it begins
+    step, begins, number = sum(f["file_size"] for f in files) // PARTS + 1, [], 0
+    for f in files:
+        begins.append((f["file_path"], number))
+        number += f["file_size"] // step + 1
+    own = lines.select(F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), row.alias("__row"), line)
+    places = spark.createDataFrame(begins, "__file string, __number long")
+    part = F.col("__number") + F.expr(f"__start div {step}")
+    return own.join(F.broadcast(places), "__file").select((part * PART_LINES + F.col("__row") % PART_LINES).alias("line_no"), "line")
 
 
 def parse(lines: DataFrame) -> DataFrame:
