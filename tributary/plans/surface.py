@@ -108,10 +108,10 @@ def frequency_file(spark, sf_dir):
 
 @query(f"with {LABELS} select * from g")
 def glossary_file(spark, sf_dir):
-    """Labels as text in one file, the glossary made of it written and read."""
+    """Labels as text in files in their order, the glossary made of them written and read."""
     path = _folder(spark, "glossary")
     lines = views.label_triples(spark, sf_dir).orderBy("line_no").select(F.concat_ws(" ", "s", "p", "o", F.lit(".")).alias("value"))
-    lines.coalesce(1).write.text(f"{path}/nt")
+    lines.write.text(f"{path}/nt")
     glossary.build(read_ntriples(spark, f"{path}/nt")).write.parquet(f"{path}/built")
     return spark.read.parquet(f"{path}/built")
 
@@ -395,13 +395,13 @@ def render_list(spark, sf_dir):
 
 @query(f"with {PAIRS}, {ITEMS}, {SETS} select list_aggregate(s, 'string_agg', ',') as items, count(*) as support from sets group by s")
 def stream_insert(spark, sf_dir):
-    """The orders as a stream of two files."""
+    """The orders as a stream of two batches, each of what was written since the one before."""
     path = _folder(spark, "stream")
     tx = views.transactions(spark, sf_dir)
     for part in range(2):
-        tx.where(F.col("subject") % 2 == part).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(tx.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    insert.start(stream, f"{path}/model", f"{path}/checkpoint").awaitTermination()
+        tx.where(F.coalesce(F.abs(F.col("subject") % 2), F.lit(0)) == part).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(tx.schema).parquet(f"{path}/in")
+        insert.start(stream, f"{path}/model", f"{path}/checkpoint").awaitTermination()
     return insert.read(spark, f"{path}/model").patterns.select(F.array_join("items", ",").alias("items"), "support")
 
 
