@@ -31,7 +31,7 @@ def read_lines(spark: SparkSession, path: str, block: bool = False) -> DataFrame
     """line_no and line. Plain, .gz and .bz2 go through Spark's text reader, .bgz (a file, or a folder with block=True) by blocks.
 
     The path - is standard input, which is copied to the shared folder first.
-    line_no orders the lines of one file; files are ordered by path, and their parts by where they begin.
+    line_no orders the lines of one file; files are ordered by path, and their parts by where they begin. The driver gets a row a file.
     """
     if path == "-":
         path = _copied(f"{shared_dir(spark)}/stdin/{uuid.uuid4().hex}.nt")
