@@ -454,3 +454,10 @@ def test_mining_makes_an_entitys_arrays_once(spark):
     text = rules.compute(frame)._jdf.queryExecution().optimizedPlan().toString()
     light = text[: text.index("RepartitionByExpression")] if "RepartitionByExpression" in text else text.split("Repartition")[0]
     assert not [line for line in light.splitlines() if "Filter" in line and ("array_remove" in line or "array_distinct" in line)]
+
+
+def test_a_models_transactions_are_read_once(spark):
+    tx = spark.createDataFrame([(1, ["a", "b"]), (2, ["b"])], "subject long, items array<string>")
+    built = Model.build(tx)
+    assert not any("ExistingRDD" in df._jdf.queryExecution().sparkPlan().toString() for df in (built.items, built.patterns))
+    assert sorted((r.items, r.support) for r in built.patterns.collect()) == [([0], 1), ([0, 1], 1)]

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tributary.operators.transactions import TYPE_MARK, TYPE_PREDICATES
-from tributary.session import exists
+from tributary.session import exists, materialize
 
 #: Always in the dictionary of a model read from triples.
 ALWAYS = ("root", *TYPE_PREDICATES)
@@ -114,7 +114,7 @@ class Model:
 
         always, and known (iri): entries that are there even if no pattern has them.
         """
-        merged = named.groupBy("items").agg(F.sum("support").alias("support"))
+        merged = materialize(named.groupBy("items").agg(F.sum("support").alias("support")), "merged")  # entries and patterns both read it
         entries = merged.select(F.explode("items").alias("iri"), "support")
         if always:
             entries = entries.unionByName(merged.sparkSession.createDataFrame([(a, 0) for a in always], "iri string, support long"))
