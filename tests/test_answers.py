@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tributary.operators import backoff, evaluate, model as models, prefixes, recommend, rules, serve, sql, workflow
 from tributary.operators.model import Model
+from tributary.operators.transactions import coded, distinct_sets, from_pairs, sets_of_bits
 from tributary.plans import views
 from tributary.session import clean, file_state, materialize, shared_dir
 from tributary.sources import bgz, entities
@@ -333,3 +334,32 @@ def test_clean_up(spark, monkeypatch):
     clean(spark)
     assert not session.exists(spark, shared_dir(spark))
     assert recommend.one(views.model(spark, sf), ["Brand#1"]).count() > 5  # built anew
+
+
+def set_rows(df):
+    return sorted((str(r.subject), r["items"], r.times) for r in df.collect())
+
+
+@pytest.mark.parametrize("n_names", [0, 5, 63, 64, 150])
+def test_sets_of_bits(spark, n_names):
+    rng, names = random.Random(n_names), sorted(f"i{n}" for n in range(n_names))
+    rows = [(rng.randint(0, 80), rng.choice(names[-3:] + names[:2] + [None])) for _ in range(300)] + [(900, None), (None, None), (None, names[0] if names else None)] + [(901, n) for n in names]
+    pairs = spark.createDataFrame(rows, "subject long, item string")
+    got = sets_of_bits(pairs.select("subject", *coded("item", names)), names, 300)
+    assert set_rows(got) == set_rows(distinct_sets(from_pairs(pairs))) and sum(r.times for r in got.collect()) == len({r[0] for r in rows})
+    assert not re.search("ObjectHashAggregate|SortAggregate", got._jdf.queryExecution().sparkPlan().toString())  # both sort what they group
+    assert set_rows(sets_of_bits(pairs.where("false").select("subject", *coded("item", names)), names, 0)) == []
+
+
+@pytest.mark.parametrize("n_brands", [7, 70, 300])
+def test_sets_of_tables(spark, tmp_path, n_brands):
+    """With more brands than the words hold, they are collected; orders without lines and lines without a part."""
+    part = [(n, f"Brand#{n}" if n % 5 else None) for n in range(n_brands)]
+    lines = [(n % 50, n * 7 % (n_brands + 2)) for n in range(200)] + [(777, None)]
+    spark.createDataFrame(part, "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(n, f"{n % 3}-X" if n % 4 else None) for n in range(60)], "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    for typed in (False, True):
+        wanted = set_rows(distinct_sets(views.transactions(spark, str(tmp_path), typed)))
+        assert set_rows(views.sets(spark, str(tmp_path), typed)) == wanted
+        assert sum(r.support for r in views.model(spark, str(tmp_path), typed).patterns.collect()) == sum(w[2] for w in wanted)

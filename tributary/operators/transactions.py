@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.functions import ntriples as nt
@@ -69,3 +69,41 @@ def to_transactions(triples: DataFrame, typed: bool = False, first_n: int | None
 def from_pairs(pairs: DataFrame) -> DataFrame:
     """subject and items from (subject, item) rows, which may repeat."""
     return pairs.groupBy("subject").agg(F.collect_set("item").alias("items"))
+
+
+#: Items in a word of bits, and words of a set at most.
+WORD, MOST_WORDS = 63, 4
+#: Rows of pairs a task, about.
+PAIR_ROWS = 1 << 18
+
+
+def coded(item: Column | str, names: list[str]) -> list[Column]:
+    """word and bit of an item by its place among the names; nulls for one that is not there."""
+    at = F.array_position(F.array(*map(F.lit, names)).cast("array<string>"), F.col(item) if isinstance(item, str) else item) - 1
+    at = F.when(at >= 0, at)
+    return [F.floor(at / WORD).cast("int").alias("word"), F.element_at(F.array(*(F.lit(1 << n) for n in range(WORD))), (at % WORD + 1).cast("int")).alias("bit")]
+
+
+def sets_of_bits(pairs: DataFrame, names: list[str], n_pairs: int) -> DataFrame:
+    """(subject, items, times): the distinct sets, items sorted, each with its smallest subject and how many subjects have it.
+
+    From (subject, word, bit) rows, which may repeat, of sorted names, WORD * MOST_WORDS at most. A subject whose rows are all
+    null has the empty set. Words are summed up in hash tables; sets of strings would be sorted. Parts follow the number of
+    pairs, which also are shuffled before they are looked at: a scan's task holds many subjects, but few lines of each.
+    """
+    words = [f"w{n}" for n in range(max(1, -(-len(names) // WORD)))]
+    dealt = pairs.repartition(max(8, -(-n_pairs // PAIR_ROWS)), "subject")
+    own = dealt.groupBy("subject").agg(*(F.coalesce(F.bit_or(F.when(F.col("word") == n, F.col("bit"))), F.lit(0).cast("long")).alias(w) for n, w in enumerate(words)))
+    sets = own.groupBy(*words).agg(F.min("subject").alias("subject"), F.count("*").alias("times"))
+
+    def named(n: int, word: str) -> Column:
+        part = names[n * WORD:(n + 1) * WORD]
+        return F.concat(*(F.when(F.col(word).bitwiseAND(1 << at) != 0, F.array(F.lit(name))).otherwise(F.array().cast("array<string>")) for at, name in enumerate(part)))
+
+    items = F.concat(*(named(n, w) for n, w in enumerate(words))) if names else F.array().cast("array<string>")
+    return sets.select("subject", items.alias("items"), "times")
+
+
+def distinct_sets(transactions: DataFrame) -> DataFrame:
+    """As sets_of_bits, from (subject, items)."""
+    return transactions.groupBy(F.array_sort("items").alias("items")).agg(F.min("subject").alias("subject"), F.count("*").alias("times")).select("subject", "items", "times")
