@@ -363,3 +363,46 @@ def test_sets_of_tables(spark, tmp_path, n_brands):
         wanted = set_rows(distinct_sets(views.transactions(spark, str(tmp_path), typed)))
         assert set_rows(views.sets(spark, str(tmp_path), typed)) == wanted
         assert sum(r.support for r in views.model(spark, str(tmp_path), typed).patterns.collect()) == sum(w[2] for w in wanted)
+
+
+def test_equal_requests_meet_before_they_are_sorted(spark, tx, written, monkeypatch):
+    plans = {}
+
+    def kept(df, hint):
+        plans[hint] = df._jdf.queryExecution().sparkPlan().toString()
+        return materialize(df, hint)
+
+    monkeypatch.setattr(evaluate, "materialize", kept)
+    evaluate.evaluate(written, evaluate.take_one_but_type(evaluate.subjects(written, tx)))
+    assert plans["sets"].rindex("SortAggregate") < plans["sets"].index("HashAggregate")  # the lower of a plan's lines run first
+
+
+def test_sums_of_sets_are_made_by_set(spark, written):
+    sets = spark.createDataFrame([(n, [n % 3]) for n in range(40)], "qid long, path array<int>")
+    text = prefixes.counts(written, sets)._jdf.queryExecution().sparkPlan().toString()
+    assert text.rindex("HashAggregate(keys=[qid") < text.index("REPARTITION_BY_NUM") < text.index("FlatMapCoGroupsInArrow")
+
+
+@pytest.mark.parametrize("handler", list(evaluate.HANDLERS))
+def test_subjects_of_one_set_are_counted(spark, written, handler):
+    """A row a set with times gives the statistics of a row a subject."""
+    many = made(spark, 5).unionByName(made(spark, 5).select((F.col("subject") + 1000).alias("subject"), "items")).unionByName(made(spark, 6, 40).select((F.col("subject") + 5000).alias("subject"), "items"))
+    sets = distinct_sets(many)
+    assert sets.count() < many.count() and sets.agg(F.sum("times")).first()[0] == many.count()
+    every, few = (evaluate.HANDLERS[handler](evaluate.subjects(written, rows, "rare")) for rows in (many, sets))
+    workflows = {0: workflow.preset("direct"), 1: [workflow.Layer(workflow.below(3), None)]}
+    for of in (lambda r: evaluate.statistics(evaluate.evaluate(written, r)), lambda r: evaluate.batch(written, r, workflows)):
+        one, other = ({(r.asDict().get("config"), r.group): r for r in of(requests).collect()} for requests in (every, few))
+        assert one.keys() == other.keys() and one
+        for key, row in one.items():
+            for c in row.asDict():
+                assert other[key][c] == pytest.approx(row[c], rel=1e-9, nan_ok=True), (key, c)
+
+
+def test_measures_of_rows(spark):
+    """The measures against Spark's own averages, with a group without hits."""
+    rows = [("a", 1, 2, 1, 1, 3, 1, 1, 4, 0, 3, 5, 2), ("b", 1, 2, 2, 1, 7, 1, 0, 4, 1, 3, 5, 2), ("c", 1, 2, 2, 1, 500, 0, 0, 0, 2, 0, 5, 3)]
+    results = spark.createDataFrame(rows, evaluate.RESULTS)
+    got = {r.group: r for r in evaluate.statistics(results).collect()}
+    assert [got[-1][c] for c in ("subjects", "mean", "median", "mean_of_hits")] == pytest.approx([3, 170, 7, 5]) and got[-1].variance == pytest.approx(results.agg(F.var_pop("rank")).first()[0])
+    assert got[3].mean_of_hits == 500 and got[3].precision_defined is None and np.isnan(got[3].precision) and got[2].precision_defined == 0.25

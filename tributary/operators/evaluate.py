@@ -16,16 +16,19 @@ from tributary.session import materialize
 #: Rank of a hit that never came, by handler where it differs.
 MISSED = 500
 MISSED_BY_HANDLER = {"historicTakeButType": 10_000}
+#: Requests whose sets meet in a task, about.
+REQUEST_ROWS = 1 << 18
 
 
 def subjects(model: Model, transactions: DataFrame, unknown: str = "drop") -> DataFrame:
     """(subject, types, properties): a test subject's items as ranks, sorted.
 
     An item that the model lacks is dropped, or ('rare') stands as one rarer than all, so that sets with it have no
-    answers; unknown types and properties are told by their names.
+    answers; unknown types and properties are told by their names. A row of transactions with times stands for so many
+    subjects with that set; then requests and results have times, and statistics count by them.
     """
     last = (1 << 31) - 1
-    rows = transactions.select("subject", F.explode("items").alias("iri")).join(model.items.select("iri", "item", "is_type"), "iri", "left")
+    rows = transactions.select("subject", *_times(transactions), F.explode("items").alias("iri")).join(model.items.select("iri", "item", "is_type"), "iri", "left")
     if unknown == "drop":
         rows = rows.where("item is not null")
     own = F.struct(F.coalesce("item", F.lit(last)).alias("item"), "iri")
@@ -34,18 +37,22 @@ def subjects(model: Model, transactions: DataFrame, unknown: str = "drop") -> Da
     def sorted_items(kind: Column) -> Column:
         return F.transform(F.array_sort(F.collect_list(F.when(kind, own))), lambda x: x["item"])
 
-    return rows.groupBy("subject").agg(sorted_items(is_type).alias("types"), sorted_items(~is_type).alias("properties"))
+    return rows.groupBy("subject", *_times(rows)).agg(sorted_items(is_type).alias("types"), sorted_items(~is_type).alias("properties"))
 
 
-def _request(s: Column, left: Column, number: Column) -> list[Column]:
+def _times(rows: DataFrame) -> list[str]:
+    return [c for c in ("times",) if c in rows.columns]
+
+
+def _request(rows: DataFrame, s: Column, left: Column, number: Column) -> list[Column | str]:
     """path: the items in the handler's order, in which a subject's requests begin alike."""
-    return ["subject", number.alias("number"), F.array_sort(s).alias("s"), s.alias("path"), left.alias("left_out")]
+    return ["subject", *_times(rows), number.alias("number"), F.array_sort(s).alias("s"), s.alias("path"), left.alias("left_out")]
 
 
 def take_one_but_type(rows: DataFrame) -> DataFrame:
     """Each property once; the rest, with the types, asks."""
     every = rows.where(F.size("types") + F.size("properties") >= 2).select("*", F.explode("properties").alias("one"))
-    return every.select(*_request(F.array_remove(F.concat("types", "properties"), F.col("one")), F.array("one"), F.col("one")), F.size("types").alias("num_types"))
+    return every.select(*_request(rows, F.array_remove(F.concat("types", "properties"), F.col("one")), F.array("one"), F.col("one")), F.size("types").alias("num_types"))
 
 
 def take_all_but_best(rows: DataFrame) -> DataFrame:
@@ -53,25 +60,25 @@ def take_all_but_best(rows: DataFrame) -> DataFrame:
     n = F.size("properties")
     best = F.least(F.size("types"), n - 1)
     some = rows.where((best > 0) & (best < F.size("types") + n))
-    return some.select(*_request(F.slice(F.concat("types", "properties"), F.lit(1), F.greatest(best, F.lit(0))), F.slice(F.concat("types", "properties"), F.greatest(best, F.lit(0)) + 1, F.size("types") + n), F.lit(0)), F.size("types").alias("num_types"))
+    return some.select(*_request(rows, F.slice(F.concat("types", "properties"), F.lit(1), F.greatest(best, F.lit(0))), F.slice(F.concat("types", "properties"), F.greatest(best, F.lit(0)) + 1, F.size("types") + n), F.lit(0)), F.size("types").alias("num_types"))
 
 
 def take_more_but_common(rows: DataFrame) -> DataFrame:
     """Types and the first one, two, ... properties ask for the rest."""
     every = rows.where(F.size("properties") > 1).select("*", F.explode(F.sequence(F.lit(1), F.size("properties") - 1)).alias("k"))
-    return every.select(*_request(F.concat("types", F.slice("properties", F.lit(1), F.col("k"))), F.slice("properties", F.col("k") + 1, F.size("properties")), F.col("k")), F.size("types").alias("num_types"))
+    return every.select(*_request(rows, F.concat("types", F.slice("properties", F.lit(1), F.col("k"))), F.slice("properties", F.col("k") + 1, F.size("properties")), F.col("k")), F.size("types").alias("num_types"))
 
 
 def take_but_type(rows: DataFrame) -> DataFrame:
     """The types ask for the properties."""
     some = rows.where((F.size("types") > 0) & (F.size("properties") > 0))
-    return some.select(*_request(F.col("types"), F.col("properties"), F.lit(0)), F.size("types").alias("num_types"))
+    return some.select(*_request(rows, F.col("types"), F.col("properties"), F.lit(0)), F.size("types").alias("num_types"))
 
 
 def historic_take_but_type(rows: DataFrame) -> DataFrame:
     """The types ask for each property by itself."""
     every = rows.where(F.size("types") > 0).select("*", F.explode("properties").alias("one"))
-    return every.select(*_request(F.col("types"), F.array("one"), F.col("one")), F.size("types").alias("num_types"))
+    return every.select(*_request(rows, F.col("types"), F.array("one"), F.col("one")), F.size("types").alias("num_types"))
 
 
 HANDLERS: dict[str, Callable[[DataFrame], DataFrame]] = {
@@ -97,7 +104,9 @@ def _sets(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     if "path" not in requests.columns:
         requests = requests.withColumn("path", F.col("s"))
     requests = materialize(requests, "asked")  # read for the sets, and again to compare
-    sets = requests.groupBy("s").agg(F.min("path").alias("path"))
+    # the least of arrays is found by a sort: equal ones meet in a hash table before it, and the parts follow the requests
+    paths = requests.select("s", "path").distinct().repartition(max(8, -(-requests.count() // REQUEST_ROWS)), "s")
+    sets = paths.groupBy("s").agg(F.min("path").alias("path"))
     sets = materialize(sets.select(F.monotonically_increasing_id().alias("qid"), "s", "path"), "sets")
     return requests.drop("path").join(sets.select("qid", "s"), "s"), sets
 
@@ -114,13 +123,13 @@ def _compared(rows: DataFrame, model: Model, missed: int, *more: str) -> DataFra
     rows = rows.withColumn("hits", F.coalesce(F.filter(F.transform("left_out", lambda x: F.try_element_at("ranks", x)), lambda r: r.isNotNull()), F.array().cast("array<int>")))
     at_l = F.filter("hits", lambda r: r <= F.size("left_out"))
     rows = rows.select("subject", "number", F.size("s").alias("set_size"), F.size("left_out").alias("num_left_out"), "num_types", F.coalesce(F.array_min("hits"), F.lit(missed)).alias("rank"), F.size("hits").cast("long").alias("tp"),
-                       F.size(at_l).cast("long").alias("tp_at_l"), F.coalesce(F.size("ranks"), F.lit(0)).cast("long").alias("num_found"), "dictionary", *more)
+                       F.size(at_l).cast("long").alias("tp_at_l"), F.coalesce(F.size("ranks"), F.lit(0)).cast("long").alias("num_found"), "dictionary", *_times(rows), *more)
     rows = rows.withColumns({"fn": F.col("num_left_out") - F.col("tp"), "fp": F.col("num_found") - F.col("tp")})
     return rows.withColumn("tn", F.col("dictionary") - F.col("tp") - F.col("fp") - F.col("fn")).withColumn("num_non_types", F.col("set_size") + F.col("num_left_out") - F.col("num_types")).drop("dictionary")
 
 
 def evaluate(model: Model, requests: DataFrame, answer: Callable[[Model, DataFrame], DataFrame] = direct, missed: int = MISSED) -> DataFrame:
-    """One row a request: rank of the first hit and counts. Equal sets are answered once, in one batch.
+    """One row a request (with times where the requests have it): rank of the first hit and counts. Equal sets are answered once, in one batch.
 
     answer gets (qid long, s, path), path the set's items in an order in which sets begin alike. Requests without items
     are left out. tn is the dictionary's size without what is counted elsewhere.
@@ -139,23 +148,30 @@ def _with_shares(results: DataFrame) -> DataFrame:
     return results.withColumns({"recall": share(tp, left), "precision": share(tp, F.col("num_found")), "precision_at_l": share(F.col("tp_at_l"), left)})
 
 
-def _measures() -> list[Column]:
-    hit = F.when(F.col("rank") < MISSED, F.col("rank"))
+def _measures(results: DataFrame) -> list[Column]:
+    """Over requests, each as often as its times say."""
+    times, rank = F.col("times") if _times(results) else F.lit(1).cast("long"), F.col("rank").cast("long")
+    every = F.sum(times)
+
+    def mean(value: Column, of: Column | None = None) -> Column:
+        own = times if of is None else F.when(of, times)
+        return F.sum(own * value) / F.sum(own)
 
     def top(n) -> Column:
-        return F.avg((F.col("rank") <= n).cast("double"))
+        return mean((F.col("rank") <= n).cast("long"))
 
     return [
-        F.count("*").alias("subjects"), F.avg("rank").alias("mean"), F.coalesce(F.avg(hit), F.lit(float(MISSED))).alias("mean_of_hits"), F.percentile("rank", F.lit(0.5)).alias("median"), F.var_pop("rank").alias("variance"),
-        top(1).alias("top1"), top(5).alias("top5"), top(10).alias("top10"), top(F.col("num_left_out")).alias("topl"), F.avg("recall").alias("recall"), F.avg("precision").alias("precision"), F.avg("precision_at_l").alias("precision_at_l"),
-        F.avg(F.when(F.col("num_found") > 0, F.col("precision"))).alias("precision_defined")]
+        every.alias("subjects"), mean(rank).alias("mean"), F.coalesce(mean(rank, rank < MISSED), F.lit(float(MISSED))).alias("mean_of_hits"), F.percentile("rank", F.lit(0.5), times).alias("median"),
+        ((F.sum(times * rank * rank) - F.sum(times * rank) * (F.sum(times * rank) / every)) / every).alias("variance"),
+        top(1).alias("top1"), top(5).alias("top5"), top(10).alias("top10"), top(F.col("num_left_out")).alias("topl"), mean(F.col("recall")).alias("recall"), mean(F.col("precision")).alias("precision"),
+        mean(F.col("precision_at_l")).alias("precision_at_l"), mean(F.col("precision"), F.col("num_found") > 0).alias("precision_defined")]
 
 
 def statistics(results: DataFrame, group_by: str = "numNonTypes") -> DataFrame:
     """One row a group and one of group -1 for all, by grouping sets. Precision is NaN where a request of the group found nothing."""
     own = F.col("group")
     sets = _with_shares(results).withColumn("group", F.col(GROUPS[group_by])).groupingSets([[own], []], own)
-    return sets.agg(F.grouping("group").alias("all"), *_measures()).withColumn("group", F.when(F.col("all") == 1, -1).otherwise(own)).drop("all")
+    return sets.agg(F.grouping("group").alias("all"), *_measures(results)).withColumn("group", F.when(F.col("all") == 1, -1).otherwise(own)).drop("all")
 
 
 def derived(stats: DataFrame) -> DataFrame:
@@ -264,7 +280,7 @@ def batch(model: Model, requests: DataFrame, workflows: dict[int, list[Layer]],
     ranks = wanted.join(_ranks(found, "qid", "way"), ["qid", "way"], "left")
     compared = _compared(asked.join(ranks, "qid"), model, missed, "configs")
     each = _with_shares(compared).withColumn("config", F.explode("configs"))
-    return each.groupBy("config").agg(*_measures()).withColumn("group", F.lit(-1))
+    return each.groupBy("config").agg(*_measures(each)).withColumn("group", F.lit(-1))
 
 
 def write_statistics(stats: DataFrame, path: str, group_by: str) -> None:

@@ -21,6 +21,8 @@ from tributary.operators.recommend import popularity
 
 #: Sets and patterns of one item that meet in a task.
 SET_BLOCK, PATTERN_BLOCK = 1 << 16, 1 << 15
+#: Sets whose sums meet in a task.
+SUM_SETS = 1 << 14
 #: Items of matches that are looked at together.
 STEP_ROWS = 1 << 21
 
@@ -106,11 +108,11 @@ def counts(model: Model, sets: DataFrame) -> DataFrame:
     """(qid, item, n) for sets (qid long, path array<int>, not empty): the support of the set with each item; of its own items, the set's."""
     asked = sets.select("qid", "path", F.col("path")[0].alias("root"))
     met = model.patterns.select("items", "support", F.explode("items").alias("root"))
-    blocks = asked.groupBy("root").agg(F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("set_blocks"))
+    blocks = asked.groupBy("root").agg(F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("set_blocks"), F.count("*").alias("n_sets"))
     sizes = met.groupBy("root").agg(F.ceil(F.count("*") / PATTERN_BLOCK).cast("int").alias("pattern_blocks"))
     many = blocks.join(sizes, "root").persist()  # an entry an item that sets begin with
-    few = many.count() <= BROADCAST_ITEMS
-    dealt = F.broadcast(many) if few else many
+    n_roots, n_sets = many.agg(F.count("*"), F.coalesce(F.sum("n_sets"), F.lit(0))).first()
+    dealt = F.broadcast(many) if n_roots <= BROADCAST_ITEMS else many
 
     def numbers(n: str):
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -129,7 +131,8 @@ def counts(model: Model, sets: DataFrame) -> DataFrame:
 
     left, right = left.select(*keys, "qid", "path").groupBy(*keys), right.select(*keys, "items", "support").groupBy(*keys)
     parts = left.cogroup(right).applyInArrow(meet, "qid long, item int, n long")
-    return parts.groupBy("qid", "item").agg(F.sum("n").alias("n"))
+    # by set, as what follows is; before any sum, as a task of several blocks would keep all their sets' sums
+    return parts.repartition(max(8, -(-n_sets // SUM_SETS)), "qid").groupBy("qid", "item").agg(F.sum("n").alias("n"))
 
 
 def candidates(model: Model, sets: DataFrame, include_types: bool = False) -> DataFrame:

@@ -12,7 +12,7 @@ from tributary.functions.ntriples import trim_extensions
 from tributary.operators import evaluate, serve, workflow
 from tributary.operators.model import Model
 from tributary.plans import views
-from tributary.plans.queries import CLAIMS, ORDER_BLOCKS, TAKE_MORE, _sql_evaluate, _sql_recommend, query
+from tributary.plans.queries import CLAIMS, ORDER_BLOCKS, TAKE_MORE, _sql_evaluate, _sql_recommend, query, requests_of_sets
 from tributary.plans.surface import _engine, _folder
 from tributary.session import write_text
 from tributary.sources import entities
@@ -37,8 +37,7 @@ def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = [workflow.Configuration.read(f"{folder}/grid.json-{n}.json") for n in range(2)]
     for config in made:
         config.test()
-    model = views.model(spark, sf_dir, True)
-    requests = evaluate.take_more_but_common(evaluate.subjects(model, views.transactions(spark, sf_dir, True)))
+    model, requests = requests_of_sets(spark, sf_dir, "takeMoreButCommon")
     compared = evaluate.batch(model, requests, {0: made[0].workflow(), 1: made[1].workflow(), 2: workflow.preset("direct")})
     return compared.select("config", "subjects", F.round("mean", 6).alias("mean"), F.round("recall", 6).alias("recall"))
 
