@@ -14,7 +14,7 @@ from tributary.operators.transactions import TYPE_MARK, from_pairs, to_transacti
 from tributary.plans import views
 from tributary.plans.queries import (
     _ASKED, _STATISTICS, _SUMMARY, CLAIMS, EVALUATION, EVENTS, ITEMS, LABELS, ORDER_BLOCKS, PAIRS, RARE, SETS, TAKE_MORE, TAKE_TYPE, TYPED,
-    _evaluated, _sql_backoff, _sql_evaluate, _sql_recommend, _sql_split, _summary, _triples, ask, query,
+    _evaluated, _evaluated_sets, _sql_backoff, _sql_evaluate, _sql_recommend, _sql_split, _summary, _triples, ask, query, requests_of_sets,
 )
 from tributary.session import shared_dir, table
 from tributary.sources import entities
@@ -169,7 +169,7 @@ def results_file(spark, sf_dir):
     from (select *, set_size as s from res union all select *, null from res) group by s""")
 def statistics_file(spark, sf_dir):
     path = _folder(spark, "statistics")
-    evaluate.write_statistics(evaluate.statistics(_evaluated(spark, sf_dir, "handlerTakeButType"), "setSize"), path, "setSize")
+    evaluate.write_statistics(evaluate.statistics(_evaluated_sets(spark, sf_dir, "handlerTakeButType"), "setSize"), path, "setSize")
     rows = spark.read.option("header", True).option("inferSchema", True).csv(path)
     return rows.select(F.col("setSize").cast("int").alias("setSize"), F.col("subjects").cast("long").alias("subjects"), *(F.round(F.col(c).cast("double"), 6).alias(c) for c in ("mean", "stddev", "top1", "recall")))
 
@@ -211,8 +211,7 @@ _HALF = _sql_evaluate(TAKE_MORE) + "select 0 as config, count(*) as subjects, ro
 @query(_HALF)
 def config_batch(spark, sf_dir):
     """Two workflows over the same requests: all direct, and direct for sets of up to two items only."""
-    model = views.model(spark, sf_dir, True)
-    requests = evaluate.HANDLERS["takeMoreButCommon"](evaluate.subjects(model, views.transactions(spark, sf_dir, True)))
+    model, requests = requests_of_sets(spark, sf_dir, "takeMoreButCommon")
     workflows = {0: workflow.preset("direct"), 1: [workflow.Layer(workflow.below(3), None)]}
     return evaluate.batch(model, requests, workflows).select("config", "subjects", F.round("mean", 6).alias("mean"), F.round("recall", 6).alias("recall"))
 
@@ -232,14 +231,14 @@ def backoff_likely(spark, sf_dir):
 
 @query(" union all ".join(f"(select '{name}' as grouped, cast(g as bigint) as \"group\", count(*) as subjects, round(avg(rank), 6) as mean from ({{res}}) cross join lateral (select {column} as g union all select -1) group by g)" for name, column in (("numTypes", "num_types"), ("setSize", "set_size"), ("numLeftOut", "num_left_out"))).replace("{res}", _sql_evaluate(TAKE_TYPE) + "select * from res"))
 def eval_groups(spark, sf_dir):
-    results = _evaluated(spark, sf_dir, "handlerTakeButType")
+    results = _evaluated_sets(spark, sf_dir, "handlerTakeButType")
     every = [evaluate.statistics(results, g).select(F.lit(g).alias("grouped"), F.col("group").cast("long").alias("group"), "subjects", F.round("mean", 6).alias("mean")) for g in ("numTypes", "setSize", "numLeftOut")]
     return every[0].unionByName(every[1]).unionByName(every[2])
 
 
 @query(f"with s as ({_sql_evaluate(TAKE_TYPE)} select avg(tp_at_l / num_left_out) as p, avg(tp / num_left_out) as r, avg(rank) as mean from res) select round(2 * p * r / (p + r), 6) as f1, round(1 / mean, 6) as reciprocal_rank from s")
 def eval_derived(spark, sf_dir):
-    stats = evaluate.derived(evaluate.statistics(_evaluated(spark, sf_dir, "handlerTakeButType"))).where(F.col("group") == -1)
+    stats = evaluate.derived(evaluate.statistics(_evaluated_sets(spark, sf_dir, "handlerTakeButType"))).where(F.col("group") == -1)
     return stats.select(F.round("f1", 6).alias("f1"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
 
 
